@@ -9,15 +9,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyrook.llm.jaccard_join import jaccard_join
 
     return jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.repetition import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.mixing import mix_plan
+
+    return mix_plan(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.suffix_dedup import removal_digests
+
+    return removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op5_url_filters, op6_quality_rules, op7_source_mixing, op8_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallyrook.llm import mixing, repetition, url_filter
+
+    return {"op5_url_filters": url_filter.ORACLE, "op6_quality_rules": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE}

@@ -203,7 +203,7 @@ base as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, '')
 runs as (select doc_id, k, unnest(range(1, len(w) - k + 2)) as i, w from w, (values (5), (10), (101)) as ks(k)),
 hashed as (select doc_id, k, i, md5(array_to_string(w[i : i + k - 1], ' ')) as run from runs),
 many as (select doc_id, k, i from (select *, count(*) over (partition by doc_id, k, run) as c from hashed) where c > 1),
-covered as (select doc_id, k, count(distinct at)::bigint as n from (select doc_id, k, unnest(range(i, i + k)) as at from many) group by all),
+covered as (select doc_id, k, count(distinct pos)::bigint as n from (select doc_id, k, unnest(range(i, i + k)) as pos from many) group by all),
 n as (select b.*, coalesce(c5.n, 0) as n_repeat_words, coalesce(c10.n, 0) as covered_words, c101.n is not null as long_repeat
       from base b left join covered c5 on b.doc_id = c5.doc_id and c5.k = 5 left join covered c10 on b.doc_id = c10.doc_id and c10.k = 10
       left join covered c101 on b.doc_id = c101.doc_id and c101.k = 101)

@@ -370,3 +370,10 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     )
     void = signals.where("kind = -3").mapInArrow(_unpack_sizes, "n long")
     return out.union(void.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long"), F.lit(0).cast("long")))
+
+
+def keep_one(documents: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of documents, with all columns, but for those whose doc_id isn't the least of its component."""
+    rows = jaccard_join(documents, shingle, num, den)
+    gone = rows.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -21,6 +21,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.token_files import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyrook.llm.licenses import scan
 
@@ -51,17 +57,42 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.decontaminate import containment_search
+
+    return containment_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyrook.llm.chat import format_digests, with_probe
 
     return format_digests(with_probe(_table(spark, sf_dir, "conversations")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op4_license_scans, op5_url_filters, op6_quality_rules, op7_source_mixing, op8_suffix_array_dedup, op10_chat_formatting)}
+    named = (
+        op1_language_id,
+        op2_ngram_jaccard_join,
+        op3_token_counts,
+        op4_license_scans,
+        op5_url_filters,
+        op6_quality_rules,
+        op7_source_mixing,
+        op8_suffix_array_dedup,
+        op9_benchmark_decontamination,
+        op10_chat_formatting,
+        pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyrook.llm import chat, mixing, repetition, url_filter
+    from tallyrook.llm import chat, decontaminate, mixing, repetition, url_filter
 
-    return {"op5_url_filters": url_filter.ORACLE, "op6_quality_rules": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    return {"op5_url_filters": url_filter.ORACLE, "op6_quality_rules": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_chat_formatting": chat.ORACLE}

@@ -43,7 +43,7 @@ _BLOBS = "bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
 def window_anchors(c: ta.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """For each position where a window of a document starts: whether, and the least hash of its k-byte strings."""
+    """For each position where a window of a document starts: whether, and its anchor (the mixed least hash of its k-byte strings)."""
     n = len(c.data)
     if n < length:
         return np.zeros(n, bool), np.zeros(n, np.uint64)
@@ -57,8 +57,8 @@ def window_anchors(c: ta.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[
     if rest:
         least = np.minimum(least[: len(least) - rest], least[rest:])
     left = np.repeat(c.offsets[1:], np.diff(c.offsets)) - np.arange(n)
-    least = np.concatenate([least, np.zeros(n - len(least), np.uint64)])
-    return left >= length, least
+    # least hashes are small numbers: mixed again, they fall evenly into buckets
+    return left >= length, np.concatenate([ta.mix(least), np.zeros(n - len(least), np.uint64)])
 
 
 def _runs(c: ta.Chunk, whole: np.ndarray, least: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ from tallyrook.llm import textarrays as ta
 LENGTH, ANCHOR = 50, 25
 _NEVER = np.uint64(2**64 - 1)
 _END = 255  # no byte of UTF-8
-_BLOBS = "bucket int, a binary, b binary, c binary, d binary, e binary"
+_BLOBS = "bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
 def window_anchors(c: ta.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +80,12 @@ def _runs(c: ta.Chunk, whole: np.ndarray, least: np.ndarray, longest: int) -> tu
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
-    schema = pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in "abcde"]])
+    schema = pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in "abcdef"]])
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
 
 def _row(bucket: int, *arrays) -> tuple:
-    return (bucket, *(x if isinstance(x, bytes) else x.tobytes() for x in arrays), *[b""] * (5 - len(arrays)))
+    return (bucket, *(x if isinstance(x, bytes) else x.tobytes() for x in arrays), *[b""] * (6 - len(arrays)))
 
 
 def _anchors(bits: int):
@@ -162,7 +162,7 @@ def _mark(bits: int):
 
 
 def _segments(bits: int):
-    """Texts with marks -> rows for each bucket: (documents, text hashes, starts, lengths, bytes); negative bucket: spans."""
+    """Texts with marks -> rows for each bucket: (documents, text hashes, starts, lengths, bytes, anchors); negative bucket: spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -214,7 +214,7 @@ def _segments(bits: int):
                 for b in np.flatnonzero(np.diff(cuts)):
                     x = order[cuts[b] : cuts[b + 1]]
                     text = c.data[ta.segments(at[x], size[x])].tobytes()
-                    found.append(_row(int(b), own[doc[x]], th[doc[x]], start[x].astype(np.int64), size[x].astype(np.uint8), pack.compress(text)))
+                    found.append(_row(int(b), own[doc[x]], th[doc[x]], start[x].astype(np.int64), size[x].astype(np.uint8), pack.compress(text), (key[x] >> np.uint64(32 - bits)).astype(np.uint32)))
                 if found:
                     yield _batch(found)
 
@@ -230,7 +230,7 @@ def column_wise_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> t
     """
     m = len(start)
     symbol = np.full(m, _END, np.uint8)  # the rows of the empty suffixes stay in front
-    string, length = np.arange(m), np.zeros(m, np.uint8)
+    string, length = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
     row = np.arange(m)  # of each string's newest suffix
     for j in range(1, int(size.max(initial=0)) + 1):
         live = np.flatnonzero(size >= j)
@@ -273,6 +273,31 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, who:
     return string[order], least[order]
 
 
+def _least_of_windows(data, start, size, who, anchor) -> tuple[np.ndarray, np.ndarray]:
+    """The least `who` for each window of each distinct string, string by string, and where each string's begin.
+
+    Equal windows have equal anchors, so an anchor with one string needs no sorting, and the others' strings are sorted
+    a few thousand at a time.
+    """
+    count = size - LENGTH + 1
+    cut = np.concatenate([[0], np.cumsum(count)])
+    least = np.repeat(who, count)
+    order = np.argsort(anchor, kind="stable")
+    head = np.append(True, anchor[order][1:] != anchor[order][:-1])
+    group = np.cumsum(head) - 1
+    many = np.bincount(group)[group] > 1
+    order, group = order[many], group[many]
+    a = 0
+    while a < len(order):
+        b = min(len(order), a + 4096)
+        b = int(np.searchsorted(group, group[b - 1], "right"))
+        part = np.sort(order[a:b])
+        _, found = repeated_windows(data, start[part], size[part], who[part])
+        least[ta.segments(cut[part], count[part])] = found
+        a = b
+    return least, cut
+
+
 def _spans_of(table: pa.Table) -> pa.Table:
     """One bucket of segments -> the spans (from, to) to be removed of each document and text."""
     columns = [b"".join(table[x].to_pylist()) for x in "abcd"]
@@ -291,8 +316,7 @@ def _spans_of(table: pa.Table) -> pa.Table:
         _, one = np.unique(string, return_index=True)
         least_id = np.full(len(one), 2**63 - 1)
         np.minimum.at(least_id, string, ids)
-        of, least = repeated_windows(data, first[one], size[one], least_id)
-        cut = np.searchsorted(of, np.arange(len(one) + 1))
+        least, cut = _least_of_windows(data, first[one], size[one], least_id, np.frombuffer(b"".join(table["f"].to_pylist()), np.uint32)[one])
         count = size - LENGTH + 1
         each = np.repeat(np.arange(len(ids)), count)
         window = ta.segments(np.zeros(len(ids), np.int64), count)

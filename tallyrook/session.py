@@ -38,7 +38,7 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

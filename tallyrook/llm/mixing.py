@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     # the level if this source is the first that isn't full
     level = (F.col("total") * percent / F.lit(100.0) - F.col("caps_below")) / F.col("weight_left")
     rows = rows.withColumn("level", F.when(level <= F.col("fill"), level))
-    rows = rows.withColumn("level", F.min("level").over(one))
+    # from the first such source on, taking more as full only lowers the level
+    rows = rows.withColumn("level", F.max("level").over(one))
     full = F.col("level").isNull() | (F.col("fill") <= F.col("level"))
     return rows.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
@@ -103,7 +104,7 @@ p as (select *, coalesce(sum(cap) over up, 0)::bigint as caps_below,
              (sum(weight) over () - coalesce(sum(weight) over up, 0))::bigint as weight_left, (sum(source_size) over ())::bigint as total
       from f window up as (order by fill, source is null, source rows between unbounded preceding and 1 preceding)),
 l as (select *, ((total * 150)::double / 100.0::double - caps_below) / weight_left as lev from p),
-m as (select *, min(case when lev <= fill then lev end) over () as level from l),
+m as (select *, max(case when lev <= fill then lev end) over () as level from l),
 goal as (select source, source_size, case when level is null or fill <= level then cap::double else weight * level end as target from m),
 deal as (select bb.source, bb.bucket, g.source_size, g.target, bb.words,
                 case when g.source_size > 0 then floor(g.target / g.source_size)::bigint else 0 end as whole,

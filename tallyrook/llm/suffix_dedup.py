@@ -165,12 +165,12 @@ def _segments(bits: int):
     """Texts with marks -> rows for each bucket: (documents, text hashes, starts, lengths, bytes, anchors); negative bucket: spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, _ = ta.ids_of(batch.column("__id"))
             names = batch.column("__th").to_numpy(zero_copy_only=False)
             marks = batch.column("__marks")
-            for c in ta.chunks(batch.column("__text")):
+            for c in ta.chunks(batch.column("text"), 3 * ta.CHUNK):
                 span = slice(c.first, c.first + len(c))
                 own, th = ids[span], names[span]
                 marked = [np.frombuffer(b"".join(x), np.uint64) for x in marks.slice(c.first, len(c)).to_pylist()]
@@ -214,7 +214,7 @@ def _segments(bits: int):
                 for b in np.flatnonzero(np.diff(cuts)):
                     x = order[cuts[b] : cuts[b + 1]]
                     text = c.data[ta.segments(at[x], size[x])].tobytes()
-                    found.append(_row(int(b), own[doc[x]], th[doc[x]], start[x].astype(np.int64), size[x].astype(np.uint8), pack.compress(text), (key[x] >> np.uint64(32 - bits)).astype(np.uint32)))
+                    found.append(_row(int(b), pack.compress(own[doc[x]].tobytes()), pack.compress(th[doc[x]].tobytes()), pack.compress(start[x].astype(np.int64).tobytes()), size[x].astype(np.uint8), pack.compress(text), (key[x] >> np.uint64(32 - bits)).astype(np.uint32)))
                 if found:
                     yield _batch(found)
 
@@ -300,14 +300,13 @@ def _least_of_windows(data, start, size, who, anchor) -> tuple[np.ndarray, np.nd
 
 def _spans_of(table: pa.Table) -> pa.Table:
     """One bucket of segments -> the spans (from, to) to be removed of each document and text."""
-    columns = [b"".join(table[x].to_pylist()) for x in "abcd"]
     if table["bucket"][0].as_py() < 0:
-        who, th, a, b = (np.frombuffer(x, np.int64) for x in columns)
+        who, th, a, b = (np.frombuffer(b"".join(table[x].to_pylist()), np.int64) for x in "abcd")
     else:
-        ids, names, starts = (np.frombuffer(x, np.int64) for x in columns[:3])
-        size = np.frombuffer(columns[3], np.uint8).astype(np.int64)
         unpack = zstandard.ZstdDecompressor()
-        data = np.frombuffer(b"".join(unpack.decompress(x) for x in table["e"].to_pylist()), np.uint8)
+        ids, names, starts = (np.frombuffer(b"".join(map(unpack.decompress, table[x].to_pylist())), np.int64) for x in "abc")
+        size = np.frombuffer(b"".join(table["d"].to_pylist()), np.uint8).astype(np.int64)
+        data = np.frombuffer(b"".join(map(unpack.decompress, table["e"].to_pylist())), np.uint8)
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         # equal segments are one string of the collection, of the least document
         text = data.tobytes()
@@ -344,15 +343,16 @@ def mark_repeats(documents: DataFrame) -> DataFrame:
         "__th": F.xxhash64("text"),
     })
     texts = base.select("__id", "__th", F.col("text").alias("__text"))
-    bits = ta.bucket_bits(ta.total_bytes(documents), 4 << 20)
+    bits = ta.bucket_bits(ta.total_bytes(documents), 8 << 20)
     marks = texts.select("__id", "__text").mapInArrow(_anchors(bits), _BLOBS).groupBy("bucket").applyInArrow(_mark(bits), "__id long, __marks binary")
     names = texts.where(F.octet_length("__text") >= LENGTH).select("__id", "__th", F.md5(F.encode("__text", "utf-8")).alias("name"))
     first = names.groupBy("name").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where("low < high")
     copies = names.join(first, "name").where("__id > low").select("__id", "__th").distinct()
     copies = copies.groupBy("__id").agg(F.collect_set("__th").alias("__copies"))
     notes = marks.groupBy("__id").agg(F.collect_list("__marks").alias("__marks")).join(copies, "__id", "left")
-    live = texts.hint("shuffle_hash").join(notes.hint("shuffle_hash"), "__id").where("__copies is null or not array_contains(__copies, __th)")
-    spans = live.select("__id", "__th", "__text", "__marks").mapInArrow(_segments(bits), _BLOBS)
+    # all columns go along, so that this join and the last share one exchange of the texts
+    live = base.join(notes.hint("shuffle_hash"), "__id").where("__copies is null or not array_contains(__copies, __th)")
+    spans = live.mapInArrow(_segments(bits), _BLOBS)
     spans = spans.groupBy("bucket").applyInArrow(_spans_of, "__id long, __th long, __spans binary")
     spans = spans.groupBy("__id").agg(F.collect_list(F.struct("__th", "__spans")).alias("__found"))
     return base.join(spans.hint("shuffle_hash"), "__id", "left").join(copies.hint("shuffle_hash"), "__id", "left")

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tallyrook.plans import listing_queries
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _part in (listing_queries,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

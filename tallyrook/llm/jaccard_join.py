@@ -36,7 +36,7 @@ from tallyrook.llm import textarrays as ta
 from tallyrook.operators.components import connected_components
 from tallyrook.session import materialize
 
-BLOCK = 2048
+BLOCK, SIEVE = 2048, 1 << 23
 _SIGNALS = "kind int, a binary, b binary, c binary"
 
 
@@ -96,7 +96,8 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _signals(n: int, num: int, den: int, bits: int):
-    """Texts -> rows of arrays; kind >= 0: bucket of (32-bit keys, documents), -1: edges, -2: (documents, sizes, digests), -3: sizes of rows without a doc_id."""
+    """Texts -> rows of arrays by kind. 0 and up: a bucket of (32-bit keys, documents). Below, -1 - (4 * salt + what), with
+    0: edges, 1: (documents, sizes, digests), 2: sizes of rows without a doc_id; the salt spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
@@ -108,9 +109,10 @@ def _signals(n: int, num: int, den: int, bits: int):
                 sizes = np.diff(first)
                 mixed = ta.mix(value)
                 digest = np.stack([np.add.reduceat(np.append(x, np.uint64(0)), first[:-1]) * (sizes > 0) for x in (mixed, ta.mix(mixed ^ value))], 1)
-                found = [_row(-2, own[~gone], sizes[~gone].astype(np.int64), digest[~gone])]
+                salt = 4 * int(value[0] % np.uint64(1 << bits)) if len(value) else 0
+                found = [_row(-2 - salt, own[~gone], sizes[~gone].astype(np.int64), digest[~gone])]
                 if gone.any():
-                    found.append(_row(-3, sizes[gone].astype(np.int64)))
+                    found.append(_row(-3 - salt, sizes[gone].astype(np.int64)))
                 # A set that the chunk has already had only gives an edge.
                 live = np.flatnonzero(~gone & (sizes > 0))
                 live = live[np.lexsort((own[live], digest[live, 1], digest[live, 0]))]
@@ -132,7 +134,7 @@ def _signals(n: int, num: int, den: int, bits: int):
                 pair = np.unique(np.stack([np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])], 1), axis=0)
                 pair = pair[pair[:, 0] != pair[:, 1]]
                 if len(pair):
-                    found.append(_row(-1, pair[:, 0], pair[:, 1]))
+                    found.append(_row(-1 - salt, pair[:, 0], pair[:, 1]))
                 who, key = who[new], key[new]
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -149,45 +151,55 @@ def _longs(data, type_=np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(data.to_pylist()), type_)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """One bucket of keys -> edges from each document of a key to the least; 32 bits of a key only add edges."""
-    key, who = _longs(table["a"], np.uint32), _longs(table["b"])
-    order = np.lexsort((who, key))
-    key, who = key[order], who[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    lead = who[new][np.cumsum(new) - 1]
-    pair = np.unique(np.stack([who, lead], 1)[who != lead], axis=0)
-    return pa.table({"src": pair[:, 0], "dst": pair[:, 1]})
-
-
-def _unpack_pairs(batches):
-    for batch in batches:
-        a, b = _longs(batch.column("a")), _longs(batch.column("b"))
-        yield pa.RecordBatch.from_pydict({"src": a, "dst": b})
-
-
-def _unpack_docs(batches):
-    for batch in batches:
-        digest = _longs(batch.column("c")).reshape(-1, 2)
-        yield pa.RecordBatch.from_pydict({"doc_id": _longs(batch.column("a")), "n": _longs(batch.column("b")), "d1": digest[:, 0].copy(), "d2": digest[:, 1].copy()})
+_MET = "what int, src long, dst long, d1 long, d2 long"
 
 
-def _unpack_sizes(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"n": _longs(batch.column("a"))})
-
-
-def _member_sets(n: int):
-    """Texts of family members -> their sets, sorted; 8 bytes a shingle."""
+def _meet(table: pa.Table) -> pa.Table:
+    """A bucket of keys -> edges from each document of a key to the least (32 bits of a key only add edges); the rest: rows."""
+    kind = table["kind"][0].as_py()
+    what = (-1 - kind) % 4 if kind < 0 else 0
+    a, d = None, None
+    if kind >= 0:
+        key, who = _longs(table["a"], np.uint32), _longs(table["b"])
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        lead = who[new][np.cumsum(new) - 1]
+        pair = np.unique(np.stack([who, lead], 1)[who != lead], axis=0)
+        a, b = pair[:, 0], pair[:, 1]
+    elif what == 2:
+        b = _longs(table["a"])
+    else:
+        a, b = _longs(table["a"]), _longs(table["b"])
+        d = _longs(table["c"]).reshape(-1, 2) if what == 1 else None
+    void = pa.nulls(len(b), pa.int64())
+    return pa.table({
+        "what": pa.array(np.full(len(b), what, np.int32)), "src": void if a is None else pa.array(a), "dst": pa.array(b),
+        "d1": void if d is None else pa.array(d[:, 0].copy()), "d2": void if d is None else pa.array(d[:, 1].copy()),
+    })
+
+
+def _sieve(members: DataFrame) -> np.ndarray:
+    """A bitmap of SIEVE bits, whatever the size of the table: the members' hashed ids. Made as sums of 64 bits each."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    words = members.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out = np.zeros(SIEVE // 64, np.int64)
+    for r in words.collect():
+        out[r["w"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _member_sets(n: int, sieve: np.ndarray):
+    """Texts that the sieve lets through -> their sets, sorted; 8 bytes a shingle."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(sieve[batch.column("at").to_numpy()]))
             for c in ta.chunks(batch.column("text")):
                 _, value, first = ta.shingle_sets(c, n)
-                part = batch.slice(c.first, len(c))
                 sets = pa.array([value[first[i] : first[i + 1]].tobytes() for i in range(len(c))], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(x) for x in ("doc_id", "copies", "group", "block", "blocks")] + [sets], ["doc_id", "copies", "group", "block", "blocks", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, len(c)), sets], ["doc_id", "items"])
 
     return run
 
@@ -326,17 +338,15 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = ta.bucket_bits(ta.total_bytes(texts), 8 << 20)
-    signals, _ = materialize(texts.mapInArrow(_signals(shingle, num, den, bits), _SIGNALS), "op2-signals")
-    docs = signals.where("kind = -2").mapInArrow(_unpack_docs, "doc_id long, n long, d1 long, d2 long")
-    local = signals.where("kind = -1").mapInArrow(_unpack_pairs, "src long, dst long")
-    met = signals.where("kind >= 0").groupBy("kind").applyInArrow(_meet, "src long, dst long")
+    met, _ = materialize(texts.mapInArrow(_signals(shingle, num, den, bits), _SIGNALS).groupBy("kind").applyInArrow(_meet, _MET), "op2-signals")
+    docs = met.where("what = 1").select(F.col("src").alias("doc_id"), F.col("dst").alias("n"), "d1", "d2")
     some = docs.where("n > 0")
     reps = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.max("doc_id").alias("last"))
     equal, _ = materialize(
         some.join(reps.where("rep < last"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(),
         "op2-equal",
     )
-    family = connected_components(local.union(met).union(equal))
+    family = connected_components(met.where("what = 0").select("src", "dst").union(equal))
     members = reps.select(F.col("rep").alias("doc_id"), "copies").join(family.withColumnRenamed("node", "doc_id"), "doc_id")
     large = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
     members = (
@@ -350,9 +360,9 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     # small families share a group; a large one has groups of its own
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.col("component"))
     members = members.withColumn("group", group).select("doc_id", "copies", "group", "block", "blocks")
-    sets = texts.hint("shuffle_hash").join(members.hint("shuffle_hash"), "doc_id").mapInArrow(
-        _member_sets(shingle), "doc_id long, copies long, `group` long, block int, blocks int, items binary"
-    )
+    # only members' sets are shuffled; a member that the sieve lets through by chance goes in the join
+    sets = texts.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)))
+    sets = sets.mapInArrow(_member_sets(shingle, _sieve(members)), "doc_id long, items binary").join(members, "doc_id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
     dealt = sets.withColumn("pair", F.explode(meets)).select(
         "doc_id", "copies", "group", "block", "blocks", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "items"
@@ -368,7 +378,7 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
         .join(own, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    void = signals.where("kind = -3").mapInArrow(_unpack_sizes, "n long")
+    void = met.where("what = 2").select(F.col("dst").alias("n"))
     return out.union(void.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long"), F.lit(0).cast("long")))
 
 

@@ -15,6 +15,11 @@ POSIX_PATH = r"(^|[\s\"'`(=:,])/(?:[A-Za-z0-9._-]+/)*[A-Za-z0-9._-]+/?"
 REDACTED, MAX_ARTIFACT = "[redacted-path]", 4096
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
@@ -34,8 +39,10 @@ def _numeric(text: Column, shape: str, code) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Hexadecimal, then decimal, then six named entities, each in one pass; `&amp;` is the last of the names."""
-    out = F.when(text.contains("&#"), _numeric(text, "(?i)&#x[0-9a-f]+;", lambda e: F.conv(F.substring(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 1, 8), 16, 10).cast("long"))).otherwise(text)
-    out = F.when(out.contains("&#"), _numeric(out, "&#[0-9]+;", lambda e: F.substring(F.regexp_extract(e, "([0-9]+)", 1), 1, 9).cast("long"))).otherwise(out)
+    hexed, decimal = "(?i)&#x[0-9a-f]+;", "&#[0-9]+;"
+    of_hex = lambda e: F.conv(F.substring(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 1, 8), 16, 10).cast("long")
+    of_decimal = lambda e: F.substring(F.regexp_extract(e, "([0-9]+)", 1), 1, 9).cast("long")
+    out = let(text, lambda t: F.when(t.contains("&#"), let(_numeric(t, hexed, of_hex), lambda h: _numeric(h, decimal, of_decimal))).otherwise(t))
     for name, char in NAMED:
         out = F.regexp_replace(out, f"(?i)&{name};", char)
     return out

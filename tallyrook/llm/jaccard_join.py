@@ -6,8 +6,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    follows from their size level. A level deals the shingles into K > d classes by hash, so linked sets agree on a
    whole class. Each set gives the hash of each class as a key, for its own size level and the next. A document with
    so many empty classes that they could be all that agrees gives those as keys too.
-2. Families. Documents that share a key hang together; connected components of that are families. Equal sets are one
-   member, the least doc_id; copies are counted, not compared.
+2. Families. Documents that share a key of a size level hang together; connected components of that, level by level, are
+   families. Equal sets are one member, the least doc_id; copies are counted, not compared.
 3. Search. Members of a family meet in a task, in blocks if the family is large, and each is looked up in an inverted
    index of the others: the longest lists are set apart, the short ones heap-merged, and only what they leave is
    probed for, by binary search, in the long ones. What reaches the required overlap is a link.
@@ -59,13 +59,13 @@ class Levels:
         return d, d + 1 + d // 6
 
 
-def class_keys(value: np.ndarray, first: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of all class keys of the sets in (value, first)."""
+def class_keys(value: np.ndarray, first: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, level) of all class keys of the sets in (value, first)."""
     sizes = np.diff(first)
-    docs, keys = [], []
+    docs, keys, where = [], [], []
     some = np.flatnonzero(sizes)
     if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     own = levels.of(sizes[some])
     pick, mixed = ta.mix(value ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32), ta.mix(value)
     for up in (0, 1):
@@ -83,7 +83,8 @@ def class_keys(value: np.ndarray, first: np.ndarray, levels: Levels) -> tuple[np
         salt = ta.mix((own[who] + up).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64))
         docs.append(some[who[send]])
         keys.append(ta.mix(total * np.uint64(0x9E3779B97F4A7C15) + salt)[send])
-    return np.concatenate(docs), np.concatenate(keys)
+        where.append((own[who[send]] + up).astype(np.uint8))
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(where)
 
 
 def _row(kind: int, *arrays: np.ndarray) -> tuple:
@@ -95,6 +96,19 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
 
+def _star(who: np.ndarray, key: np.ndarray, lev: np.ndarray) -> np.ndarray:
+    """Sorted keys -> distinct rows (level, document, least document) of those that share a key."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    lead = who[new][np.cumsum(new) - 1] if len(who) else who
+    return np.unique(np.stack([lev.astype(np.int64), who, lead], 1)[who != lead], axis=0)
+
+
+def _edges(who, key, lev, salt: int) -> list[tuple]:
+    star = _star(who, key, lev)
+    return [_row(-1 - salt, star[:, 1], star[:, 2], star[:, 0])] if len(star) else []
+
+
 def _signals(n: int, num: int, den: int, bits: int):
     """Texts -> rows of arrays by kind. 0 and up: a bucket of (32-bit keys, documents). Below, -1 - (4 * salt + what), with
     0: edges, 1: (documents, sizes, digests), 2: sizes of rows without a doc_id; the salt spreads them."""
@@ -113,35 +127,28 @@ def _signals(n: int, num: int, den: int, bits: int):
                 found = [_row(-2 - salt, own[~gone], sizes[~gone].astype(np.int64), digest[~gone])]
                 if gone.any():
                     found.append(_row(-3 - salt, sizes[gone].astype(np.int64)))
-                # A set that the chunk has already had only gives an edge.
+                # A set that the chunk has already had gives no keys.
                 live = np.flatnonzero(~gone & (sizes > 0))
                 live = live[np.lexsort((own[live], digest[live, 1], digest[live, 0]))]
                 new = np.ones(len(live), bool)
                 new[1:] = (digest[live[1:]] != digest[live[:-1]]).any(1)
-                lead = live[new][np.cumsum(new) - 1] if len(live) else live
-                edges = [(own[live[~new]], own[lead[~new]])]
                 only = np.zeros(len(c), bool)
                 only[live[new]] = True
                 keep = only[doc]
-                at, key = class_keys(value[keep], np.concatenate([[0], np.cumsum(np.where(only, sizes, 0))]), levels)
+                at, key, lev = class_keys(value[keep], np.concatenate([[0], np.cumsum(np.where(only, sizes, 0))]), levels)
                 who = own[at]
                 order = np.lexsort((who, key))
-                who, key = who[order], key[order]
+                who, key, lev = who[order], key[order], lev[order]
+                found += _edges(who, key, lev, salt)
                 new = np.ones(len(key), bool)
                 new[1:] = key[1:] != key[:-1]
-                lead = who[new][np.cumsum(new) - 1] if len(who) else who
-                edges.append((who[~new], lead[~new]))
-                pair = np.unique(np.stack([np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])], 1), axis=0)
-                pair = pair[pair[:, 0] != pair[:, 1]]
-                if len(pair):
-                    found.append(_row(-1 - salt, pair[:, 0], pair[:, 1]))
-                who, key = who[new], key[new]
+                who, key, lev = who[new], key[new], lev[new]
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[b], cuts[b + 1])
                     back = np.argsort(who[part], kind="stable")
-                    found.append(_row(int(b), (key[part] >> np.uint64(32 - bits)).astype(np.uint32)[back], who[part][back]))
+                    found.append(_row(int(b), (key[part] >> np.uint64(32 - bits)).astype(np.uint32)[back], who[part][back], lev[part][back]))
                 yield _rows(found)
 
     return run
@@ -155,28 +162,26 @@ _MET = "what int, src long, dst long, d1 long, d2 long"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """A bucket of keys -> edges from each document of a key to the least (32 bits of a key only add edges); the rest: rows."""
+    """A bucket of keys -> edges from each document of a key to the least, with the level as d1 (32 bits of a key only add
+    edges); the rest: rows."""
     kind = table["kind"][0].as_py()
     what = (-1 - kind) % 4 if kind < 0 else 0
-    a, d = None, None
+    a, d, e = None, None, None
     if kind >= 0:
-        key, who = _longs(table["a"], np.uint32), _longs(table["b"])
-        order = np.lexsort((who, key))
-        key, who = key[order], who[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        lead = who[new][np.cumsum(new) - 1]
-        pair = np.unique(np.stack([who, lead], 1)[who != lead], axis=0)
-        a, b = pair[:, 0], pair[:, 1]
+        key, who, lev = _longs(table["a"], np.uint32), _longs(table["b"]), _longs(table["c"], np.uint8)
+        order = np.lexsort((who, lev, key))
+        star = _star(who[order], key[order].astype(np.uint64) << np.uint64(8) | lev[order], lev[order])
+        a, b, d = star[:, 1], star[:, 2], star[:, 0]
     elif what == 2:
         b = _longs(table["a"])
     else:
-        a, b = _longs(table["a"]), _longs(table["b"])
-        d = _longs(table["c"]).reshape(-1, 2) if what == 1 else None
+        a, b, d = _longs(table["a"]), _longs(table["b"]), _longs(table["c"])
+        if what == 1:
+            d, e = d[0::2], d[1::2]
     void = pa.nulls(len(b), pa.int64())
     return pa.table({
         "what": pa.array(np.full(len(b), what, np.int32)), "src": void if a is None else pa.array(a), "dst": pa.array(b),
-        "d1": void if d is None else pa.array(d[:, 0].copy()), "d2": void if d is None else pa.array(d[:, 1].copy()),
+        "d1": void if d is None else pa.array(d.copy()), "d2": void if e is None else pa.array(e.copy()),
     })
 
 
@@ -220,8 +225,9 @@ def _merge_short(lists: list[np.ndarray], least: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of distinct-valued sets with den * |a & b| >= num * |a | b|; with sides, only pairs across them.
+def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of distinct-valued sets with den * |a & b| >= num * |a | b|; with sides, only pairs across them,
+    with parts, only pairs within one.
 
     DivideSkip: a set x of n shingles needs T = ceil(num * n / den) shared ones with any partner that isn't larger, so
     T - t of its longest lists can be left out if t of the short ones must hold the partner. t is 1 for the lists that
@@ -264,6 +270,8 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
         found = _merge_short([rank[a[i] : b[i]] for i in short if length[i]], 1)
         if side is not None and len(found):
             found = found[side[by_size[found]] != side[by_size[r]]]
+        if part is not None and len(found):
+            found = found[part[by_size[found]] == part[by_size[r]]]
         if not len(found):
             continue
         every = np.concatenate([short, long])
@@ -309,15 +317,17 @@ def _search(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
-        copies, block = table["copies"].to_numpy(), table["block"].to_numpy()
+        copies, block, level = (table[x].to_numpy() for x in ("copies", "block", "level"))
         seen, keep = set(), []
-        for i, (x, s) in enumerate(zip(ids.tolist(), sets, strict=True)):  # repeated rows count once
-            if (x, s.tobytes()) not in seen:
-                seen.add((x, s.tobytes()))
+        for i, x in enumerate(zip(ids.tolist(), level.tolist(), map(bytes, sets), strict=True)):  # repeated rows count once
+            if x not in seen:
+                seen.add(x)
                 keep.append(i)
-        ids, copies, block, sets = ids[keep], copies[keep], block[keep], [sets[i] for i in keep]
-        left, right = t_occurrence(sets, num, den, block if table["cross"][0].as_py() else None)
-        other = ids[left] != ids[right]
+        ids, copies, block, level, sets = ids[keep], copies[keep], block[keep], level[keep], [sets[i] for i in keep]
+        left, right = t_occurrence(sets, num, den, block if table["cross"][0].as_py() else None, level)
+        # a pair of the level below has been found there
+        own = Levels(num, den).of(np.array([len(x) for x in sets]))
+        other = (ids[left] != ids[right]) & (np.maximum(own[left], own[right]) == level[left])
         left, right = left[other], right[other]
         kept = _forest(len(sets), left, right)
         links = np.bincount(left, copies[right], len(sets)) + np.bincount(right, copies[left], len(sets))
@@ -346,8 +356,10 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
         some.join(reps.where("rep < last"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(),
         "op2-equal",
     )
-    family = connected_components(met.where("what = 0").select("src", "dst").union(equal))
-    members = reps.select(F.col("rep").alias("doc_id"), "copies").join(family.withColumnRenamed("node", "doc_id"), "doc_id")
+    node = lambda x: F.struct(F.col("d1").alias("level"), F.col(x).alias("doc_id"))
+    family = connected_components(met.where("what = 0").select(node("src").alias("src"), node("dst").alias("dst")))
+    family = family.select(F.col("node.doc_id").alias("doc_id"), F.col("node.level").alias("level"), F.xxhash64("component").alias("component"))
+    members = reps.select(F.col("rep").alias("doc_id"), "copies").join(family, "doc_id")
     large = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
     members = (
         members.join(large, "component")
@@ -358,14 +370,14 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     shared = members.agg(F.count("*")).first()[0]
     groups = max(1, shared // 1024)
     # small families share a group; a large one has groups of its own
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.col("component"))
-    members = members.withColumn("group", group).select("doc_id", "copies", "group", "block", "blocks")
+    group = F.when(F.col("blocks") == 1, F.pmod(F.col("component"), F.lit(groups))).otherwise(F.col("component"))
+    members = members.withColumn("group", group).select("doc_id", "copies", "level", "group", "block", "blocks")
     # only members' sets are shuffled; a member that the sieve lets through by chance goes in the join
     sets = texts.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)))
     sets = sets.mapInArrow(_member_sets(shingle, _sieve(members)), "doc_id long, items binary").join(members, "doc_id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
     dealt = sets.withColumn("pair", F.explode(meets)).select(
-        "doc_id", "copies", "group", "block", "blocks", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "items"
+        "doc_id", "copies", "level", "group", "block", "blocks", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "items"
     ).withColumn("cross", F.col("low") < F.col("high"))
     found, _ = materialize(dealt.groupBy("blocks", "group", "low", "high").applyInArrow(_search(num, den), "src long, dst long, links long"), "op2-links")
     component = connected_components(found.where("dst is not null").select("src", "dst").union(equal))

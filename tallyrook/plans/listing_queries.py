@@ -10,6 +10,7 @@ from tallyrook.functions import text as X
 from tallyrook.functions import urls as U
 from tallyrook.operators import listings as L
 from tallyrook.operators import resolve as E
+from tallyrook.session import materialize
 from tallyrook.plans.derived import BLOCKLIST, RAW_SQL, REFERENCE_DATE, raw_postings, table
 
 POLICY = L.Policy(profile="front", allowed_levels=("junior", "mid", "senior", "unknown"))
@@ -282,7 +283,7 @@ member as (select a as posting_id, min(b) as entity_id from reach group by a)"""
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.entities(listings(spark, sf_dir))
+    return E.entities(materialize(listings(spark, sf_dir), "listings")[0])
 
 
 view("e03_entity_resolution", members, lambda: {"posting_id": "posting_id", "entity_id": "entity_id"}, f"{ENTITY_SQL} select posting_id, entity_id from member")
@@ -291,7 +292,7 @@ view("e04_cautious_names", lambda s, d: E.cautious_groups(listings(s, d)), lambd
 
 
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir)
+    rows, _ = materialize(listings(spark, sf_dir), "listings")
     return E.merged(rows, E.entities(rows))
 
 

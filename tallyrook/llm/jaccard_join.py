@@ -51,6 +51,10 @@ class Levels:
             self.first.append(self.first[-1] * self.den // self.num + 1)
         return np.searchsorted(np.array(self.first), sizes, "right") - 1
 
+    def up_to(self, size: int) -> list[tuple[int, int]]:
+        """classes() of all levels up to that of a size."""
+        return [self.classes(x) for x in range(int(self.of(np.array([size]))[0]) + 2)]
+
     def classes(self, level: int) -> tuple[int, int]:
         """d, the most shingles by which linked sets of this level and the one before differ, and K."""
         while len(self.first) <= level + 1:
@@ -97,16 +101,23 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _star(who: np.ndarray, key: np.ndarray, lev: np.ndarray) -> np.ndarray:
-    """Sorted keys -> distinct rows (level, document, least document) of those that share a key."""
+    """Sorted keys -> rows (level, document, least document of the key, keys), for the keys that two documents share.
+
+    The least document has rows with itself, so a document's keys add up to how many of its keys another has too.
+    """
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    lead = who[new][np.cumsum(new) - 1] if len(who) else who
-    return np.unique(np.stack([lev.astype(np.int64), who, lead], 1)[who != lead], axis=0)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(key)))
+    shared = np.repeat(who[first] != who[np.append(first[1:], len(key)) - 1], size)
+    rows = np.stack([lev.astype(np.int64), who, np.repeat(who[first], size)], 1)[shared]
+    rows, count = np.unique(rows, axis=0, return_counts=True)
+    return np.column_stack([rows, count])
 
 
 def _edges(who, key, lev, salt: int) -> list[tuple]:
     star = _star(who, key, lev)
-    return [_row(-1 - salt, star[:, 1], star[:, 2], star[:, 0])] if len(star) else []
+    return [_row(-1 - salt, star[:, 1], star[:, 2], np.ascontiguousarray(star[:, [0, 3]]))] if len(star) else []
 
 
 def _signals(n: int, num: int, den: int, bits: int):
@@ -162,8 +173,8 @@ _MET = "what int, src long, dst long, d1 long, d2 long"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """A bucket of keys -> edges from each document of a key to the least, with the level as d1 (32 bits of a key only add
-    edges); the rest: rows."""
+    """A bucket of keys -> edges from each document of a key to the least, with level and number of keys as d1 and d2 (32 bits
+    of a key only add edges); the rest: rows."""
     kind = table["kind"][0].as_py()
     what = (-1 - kind) % 4 if kind < 0 else 0
     a, d, e = None, None, None
@@ -171,16 +182,15 @@ def _meet(table: pa.Table) -> pa.Table:
         key, who, lev = _longs(table["a"], np.uint32), _longs(table["b"]), _longs(table["c"], np.uint8)
         order = np.lexsort((who, lev, key))
         star = _star(who[order], key[order].astype(np.uint64) << np.uint64(8) | lev[order], lev[order])
-        a, b, d = star[:, 1], star[:, 2], star[:, 0]
+        d, a, b, e = star.T
     elif what == 2:
         b = _longs(table["a"])
     else:
-        a, b, d = _longs(table["a"]), _longs(table["b"]), _longs(table["c"])
-        if what == 1:
-            d, e = d[0::2], d[1::2]
+        a, b, both = _longs(table["a"]), _longs(table["b"]), _longs(table["c"])
+        d, e = both[0::2], both[1::2]
     void = pa.nulls(len(b), pa.int64())
     return pa.table({
-        "what": pa.array(np.full(len(b), what, np.int32)), "src": void if a is None else pa.array(a), "dst": pa.array(b),
+        "what": pa.array(np.full(len(b), what, np.int32)), "src": void if a is None else pa.array(a.copy()), "dst": pa.array(b.copy()),
         "d1": void if d is None else pa.array(d.copy()), "d2": void if e is None else pa.array(e.copy()),
     })
 
@@ -358,6 +368,10 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     )
     node = lambda x: F.struct(F.col("d1").alias("level"), F.col(x).alias("doc_id"))
     family = connected_components(met.where("what = 0").select(node("src").alias("src"), node("dst").alias("dst")))
+    # who shares fewer keys of a level than linked sets must can't link there: it only holds its family together
+    need = F.element_at(F.array(*[F.lit(k - d) for d, k in Levels(num, den).up_to(1 << 40)]), F.col("d1").cast("int") + 1)
+    met_keys = met.where("what = 0").groupBy("src", "d1").agg(F.sum("d2").alias("keys")).where(F.col("keys") >= need)
+    family = family.join(met_keys.select(F.struct(F.col("d1").alias("level"), F.col("src").alias("doc_id")).alias("node")), "node", "left_semi")
     family = family.select(F.col("node.doc_id").alias("doc_id"), F.col("node.level").alias("level"), F.xxhash64("component").alias("component"))
     members = reps.select(F.col("rep").alias("doc_id"), "copies").join(family, "doc_id")
     large = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")

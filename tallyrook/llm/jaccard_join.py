@@ -396,7 +396,7 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     found, _ = materialize(dealt.groupBy("blocks", "group", "low", "high").applyInArrow(_search(num, den), "src long, dst long, links long"), "op2-links")
     component = connected_components(found.where("dst is not null").select("src", "dst").union(equal))
     counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("links"))
-    own = some.join(reps, ["d1", "d2"]).join(counts.withColumnRenamed("src", "rep"), "rep", "left")
+    own = some.select("doc_id", "d1", "d2").distinct().join(reps, ["d1", "d2"]).join(counts.withColumnRenamed("src", "rep"), "rep", "left")
     own = own.groupBy("doc_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = docs.select("doc_id", F.col("n").alias("n_shingles"))
     out = (

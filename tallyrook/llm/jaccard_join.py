@@ -284,6 +284,14 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
             found = found[part[by_size[found]] == part[by_size[r]]]
         if not len(found):
             continue
+        if len(found) * n > int(length.sum()):
+            # so many candidates that merging the long lists too is less work than looking each candidate up
+            ranks = np.concatenate([rank[a[i] : b[i]] for i in np.flatnonzero(length)])
+            shared = np.bincount(ranks - low, minlength=r - low)[found - low]
+            found = found[(den + num) * shared >= num * (n + size_by_rank[found])]
+            left += [by_size[r]] * len(found)
+            right += by_size[found].tolist()
+            continue
         every = np.concatenate([short, long])
         shared = np.zeros(len(found), np.int64)
         step = max(1, (1 << 20) // len(found))

@@ -3,11 +3,14 @@
 Paragraphs are lines. A paragraph's features are its distinct 1- and 2-grams of words (lower-cased runs of letters,
 digits and dots), a sparse vector. A multinomial logistic regression over licence families and `unknown` is fitted, on
 the driver, to a fixed and bounded set: each family's sentences and pieces of them, and as many made-up and neutral
-lines, plus up to `n_unknown` paragraphs sampled from the corpus. Features of the corpus sample or the neutral lines
-alone have no weight for a family, so a paragraph without a licence word needs no scoring: it is unknown. The
-temperature and the least probability (calibrated unknown class) come from pieces that the fit leaves out. A prediction
+lines, plus up to `n_unknown` distinct paragraphs of whole texts that overlap no template. The temperature and the least probability (calibrated unknown class) come from pieces that the fit leaves out. A prediction
 is confirmed if enough of the family's best template is in the paragraph, or of the paragraph in the template.
 
+Which paragraphs are scored follows from the templates and neutral lines alone, never from the sample: those with a
+2-gram of a template or a cue (a word of templates that no neutral line has), and those of at most SHORT words that are all
+of templates. No other paragraph can be confirmed: of more than three words, without a shared 2-gram, less than 0.6 of
+the 1- and 2-grams of either side are shared.
+
 Scoring is relational: candidate paragraphs -> their n-grams -> join with the weights (a few thousand rows, whose number
 the templates bound) -> sums by paragraph and family -> softmax. Hot documents or lines don't matter: sums combine
 before the shuffle, and weights are broadcast.
@@ -87,6 +90,8 @@ NEUTRAL = (
 )
 UNKNOWN = "unknown"
 _WORD = r"[\p{L}\p{N}.]+"
+#: Paragraphs that are left out of the sample of unknown ones: with a licence word, or this share of a template's n-grams.
+_LICENCE, APART, SHORT = r"licen[sc]e|spdx|copyright|creative commons|all rights", 0.3, 3
 
 
 def _words(line: str) -> list[str]:
@@ -103,29 +108,72 @@ def word_list(line: Column) -> Column:
     return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
 
 
-def gram_list(words: Column) -> Column:
+def pair_list(words: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def gram_list(words: Column) -> Column:
+    return F.array_distinct(F.concat(words, pair_list(words)))
+
+
+_WORDS = {w for family in TEMPLATES.values() for line in family for w in _words(line)}
+#: Words of templates that no neutral line has, and 2-grams of templates: a line with one is a candidate.
+CUES = sorted(w for w in _WORDS - {w for line in NEUTRAL for w in _words(line)} if not w.isdigit())
+PAIRS = sorted({g for family in TEMPLATES.values() for line in family for g in _grams(_words(line)) if " " in g})
+
+
+def _strings(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def may_declare(words: Column) -> Column:
+    """Whether a line of these words is a candidate."""
+    short = (F.size(words) > 0) & (F.size(words) <= SHORT) & (F.size(F.array_except(words, _strings(sorted(_WORDS)))) == 0)
+    return F.arrays_overlap(words, _strings(CUES)) | short | F.arrays_overlap(pair_list(words), _strings(PAIRS))
+
+
+def overlap(shapes: Column, grams: Column, n_grams: Column) -> Column:
+    """The greatest share of n-grams, of the smaller side, that a line has in common with one of the templates."""
+    return F.array_max(F.transform(shapes, lambda t: F.size(F.array_intersect(t, grams)) / F.least(F.size(t), F.greatest(n_grams, F.lit(1)))))
+
+
+def _shapes(family: str) -> Column:
+    return F.array(*[_strings(sorted(_grams(_words(t)))) for t in TEMPLATES.get(family, ("-",))])
 
 
 class Model:
-    """weights: {gram: [weight of each family]}; cues: the words that only licences have; temperature, least."""
+    """weights: {gram: [weight of each family]}; temperature, least."""
 
-    def __init__(self, families, weights, bias, cues, temperature, least):
+    def __init__(self, families, weights, bias, temperature, least):
         self.families, self.weights, self.bias = families, weights, bias
-        self.cues, self.temperature, self.least = cues, temperature, least
+        self.temperature, self.least = temperature, least
+
+
+def unknown_lines(documents: DataFrame, n: int, seed: int) -> list[str]:
+    """The n distinct lines of least hash that overlap no template, or all of them if there are fewer."""
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(20, 400)).withColumn("h", F.xxhash64("line", F.lit(seed)))
+    distinct = lines.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 8 * n / max(1, distinct))
+    while True:
+        # lines of a range of hashes that holds more than n distinct ones; a wider one if too many of them overlap
+        some = lines.where(F.col("h") <= F.lit(min(2**63 - 1, int(2**64 * share) - 2**63))).distinct()
+        grams = gram_list(word_list(F.col("line")))
+        some = some.withColumn("grams", grams).where(~F.lower("line").rlike(_LICENCE))
+        apart = F.greatest(*[overlap(_shapes(f), F.col("grams"), F.size("grams")) for f in TEMPLATES]) < APART
+        found = [r["line"] for r in some.where(apart).select("line", "h").orderBy("h", "line").limit(n).collect()]
+        if len(found) == n or share == 1:
+            return found
+        share = min(1.0, 8 * share)
 
 
 def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: int = 5) -> Model:
-    """Fit to the templates, the neutral lines and at most n_unknown corpus paragraphs, those of least hash."""
+    """Fit to the templates, the neutral lines and at most n_unknown corpus paragraphs."""
     rng = random.Random(seed)
-    lines = documents.select(F.explode(F.split(F.substring_index("text", "\n", 3), "\n")).alias("line"))
-    sample = lines.where(F.length("line").between(20, 400)).select("line", F.xxhash64("line", F.lit(seed)).alias("h")).orderBy("h", "line").limit(n_unknown)
-    neutral = [*NEUTRAL, *(r["line"] for r in sample.collect())]
+    neutral = [*NEUTRAL, *unknown_lines(documents, n_unknown, seed)]
     families = [*TEMPLATES, UNKNOWN]
-    known = {w for family in TEMPLATES.values() for line in family for w in _words(line)}
-    plain = {w for line in neutral for w in _words(line) if not re.search(r"licen[sc]e|spdx|copyright|creative commons|all rights", line.lower())}
-    cues = sorted(w for w in known - plain if not w.isdigit())
+    plain = {w for line in neutral for w in _words(line)}
+    sure = {*CUES, *PAIRS}
     rows: list[tuple[set[str], int]] = []
     for k, family in enumerate(TEMPLATES):
         for line in TEMPLATES[family]:
@@ -137,14 +185,12 @@ def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: in
                 a = rng.randint(0, len(w) - n) if len(w) > n else 0
                 around = rng.sample(sorted(plain), 4)
                 piece = [*around[: rng.randint(0, 2)], *w[a : a + n], *around[2 : 2 + rng.randint(0, 2)]]
-                if set(piece) & set(cues):
+                if _grams(piece) & sure:
                     rows.append((_grams(piece), k))
     for line in neutral:
         w = _words(line)
-        if set(w) & set(cues):
-            continue  # it may declare a licence itself
         rows.append((_grams(w), len(families) - 1))
-        for cue in rng.sample(cues, 1):  # a licence word alone is no declaration
+        for cue in rng.sample(CUES, 1):  # a licence word alone is no declaration
             rows.append((_grams([*w[: len(w) // 2], cue, *w[len(w) // 2 :]]), len(families) - 1))
     rng.shuffle(rows)
     grams = sorted(set().union(*(_grams(_words(x)) for f in TEMPLATES.values() for x in f)))
@@ -176,32 +222,31 @@ def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: in
     p /= p.sum(1, keepdims=True)
     wrong = p[(p.argmax(1) != truth) & (p.argmax(1) != len(families) - 1)].max(1, initial=0)
     least = float(min(0.9, max(0.5, wrong.max(initial=0))))
-    return Model(families, {g: [float(v) for v in w[i]] for g, i in at.items()}, [float(v) for v in b], cues, temperature, least)
+    return Model(families, {g: [float(v) for v in w[i]] for g, i in at.items()}, [float(v) for v in b], temperature, least)
 
 
 def scan(documents: DataFrame, model: Model | None = None, min_overlap: float = 0.6) -> DataFrame:
     """documents (doc_id, text, ...) -> a row for each input row:
 
-    doc_id, n_paragraphs (lines), n_candidates (lines with a licence word), families (sorted, of confirmed lines),
+    doc_id, n_paragraphs (lines), n_candidates (lines that may declare a licence), families (sorted, of confirmed lines),
     family (of the surest confirmed line, else `unknown`), score (its probability, else 0), n_unconfirmed (lines
     predicted to be of a family that no template confirms).
     """
     spark = documents.sparkSession
     model = model or train(documents)
-    cues = F.array(*map(F.lit, model.cues))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    # a licence word is looked for in the text before lines are cut
     listed = F.transform(lines, word_list)
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size(lines).alias("n_paragraphs"), F.filter(listed, lambda w: F.arrays_overlap(w, cues)).alias("found"))
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size(lines).alias("n_paragraphs"), F.filter(listed, may_declare).alias("found"))
     flat = base.select("doc_id", "row", "n_paragraphs", F.size("found").alias("n_candidates"), F.posexplode_outer("found").alias("line", "words"))
-    flat = flat.withColumn("grams", gram_list(F.coalesce("words", F.array().cast("array<string>"))))
+    flat = flat.withColumn("grams", gram_list(F.coalesce("words", F.array().cast("array<string>")))).withColumn("n_grams", F.size("grams"))
+    flat = flat.withColumn("grams", F.array_intersect("grams", _strings(sorted(model.weights)))).drop("words")  # the others have no weight
     weights = spark.createDataFrame(list(model.weights.items()), "gram string, weight array<double>")
     sums = [F.sum(F.coalesce(F.col("weight")[k], F.lit(0.0))).alias(f"z{k}") for k in range(len(model.families))]
     scored = (
         flat.withColumn("gram", F.explode_outer("grams"))
         .join(F.broadcast(weights), "gram", "left")
         .groupBy("row", "line")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("n_candidates").alias("n_candidates"), F.first("grams").alias("grams"), *sums)
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("n_candidates").alias("n_candidates"), F.first("grams").alias("grams"), F.first("n_grams").alias("n_grams"), *sums)
     )
     z = F.array(*[(F.round(F.col(f"z{k}"), 9) + model.bias[k]) / model.temperature for k in range(len(model.families))])
     scored = scored.withColumn("z", z).withColumn("top", F.array_max("z"))
@@ -209,11 +254,8 @@ def scan(documents: DataFrame, model: Model | None = None, min_overlap: float =
         "p", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     )
     own = F.element_at(F.array(*map(F.lit, model.families)), F.col("k") + 1)
-    shapes = F.array(*[F.array(*[F.array(*map(F.lit, sorted(_grams(_words(t))))) for t in TEMPLATES.get(f, ("-",))]) for f in model.families])
-    alike = F.array_max(F.transform(
-        F.element_at(shapes, F.col("k") + 1),
-        lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.least(F.size(t), F.greatest(F.size("grams"), F.lit(1))),
-    ))
+    shapes = F.array(*map(_shapes, model.families))
+    alike = overlap(F.element_at(shapes, F.col("k") + 1), F.col("grams"), F.col("n_grams"))
     scored = scored.withColumn("family", F.when(F.col("line").isNotNull() & (F.col("p") >= model.least) & (own != UNKNOWN), own))
     scored = scored.withColumn("ok", F.col("family").isNotNull() & (alike >= min_overlap))
     best = F.max(F.when(F.col("ok"), F.struct(F.round("p", 6).alias("p"), (-F.col("line")).alias("l"), F.col("family").alias("f"))))

@@ -276,6 +276,22 @@ def test_licences(spark):
     assert got == [(0, "mit"), (0, "mit"), (1, "cc-by-nc-4.0"), (2, "unknown"), (3, "unknown"), (4, "unknown"), (5, "unknown")]
 
 
+def test_licence_candidates_do_not_depend_on_other_lines(spark):
+    plain = ["all of the boats came home before dark that night", "we saw all rivers and any hill from there", "it can be seen with or without a glass by the water"]
+    texts = ["All rights reserved.", "first line\nsecond line\nthird line\nAll rights reserved.", "rights reserved", *plain]
+    got = {r.doc_id: (r.n_candidates, r.family) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i][1] for i in range(6)] == ["proprietary"] * 3 + ["unknown"] * 3
+    assert [got[i][0] for i in range(3)] == [1, 1, 1]
+
+
+def test_sample_of_unknown_lines(spark):
+    """Distinct lines of whole texts, without those that overlap a template."""
+    texts = ["one line that is common to all texts\n" * 3 + f"line {i} stands deep in its text\nReleased under the terms of the MIT" for i in range(40)]
+    got = licenses.unknown_lines(spark.createDataFrame([(t,) for t in texts], "text string"), 500, 5)
+    assert sorted(got) == sorted(["one line that is common to all texts", *(f"line {i} stands deep in its text" for i in range(40))])
+    assert licenses.unknown_lines(spark.createDataFrame([(t,) for t in texts], "text string"), 7, 5) == got[:7]
+
+
 def test_words_at_chunk_edges():
     texts = ["a b", "", None, "c", "é f"]
     for size in (1, 3, 100):

@@ -63,13 +63,14 @@ class Levels:
         return d, d + 1 + d // 6
 
 
-def class_keys(value: np.ndarray, first: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key, level) of all class keys of the sets in (value, first)."""
+def class_keys(value: np.ndarray, first: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, level) of all class keys of the sets in (value, first); rows (document, level, empty classes) where
+    linked sets agree on two classes or more and some are empty."""
     sizes = np.diff(first)
-    docs, keys, where = [], [], []
+    docs, keys, where, void = [], [], [], []
     some = np.flatnonzero(sizes)
     if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros((0, 3), np.int64)
     own = levels.of(sizes[some])
     pick, mixed = ta.mix(value ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32), ta.mix(value)
     for up in (0, 1):
@@ -82,13 +83,15 @@ def class_keys(value: np.ndarray, first: np.ndarray, levels: Levels) -> tuple[np
         np.add.at(total, at, mixed)
         who = np.repeat(np.arange(len(some)), k)
         cls = np.arange(base[-1]) - base[who]
-        empties = np.bincount(who, count == 0, len(some))
+        empties = np.bincount(who, count == 0, len(some)).astype(np.int64)
+        less = np.flatnonzero((empties > 0) & (k - d > 1))
+        void.append(np.stack([some[less], own[less] + up, empties[less]], 1))
         send = (count > 0) | (empties >= k - d)[who]
         salt = ta.mix((own[who] + up).astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64))
         docs.append(some[who[send]])
         keys.append(ta.mix(total * np.uint64(0x9E3779B97F4A7C15) + salt)[send])
         where.append((own[who[send]] + up).astype(np.uint8))
-    return np.concatenate(docs), np.concatenate(keys), np.concatenate(where)
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(where), np.concatenate(void)
 
 
 def _row(kind: int, *arrays: np.ndarray) -> tuple:
@@ -122,7 +125,7 @@ def _edges(who, key, lev, salt: int) -> list[tuple]:
 
 def _signals(n: int, num: int, den: int, bits: int):
     """Texts -> rows of arrays by kind. 0 and up: a bucket of (32-bit keys, documents). Below, -1 - (4 * salt + what), with
-    0: edges, 1: (documents, sizes, digests), 2: sizes of rows without a doc_id; the salt spreads them."""
+    0: edges, 1: (documents, sizes, digests), 2: sizes of rows without a doc_id, 3: empty classes; the salt spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
@@ -146,7 +149,9 @@ def _signals(n: int, num: int, den: int, bits: int):
                 only = np.zeros(len(c), bool)
                 only[live[new]] = True
                 keep = only[doc]
-                at, key, lev = class_keys(value[keep], np.concatenate([[0], np.cumsum(np.where(only, sizes, 0))]), levels)
+                at, key, lev, empty = class_keys(value[keep], np.concatenate([[0], np.cumsum(np.where(only, sizes, 0))]), levels)
+                if len(empty):
+                    found.append(_row(-4 - salt, own[empty[:, 0]], own[empty[:, 0]], np.ascontiguousarray(empty[:, 1:])))
                 who = own[at]
                 order = np.lexsort((who, key))
                 who, key, lev = who[order], key[order], lev[order]
@@ -174,7 +179,7 @@ _MET = "what int, src long, dst long, d1 long, d2 long"
 
 def _meet(table: pa.Table) -> pa.Table:
     """A bucket of keys -> edges from each document of a key to the least, with level and number of keys as d1 and d2 (32 bits
-    of a key only add edges); the rest: rows."""
+    of a key only add edges); the rest: rows, of empty classes with level and their number as d1 and d2."""
     kind = table["kind"][0].as_py()
     what = (-1 - kind) % 4 if kind < 0 else 0
     a, d, e = None, None, None
@@ -376,9 +381,13 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     )
     node = lambda x: F.struct(F.col("d1").alias("level"), F.col(x).alias("doc_id"))
     family = connected_components(met.where("what = 0").select(node("src").alias("src"), node("dst").alias("dst")))
-    # who shares fewer keys of a level than linked sets must can't link there: it only holds its family together
+    # Who shares fewer keys of a level than linked sets must can't link there: it only holds its family together. The classes
+    # that linked sets agree on may be empty in both, and an empty one gives no key if either has few: each that a document
+    # has takes one off what it must share, down to one key.
     need = F.element_at(F.array(*[F.lit(k - d) for d, k in Levels(num, den).up_to(1 << 40)]), F.col("d1").cast("int") + 1)
-    met_keys = met.where("what = 0").groupBy("src", "d1").agg(F.sum("d2").alias("keys")).where(F.col("keys") >= need)
+    met_keys = met.where("what in (0, 3)").groupBy("src", "d1").agg(
+        F.sum(F.when(F.col("what") == 0, F.col("d2"))).alias("keys"), F.max(F.when(F.col("what") == 3, F.col("d2"))).alias("empty")
+    ).where(F.col("keys") >= F.greatest(F.lit(1), need - F.coalesce("empty", F.lit(0))))
     family = family.join(met_keys.select(F.struct(F.col("d1").alias("level"), F.col("src").alias("doc_id")).alias("node")), "node", "left_semi")
     family = family.select(F.col("node.doc_id").alias("doc_id"), F.col("node.level").alias("level"), F.xxhash64("component").alias("component"))
     members = reps.select(F.col("rep").alias("doc_id"), "copies").join(family, "doc_id")

@@ -95,6 +95,18 @@ def test_t_occurrence_equals_all_pairs():
     assert {tuple(sorted(p, reverse=True)) for p in zip(left.tolist(), right.tolist(), strict=True)} == want
 
 
+@pytest.mark.parametrize(("x", "y", "both"), [(27, 27, 24), (26, 28, 24), (28, 28, 25)])
+def test_short_sets_at_the_threshold_link(spark, x, y, both):
+    """Pairs whose classes are partly empty, many of them: 24 of 30 is 0.8 exactly."""
+    texts = []
+    for seed in range(1500):
+        w = [f"w{seed}x{i}" for i in range(x + y - both)]
+        texts += [" ".join(w[:x]), " ".join(w[x - both :])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(df, 1, 80, 100).collect()}
+    assert got == {i: ((x, y)[i % 2], i - i % 2, 1) for i in range(len(texts))}
+
+
 def test_empty_tables(spark, none):
     assert jaccard_join.jaccard_join(none, 3, 90, 100).count() == 0
     assert suffix_dedup.removal_digests(none).count() == 0

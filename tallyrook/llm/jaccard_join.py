@@ -9,8 +9,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 2. Families. Documents that share a key of a size level hang together; connected components of that, level by level, are
    families. Equal sets are one member, the least doc_id; copies are counted, not compared.
 3. Search. Members of a family meet in a task, in blocks if the family is large, and each is looked up in an inverted
-   index of the others: the longest lists are set apart, the short ones heap-merged, and only what they leave is
-   probed for, by binary search, in the long ones. What reaches the required overlap is a link.
+   index of the others: the longest lists are set apart, as many as DivideSkip's rule says, the short ones merged and
+   counted, and what they leave is probed for, by binary search, in the long ones. What reaches the overlap is a link.
 4. Links and copies give components.
 
 Hot groups: within a chunk of texts a key is sent once, with the links that the chunk shows by itself, so a key has no
@@ -36,7 +36,11 @@ from tallyrook.llm import textarrays as ta
 from tallyrook.operators.components import connected_components
 from tallyrook.session import materialize
 
-BLOCK, SIEVE = 2048, 1 << 23
+BLOCK = 2048
+#: Bits of the sieve: SIEVE_SHARE for each member, between these bounds (16 MiB at most; beyond, more other rows pass).
+SIEVE_SHARE, SIEVE_LEAST, SIEVE_MOST = 8, 1 << 20, 1 << 27
+#: The published tuning constant of DivideSkip's number of long lists.
+MU = 0.0085
 _SIGNALS = "kind int, a binary, b binary, c binary"
 
 
@@ -200,14 +204,14 @@ def _meet(table: pa.Table) -> pa.Table:
     })
 
 
-def _sieve(members: DataFrame) -> np.ndarray:
-    """A bitmap of SIEVE bits, whatever the size of the table: the members' hashed ids. Made as sums of 64 bits each."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+def _sieve(members: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of so many bits: the members' hashed ids. Made as sums of 64 bits each."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     words = members.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = np.zeros(SIEVE // 64, np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    out = np.zeros(bits // 64, np.int64)
+    for part in words.toArrow().to_batches():
+        out[part.column("w").to_numpy()] = part.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def _member_sets(n: int, sieve: np.ndarray):
@@ -215,7 +219,8 @@ def _member_sets(n: int, sieve: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(sieve[batch.column("at").to_numpy()]))
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for c in ta.chunks(batch.column("text")):
                 _, value, first = ta.shingle_sets(c, n)
                 sets = pa.array([value[first[i] : first[i + 1]].tobytes() for i in range(len(c))], pa.binary())
@@ -224,39 +229,40 @@ def _member_sets(n: int, sieve: np.ndarray):
     return run
 
 
-def _merge_short(lists: list[np.ndarray], least: int) -> np.ndarray:
-    """Members that stand in at least `least` of the sorted lists: a heap merge, or its vectorised like for many entries."""
-    if sum(map(len, lists)) > 2000:
-        who, count = np.unique(np.concatenate(lists), return_counts=True)
-        return who[count >= least]
-    out, last, seen = [], -1, 0
-    for x in heapq.merge(*(y.tolist() for y in lists)):
-        if x == last:
-            seen += 1
-        else:
-            last, seen = x, 1
-        if seen == least:
-            out.append(x)
-    return np.array(out, np.int64)
+def _merge_short(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members that stand in at least `least` of the sorted lists, and in how many: a heap merge of few entries; of many,
+    NumPy's stable sort, which merges the sorted runs that it finds."""
+    if sum(map(len, lists)) <= 256:
+        every = np.fromiter(heapq.merge(*(y.tolist() for y in lists)), np.int64)
+    else:
+        every = np.sort(np.concatenate(lists), kind="stable")
+    head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else every
+    count = np.diff(np.append(head, len(every)))
+    some = count >= least
+    return every[head[some]], count[some]
+
+
+def long_lists(need: int, longest: int) -> int:
+    """How many of the longest lists DivideSkip sets apart when `need` occurrences are asked for: need / (MU log2 longest + 1)."""
+    return min(need - 1, int(need / (MU * np.log2(max(2, longest)) + 1)))
 
 
 def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j) of distinct-valued sets with den * |a & b| >= num * |a | b|; with sides, only pairs across them,
     with parts, only pairs within one.
 
-    DivideSkip: a set x of n shingles needs T = ceil(num * n / den) shared ones with any partner that isn't larger, so
-    T - t of its longest lists can be left out if t of the short ones must hold the partner. t is 1 for the lists that
-    are far longer than the others, and what the short lists leave is looked up in the long ones by binary search.
+    DivideSkip (Li, Lu, Lu 2008): a set of n shingles needs T = ceil(num * n / den) shared ones with any partner that isn't
+    larger. L of its longest lists, by the published rule, are set apart; a partner then stands in T - L of the short
+    ones at least, which are merged and counted, and what reaches T - L there is looked up in the long lists by binary search.
     """
     sizes = np.array([len(x) for x in sets])
     token = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     who = np.repeat(np.arange(len(sets)), sizes)
-    order = np.lexsort((sizes[who], token)) if len(token) else np.zeros(0, np.int64)
     # members by size, so that every list is sorted by rank, and a query only sees ranks below its own
     rank_of = np.empty(len(sets), np.int64)
     by_size = np.lexsort((np.arange(len(sets)), sizes))
     rank_of[by_size] = np.arange(len(sets))
-    token, rank = token[order], rank_of[who[order]]
+    rank = rank_of[who]
     order = np.lexsort((rank, token))
     token, rank = token[order], rank[order]
     head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -281,35 +287,31 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
         if np.count_nonzero(length) < need:
             continue
         by_length = np.argsort(length, kind="stable")
-        short, long = by_length[: n - need + 1], by_length[n - need + 1 :]
-        found = _merge_short([rank[a[i] : b[i]] for i in short if length[i]], 1)
+        apart = long_lists(need, int(length.max()))
+        short, long = by_length[: n - apart], by_length[n - apart :]
+        found, shared = _merge_short([rank[a[i] : b[i]] for i in short if length[i]], need - apart)
         if side is not None and len(found):
-            found = found[side[by_size[found]] != side[by_size[r]]]
+            fit = side[by_size[found]] != side[by_size[r]]
+            found, shared = found[fit], shared[fit]
         if part is not None and len(found):
-            found = found[part[by_size[found]] == part[by_size[r]]]
+            fit = part[by_size[found]] == part[by_size[r]]
+            found, shared = found[fit], shared[fit]
         if not len(found):
             continue
-        if len(found) * n > int(length.sum()):
-            # so many candidates that merging the long lists too is less work than looking each candidate up
-            ranks = np.concatenate([rank[a[i] : b[i]] for i in np.flatnonzero(length)])
-            shared = np.bincount(ranks - low, minlength=r - low)[found - low]
-            found = found[(den + num) * shared >= num * (n + size_by_rank[found])]
-            left += [by_size[r]] * len(found)
-            right += by_size[found].tolist()
-            continue
-        every = np.concatenate([short, long])
-        shared = np.zeros(len(found), np.int64)
+        long = long[::-1]  # the longest first, where a partner is likeliest
         step = max(1, (1 << 20) // len(found))
-        for k in range(0, n, step):
-            probe = (lists[every[k : k + step], None] * len(sets) + found[None, :]).ravel()
+        for k in range(0, apart, step):
+            probe = (lists[long[k : k + step], None] * len(sets) + found[None, :]).ravel()
             at = np.minimum(np.searchsorted(place, probe), len(place) - 1)
-            shared += (place[at] == probe).reshape(-1, len(found)).sum(0)
-            rest = n - min(n, k + step)
+            shared = shared + (place[at] == probe).reshape(-1, len(found)).sum(0)
+            rest = apart - min(apart, k + step)
             fit = (den + num) * (shared + rest) >= num * (n + size_by_rank[found])
             if not fit.all():
                 found, shared = found[fit], shared[fit]
                 if not len(found):
                     break
+        fit = (den + num) * shared >= num * (n + size_by_rank[found])
+        found = found[fit]
         left += [by_size[r]] * len(found)
         right += by_size[found].tolist()
     return np.array(left, np.int64), np.array(right, np.int64)
@@ -404,8 +406,9 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     group = F.when(F.col("blocks") == 1, F.pmod(F.col("component"), F.lit(groups))).otherwise(F.col("component"))
     members = members.withColumn("group", group).select("doc_id", "copies", "level", "group", "block", "blocks")
     # only members' sets are shuffled; a member that the sieve lets through by chance goes in the join
-    sets = texts.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)))
-    sets = sets.mapInArrow(_member_sets(shingle, _sieve(members)), "doc_id long, items binary").join(members, "doc_id")
+    bits = min(SIEVE_MOST, max(SIEVE_LEAST, 1 << (SIEVE_SHARE * shared - 1).bit_length()))
+    sets = texts.where("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    sets = sets.mapInArrow(_member_sets(shingle, _sieve(members, bits)), "doc_id long, items binary").join(members, "doc_id")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high")))
     dealt = sets.withColumn("pair", F.explode(meets)).select(
         "doc_id", "copies", "level", "group", "block", "blocks", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "items"

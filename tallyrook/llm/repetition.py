@@ -65,11 +65,15 @@ def longest_repeats(word_hash: np.ndarray, doc: np.ndarray) -> np.ndarray:
     last = np.searchsorted(doc, doc, "right")
     live = np.flatnonzero((doc[a] == doc[b]) & (word_hash[a] == word_hash[b]))
     a, b = a[live], b[live]
-    up, down = ta.powers(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hash * up[:n])])
+    up, down = ta.modular_powers(n + 1)
+    total = ta.modular_sums(ta.modular_product(ta.modular_rest(word_hash), up[:n]))
+    prime = np.uint64(ta.PRIME)
+
+    def polynomial(x, size):
+        return ta.modular_product(ta.modular_rest(total[x + size] + prime - total[x]), down[x])
 
     def equal(x, y, size):
-        return (total[x + size] - total[x]) * down[x] == (total[y + size] - total[y]) * down[y]
+        return polynomial(x, size) == polynomial(y, size)
 
     # gallop: double the common prefix while it holds, then halve the steps
     common, room = np.ones(len(a), np.int64), np.minimum(last[a] - a, last[b] - b)

@@ -48,7 +48,7 @@ def window_anchors(c: ta.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[
     if n < length:
         return np.zeros(n, bool), np.zeros(n, np.uint64)
     at = np.arange(n - k + 1)
-    value = ta.span_hashes(c.data, at, at + k, False)
+    value = ta.rolling_hashes(c.data, at, at + k)
     width, least, reach = length - k + 1, value, 1
     while reach * 2 <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -187,7 +187,7 @@ def _segments(bits: int):
                 if not len(at):
                     continue
                 size = windows + LENGTH - 1
-                name = ta.span_hashes(c.data, at, at + size, False)
+                name = ta.rolling_hashes(c.data, at, at + size)
                 order = np.lexsort((own[doc], name))
                 new = np.ones(len(order), bool)
                 new[1:] = name[order[1:]] != name[order[:-1]]

@@ -23,7 +23,12 @@ _SAME = np.arange(256, dtype=np.uint8)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD1342543DE82EF95
 _BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NEAR = 64
+#: A random number for each byte at each of the first places of a span; later places are mixed from the last row's.
+_PLACE_VALUE = np.random.default_rng(20240608).integers(0, 2**64, _NEAR * 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+#: The Mersenne prime of modular_*() and the base of its powers.
+PRIME, _BASE = 2**61 - 1, 0x0B4E1A5C3D2F7961
 
 
 def _start(n: int) -> np.uint64:
@@ -122,16 +127,69 @@ def words(c: Chunk) -> Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of byte ranges: equal bytes have equal hashes wherever they stand."""
+    """64-bit hashes of byte ranges: sums of a random number for each pair of byte and place in its range.
+
+    No pattern of bytes makes such sums agree, of any length; two different ranges do so by chance, once in 2**64.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    last = np.cumsum(size)
+    place = np.arange(int(last[-1])) - np.repeat(last - size, size)
+    byte = (_LOWER if lower else _SAME)[data[np.repeat(start, size) + place]]
+    value = _PLACE_VALUE[np.minimum(place, _NEAR - 1) << 8 | byte]
+    far = np.flatnonzero(place >= _NEAR - 1)
+    value[far] = mix(value[far] + place[far].astype(np.uint64) * _STEP)
+    total = np.empty(len(value) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(value, out=total[1:])
+    return mix(total[last] - total[last - size] + size.astype(np.uint64) * _STEP)
+
+
+def rolling_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Like span_hashes() for ranges that overlap, at a cost that follows the data: for choosing and grouping alone, since
+    long ranges of a certain pattern (Thue-Morse) agree whatever their bytes; who needs equal bytes compares them."""
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE_VALUE[(_LOWER if lower else _SAME)[data]] * up[: len(data)], out=total[1:])
+    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
 
 
+def modular_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it: by halves, as 2**61 is 1."""
+    half, low = np.uint64(31), np.uint64(2**31 - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return modular_rest((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64(2**30 - 1)) << half) + a0 * b0)
+
+
+def modular_rest(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def modular_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, modulo PRIME, of a fixed base and of its inverse."""
+    if len(_powers.get("modular", ())) < n:
+        for name, base in (("modular", _BASE), ("inverse", pow(_BASE, -1, PRIME))):
+            x = np.ones(1, np.uint64)
+            while len(x) < n:
+                x = np.concatenate([x, modular_product(x, np.full(len(x), pow(base, len(x), PRIME), np.uint64))])
+            _powers[name] = x
+    return _powers["modular"][:n], _powers["inverse"][:n]
+
+
+def modular_sums(value: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... numbers below PRIME, modulo it; their halves add up without overflow."""
+    out = np.zeros(len(value) + 1, np.uint64)
+    high, low = np.cumsum(value >> np.uint64(32)), np.cumsum(value & np.uint64(2**32 - 1))
+    out[1:] = modular_rest(modular_product(modular_rest(high), np.full(len(high), 2**32, np.uint64)) + modular_rest(low))
+    return out
+
+
 def run_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each n words on end; the last n - 1 starts are left out."""
     m = len(word_hash) - n + 1

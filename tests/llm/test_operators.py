@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty, long and repeated texts, ties and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -107,6 +108,88 @@ def test_short_sets_at_the_threshold_link(spark, x, y, both):
     assert got == {i: ((x, y)[i % 2], i - i % 2, 1) for i in range(len(texts))}
 
 
+def _few_keys(pairs, n, levels):
+    """Indices of pairs of texts whose class keys agree in fewer than K - d."""
+    few, at_pair = [], 0
+    for c in textarrays.chunks(pa.array([t for p in pairs for t in p], pa.string()), 1 << 40):
+        _, value, first = textarrays.shingle_sets(c, n)
+        at, key, lev, _ = jaccard_join.class_keys(value, first, levels)
+        name = np.stack([lev.astype(np.uint64), key], 1)
+        cuts = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[cuts], np.arange(len(c) + 1))
+        for d in range(0, len(c), 2):
+            level = int(levels.of(np.array([first[d + 1] - first[d]]))[0])
+            x, y = ({tuple(k) for k in name[cuts[ends[e] : ends[e + 1]]].tolist() if k[0] == level} for e in (d, d + 1))
+            fewest = levels.classes(level)
+            few += [at_pair + d // 2] * (len(x & y) < fewest[1] - fewest[0])
+        at_pair += len(c) // 2
+    return few
+
+
+@pytest.mark.parametrize(("n", "num", "words", "change", "seeds"), [(3, 90, 59, 29, range(32000, 41000)), (5, 80, 32, 2, range(4000))])
+def test_pairs_that_share_few_class_keys_link(spark, n, num, words, change, seeds):
+    """One changed word, Jaccard exactly 54/60 or 25/31: pairs that share fewer than K - d keys among them."""
+    pairs = []
+    for seed in seeds:
+        w = [f"w{seed}x{i}" for i in range(words)]
+        pairs.append((" ".join(w), " ".join([*w[:change], f"other{seed}", *w[change + 1 :]])))
+    few = _few_keys(pairs, n, jaccard_join.Levels(num, 100))
+    assert few
+    pairs = [pairs[i] for i in few] + pairs[:300]
+    a, b = (shingles(t, n) for t in pairs[0])
+    assert 100 * len(a & b) >= num * len(a | b)
+    df = spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(df, n, num, 100).collect()}
+    assert all(v >= 1 for v in got.values()) and len(got) == 2 * len(pairs)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_borderline_pairs_of_all_sizes_link(spark, num):
+    """10000 pairs of sets of 2 to 200 one-word shingles that differ as much as linked sets may."""
+    rng, texts, sizes = random.Random(num), [], []
+    while len(sizes) < 10000:
+        x = rng.randint(2, 200)
+        y = rng.randint(x, x * 100 // num)
+        both = -(-num * (x + y) // (100 + num))
+        if both <= x:
+            w = [f"p{len(sizes)}w{i}" for i in range(x + y - both)]
+            texts += [" ".join(w[:x]), " ".join(w[x - both :])]
+            sizes.append((x, y))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(df, 1, num, 100).collect()}
+    assert got == {i: (sizes[i // 2][i % 2], i - i % 2, 1) for i in range(len(texts))}
+
+
+def thue_morse(n):
+    x = np.array([bin(i).count("1") & 1 for i in range(n)], np.uint8)
+    return bytes(97 + x).decode(), bytes(98 - x).decode()
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_lines_and_texts_that_trick_polynomial_hashes(spark, n):
+    """Thue-Morse strings: a polynomial modulo a power of two can't tell them from their complements."""
+    a, b = thue_morse(n)
+    spaced = " ".join(f"w{x}" for x in a), " ".join(f"w{x}" for x in b)
+    texts = [a, b, f"{a} x y", f"{b} x y", f"{a}\n{b}\n{a}", *spaced, f"{spaced[0]} q {spaced[1]} r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(df, 3, 90, 100).collect()}
+    assert [got[i].component_id for i in range(5)] == [0, 1, 2, 3, 4]
+    rules = {r.doc_id: r for r in repetition.quality_rules(df).collect()}
+    assert (rules[4].n_dup_lines, rules[4].n_words) == (1, 3)
+    for i in (5, 6, 7):
+        w = "".join(x[-1] for x in words_of(texts[i]))
+        tails = sorted(w[x:] for x in range(len(w)))
+        assert rules[i].longest_repeat == max(len(os.path.commonprefix(p)) for p in zip(tails, tails[1:], strict=False))
+    assert Counter(map(tuple, suffix_dedup.removal_digests(df).collect())) == removed([(i, t) for i, t in enumerate(texts)])
+    items = spark.createDataFrame([(1, a), (2, f"{b} x y")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.containment_search(df, items).collect()} == {(0, 1), (3, 2)}
+
+
+def test_number_of_long_lists():
+    assert [jaccard_join.long_lists(54, m) for m in (2, 1024, 1 << 20)] == [53, 49, 46]
+    assert jaccard_join.long_lists(1, 100) == 0
+
+
 def test_empty_tables(spark, none):
     assert jaccard_join.jaccard_join(none, 3, 90, 100).count() == 0
     assert suffix_dedup.removal_digests(none).count() == 0

@@ -40,16 +40,22 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     own = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
 
-    def piece(t: Column, i: Column) -> Column:
-        head = F.concat(F.lit(START), escape(t["role"]), F.lit(CONTENT))
-        before = F.col("t")[i - 1]["role"]
-        lead = F.when(i == 0, head).when(before == t["role"], F.lit(PART)).otherwise(F.concat(F.lit(END), head))
-        return F.concat(lead, escape(t["text"]))
+    def turn_of_run(run: Column) -> Column:
+        head = F.concat(F.lit(START), escape(run["role"]), F.lit(CONTENT))
+        return F.concat(head, F.array_join(F.transform(run["parts"], escape), PART), F.lit(END))
 
-    text = F.concat(F.array_join(F.transform("t", piece), ""), F.lit(END))
+    text = F.array_join(F.transform(merged_runs("t"), turn_of_run), "")
     return own.select("conv_id", text.alias("formatted")).select("conv_id", "formatted", segments_of("formatted", loss_role).alias("segments"))
 
 
+def merged_runs(turns: str) -> Column:
+    """An array of turns (role, text) -> its runs of one role: array of struct(role, parts). Each turn is touched once."""
+    t = F.col(turns)
+    heads = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i - 1)["role"] != F.get(t, i)["role"]))
+    ends = F.concat(F.slice(heads, 2, F.size(heads)), F.array(F.size(t)))
+    return F.zip_with(heads, ends, lambda a, b: F.struct(F.get(t, a)["role"].alias("role"), F.transform(F.slice(t, a + 1, b - a), lambda x: x["text"]).alias("parts")))
+
+
 def blocks_of(formatted: str) -> Column:
     """The runs of one role in an output: array of struct(role, parts), still escaped."""
     blocks = F.filter(F.split(F.col(formatted), r"<\|im_end\|>\n"), lambda b: b != "")

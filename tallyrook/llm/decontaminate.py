@@ -9,7 +9,8 @@ fewer than four shingles are looked up by their shingles. Each candidate pair of
 exactly, on all shingles of the document.
 
 Items are a stated query set: they go to every task in blocks of about BLOCK_BYTES of text, one pass over the
-documents a block, and nothing is shuffled.
+documents a block, and nothing is shuffled. The driver holds GROUP blocks at a time: what a group has found, or left over,
+is written before the next group's items are read.
 
 Cases: an item or text without words has no shingles and no matches; with fewer words than a shingle, its sequence is
 its only one; null ids are kept as null; each input row is judged by itself; an empty table of items matches nothing;
@@ -20,6 +21,7 @@ its longest text.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrook.llm import textarrays as ta
+from tallyrook.session import materialize
 
-HASHES, STEP, TINY, BLOCK_BYTES = 64, 8, 3, 4 << 20
+HASHES, STEP, TINY, BLOCK_BYTES, GROUP = 64, 8, 3, 4 << 20, 8
 _FACTORS = np.random.default_rng(77).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,7 +124,7 @@ def matches(c: ta.Chunk, items: Items, shingle: int, num: int, den: int) -> tupl
 
 
 def item_blocks(benchmark: DataFrame, shingle: int):
-    """The items, block by block, on the driver: each block has about BLOCK_BYTES of text at most."""
+    """The items, block by block, on the driver: each block has about BLOCK_BYTES of text, or one longer item."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     blocks = max(1, -(-ta.total_bytes(rows) // BLOCK_BYTES))
     for b in range(blocks):
@@ -134,6 +137,13 @@ def item_blocks(benchmark: DataFrame, shingle: int):
         yield Items([r["item_id"] for r in got], sets)
 
 
+def _groups(benchmark: DataFrame, shingle: int):
+    """The blocks of items, GROUP at a time."""
+    blocks = item_blocks(benchmark, shingle)
+    while group := list(itertools.islice(blocks, GROUP)):
+        yield group
+
+
 def containment_search(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents (doc_id, text, ...), benchmark (item_id, text, ...) -> doc_id, item_id, n_shingles (of the item), n_shared."""
 
@@ -151,8 +161,13 @@ def containment_search(documents: DataFrame, benchmark: DataFrame, shingle: int
         return inner
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [rows.mapInArrow(run(items), "doc_id long, item_id long, n_shingles long, n_shared long") for items in item_blocks(benchmark, shingle)]
-    return functools.reduce(DataFrame.union, parts)
+    found = None
+    for group in _groups(benchmark, shingle):
+        part = functools.reduce(DataFrame.union, [rows.mapInArrow(run(items), "doc_id long, item_id long, n_shingles long, n_shared long") for items in group])
+        if len(group) == GROUP:
+            part, _ = materialize(part, "op9-found")
+        found = part if found is None else found.union(part)
+    return found
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -170,8 +185,11 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int =
 
         return inner
 
-    for items in item_blocks(benchmark, shingle):
-        documents = documents.mapInArrow(run(items), schema)
+    for group in _groups(benchmark, shingle):
+        for items in group:
+            documents = documents.mapInArrow(run(items), schema)
+        if len(group) == GROUP:
+            documents, _ = materialize(documents, "op9-left")
     return documents
 
 

@@ -3,12 +3,13 @@
 Features of a text are its 2- to 4-byte strings that stand inside a word or touch its end (A-Z lower-cased, other ASCII
 than letters taken as a gap), hashed to 2**HASH_BITS rows of an embedding. The mean of a text's rows goes through a
 linear softmax; both are trained by stochastic gradient descent in NumPy on a bounded sample. Since mean and linear map
-commute, prediction needs one row of class scores a feature. A temperature fitted on sampled rows that training leaves
+commute, prediction takes the mean of class scores where these are narrower than embeddings. A temperature fitted on sampled rows that training leaves
 out calibrates the score; the least score whose accepted share of those rows is right often enough is the rejection
 threshold.
 
 Sample: of each language about `per_language` rows, chosen by a hash of doc_id; of each at most a whole text and a few
-short pieces, each as counts of its features, so what reaches the driver has a bound of its own.
+short pieces, each as counts of its features. Of more than MAX_LANGUAGES distinct values of lang, the most frequent are
+learned. So what reaches the driver has a bound of its own.
 
 Cases: a null text, or one without a letter, is `und` with score 0, not accepted; a null doc_id has held_out false and
 isn't learned from; rows are predicted one by one; other columns are ignored; without a learnable row all are `und`; an
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyrook.llm import textarrays as ta
 
-HASH_BITS, DIM, MAX_LANGUAGES = 16, 16, 512
+HASH_BITS, DIM, MAX_LANGUAGES = 16, 16, 4096
 _PIECES = (64, 16, 6, 3)
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -38,13 +39,14 @@ _LETTER[65:91] = np.arange(97, 123)
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # of each hashed feature, before the mean
+    table: np.ndarray  # of each hashed feature: its class scores if languages are few, else its embedding
+    weight: np.ndarray | None  # from embeddings to class scores
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
-        z = (mean + self.bias) / self.temperature
+        z = ((mean if self.weight is None else mean @ self.weight) + self.bias) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -99,24 +101,22 @@ def held_out() -> F.col:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, per_language: int = 300, epochs: int = 8, rate: float = 2.0, precision: float = 0.99, seed: int = 11) -> Model:
+def train(documents: DataFrame, per_language: int = 300, max_languages: int = MAX_LANGUAGES, epochs: int = 8, rate: float = 2.0, precision: float = 0.99, seed: int = 11) -> Model:
     """Learn from text and lang of rows that held_out() leaves; documents as for identify()."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
-        return Model([], np.zeros((2**HASH_BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+        return Model([], np.zeros((2**HASH_BITS, 0), np.float32), None, np.zeros(0), 1.0, 1.0)
+    known = rows.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
+    rows = rows.join(F.broadcast(known), "lang")  # max_languages rows at most
     pick = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
-    sample = rows.withColumn("pick", pick).where(F.col("pick") < share * float(1 << 40))
+    sample = rows.withColumn("pick", pick).where(F.col("pick") < F.col("share") * float(1 << 40))
     got = sample.mapInArrow(_units(seed), "lang string, pick long, f binary, n binary").collect()
     got.sort(key=lambda r: (r["lang"], r["pick"], len(r["f"]), bytes(r["f"])))
     languages = sorted(counts)
-    label = np.array([languages.index(r["lang"]) for r in got])
+    number = {x: k for k, x in enumerate(languages)}
+    label = np.array([number[r["lang"]] for r in got])
     f = [np.frombuffer(r["f"], np.uint32) for r in got]
     n = [np.frombuffer(r["n"], np.uint32).astype(np.float32) for r in got]
     rng = np.random.default_rng(seed)
@@ -146,10 +146,10 @@ def train(documents: DataFrame, per_language: int = 300, epochs: int = 8, rate:
             weight -= step * mean.T @ z
             bias -= step * z.sum(0)
             np.add.at(table, ids, -step * 16 * back[row] * share[:, None])
-    scores = (table @ weight).astype(np.float32)
-    model = Model(languages, scores, bias, 1.0, 0.0)
+    few = len(languages) <= DIM
+    model = Model(languages, (table @ weight).astype(np.float32) if few else table, None if few else weight, bias, 1.0, 0.0)
     test = np.flatnonzero(aside) if aside.any() else fit
-    mean = np.stack([(scores[f[i]] * n[i][:, None]).sum(0) / max(1, n[i].sum()) for i in test])
+    mean = np.stack([(model.table[f[i]] * n[i][:, None]).sum(0) / max(1, n[i].sum()) for i in test])
     best = None
     for t in np.geomspace(0.1, 10, 41):
         model.temperature = float(t)
@@ -175,7 +175,7 @@ def _predict(model: Model):
                 if model.languages and some.any():
                     f, doc = features(c)
                     count = np.bincount(doc, minlength=len(c))
-                    mean = np.stack([np.bincount(doc, model.scores[f, j], len(c)) for j in range(len(model.languages))], 1) / np.maximum(count, 1)[:, None]
+                    mean = np.stack([np.bincount(doc, model.table[f, j], len(c)) for j in range(model.table.shape[1])], 1) / np.maximum(count, 1)[:, None]
                     p = model.probabilities(mean)
                     names[some] = np.array(model.languages, object)[p.argmax(1)][some]
                     scores[some] = p.max(1)[some]

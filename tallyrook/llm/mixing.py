@@ -8,11 +8,14 @@ documents whose seeded hash falls into the buckets that make it up; in the last
 missing fraction of its words.
 
 Only sums by source and by (source, bucket) are shuffled, pre-aggregated; a source is a group of 2**BUCKET_BITS rows
-at most. Hot sources cost nothing, since documents meet their source's row by a join of small keys.
+at most. They boil down to one row a source (whole repetitions, the bucket that is cut, its share), written as a table.
+If that has BROADCAST_ROWS rows or fewer, it is broadcast and no document moves; beyond, documents meet it by a join on
+the source, whose hot keys adaptive execution splits.
 
 Cases: a null text has size 0; a null source is a source of its own, last; a null doc_id hashes as the empty string;
 rows that share a doc_id are in one bucket; a source without words has target 0; an empty table gives no rows. Other
-columns are kept by mixed(), ignored by mix_plan().
+columns are ignored by mix_plan() and kept by mixed(), but for input columns named size, source_size, target or taken: the
+mix's own stand in their place.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 12
+from tallyrook.session import materialize
+
+BUCKET_BITS, BROADCAST_ROWS = 12, 20_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -57,27 +62,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return rows.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """documents (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken; a row for each input row."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size"))
-    return _taken(rows, weights, percent, max_epochs, seed).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def _taken(rows: DataFrame, weights: tuple[int, ...], percent: int, max_epochs: int, seed: int) -> DataFrame:
-    """rows with doc_id, source and size, and source_size, target and taken."""
-    rows = rows.withColumn("bucket", bucket_of("doc_id", seed))
+def source_deal(rows: DataFrame, weights: tuple[int, ...], percent: int, max_epochs: int) -> DataFrame:
+    """(source, bucket, size) -> source, source_size, target, whole, cut (the bucket that is cut), share (of its words); a
+    table of one row a source, broadcast if it is small."""
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, percent, max_epochs)
     of = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     deal = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(of), F.lit(0)))
     deal = deal.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    deal = deal.withColumn("whole", whole)
+    deal = deal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     extra = F.col("target") - F.col("whole") * F.col("source_size") - F.col("before")
     share = F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), extra / F.col("words")))).otherwise(F.lit(0.0))
-    deal = deal.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "source_size", "target", "whole", share.alias("share"))
-    out = rows.join(deal, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-    return out.withColumn("taken", (F.col("size") * F.col("whole") + F.floor(F.col("size") * F.col("share") + 0.5)).cast("long"))
+    deal = deal.withColumn("share", share)
+    # shares fall with the bucket: 1 below the one that is cut, 0 above it
+    last = F.max(F.when(F.col("share") > 0, F.struct("bucket", "share")))
+    deal = deal.groupBy("source").agg(*[F.first(x).alias(x) for x in ("source_size", "target", "whole")], last.alias("last"))
+    deal, _ = materialize(deal.select(F.col("source").alias("of"), "source_size", "target", "whole", F.coalesce("last.bucket", F.lit(-1)).alias("cut"), F.coalesce("last.share", F.lit(0.0)).alias("share")), "op7-deal")
+    return F.broadcast(deal) if deal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else deal
+
+
+def _taken(rows: DataFrame, deal: DataFrame) -> DataFrame:
+    """rows with source, size and bucket, and source_size, target and taken."""
+    share = F.when(F.col("bucket") < F.col("cut"), 1.0).when(F.col("bucket") == F.col("cut"), F.col("share")).otherwise(0.0)
+    out = rows.join(deal, F.col("source").eqNullSafe(F.col("of")))
+    return out.withColumn("taken", (F.col("size") * F.col("whole") + F.floor(F.col("size") * share + 0.5)).cast("long"))
+
+
+def _sized(documents: DataFrame, seed: int, *more: Column) -> DataFrame:
+    rows = documents.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size"))
+    return rows.withColumn("bucket", bucket_of("doc_id", seed))
+
+
+def mix_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, max_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """documents (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken; a row for each input row.
+
+    The texts are read once: sizes are written before they are summed.
+    """
+    rows, _ = materialize(_sized(documents, seed), "op7-sizes")
+    return _taken(rows, source_deal(rows, weights, percent, max_epochs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, max_epochs: int = 2, seed: int = 7) -> DataFrame:
@@ -85,8 +107,8 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
 
     A document whose taken is its size, or a multiple, is repeated whole so often; else the rest is that many of its words.
     """
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("size"))
-    out = _taken(rows, weights, percent, max_epochs, seed).where("taken > 0")
+    deal = source_deal(_sized(documents, seed), weights, percent, max_epochs)
+    out = _taken(_sized(documents, seed, F.struct("*").alias("row")), deal).where("taken > 0")
     own = [F.col(f"row.`{x}`").alias(x) for x in documents.columns if x not in ("size", "source_size", "target", "taken")]
     return out.select(*own, "size", "source_size", "target", "taken")
 

@@ -116,18 +116,20 @@ def _scan(end: int):
 def separator_counts(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
     """(file, block, ids) -> file, ordinal, n_tokens, ended: a row for each document of each file, in order from 0."""
     kind = blocks.schema["file"].dataType.simpleString()
-    rows = blocks.select("file", "block", "ids").mapInArrow(_scan(end), f"file {kind}, block long, n long, ends long, lead long, inner array<long>, tail long")
+    found, _ = materialize(blocks.select("file", "block", "ids").mapInArrow(_scan(end), f"file {kind}, block long, n long, ends long, lead long, inner array<long>, tail long"), "op3-blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("ordinal", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    # only the few numbers of a block go through the scan; the counts between separators stay in the table
+    rows = found.drop("inner").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("ordinal", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # where the document that is open at a block's start began: behind the last separator of the blocks before
     opened = F.coalesce(F.max(F.when(F.col("ends") > 0, F.col("start") + F.col("n") - F.col("tail"))).over(before), F.lit(0))
     rows = rows.withColumn("carry", F.col("start") - opened)
-    counts = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carry") + F.col("lead")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
-    ended = rows.select("file", "ordinal", F.posexplode(counts).alias("k", "n_tokens")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
+    crossed = rows.where("ends > 0").select("file", "ordinal", (F.col("carry") + F.col("lead")).alias("n_tokens"), F.lit(True).alias("ended"))
+    inner = found.where("ends > 1").select("file", "block", F.posexplode("inner").alias("k", "n_tokens"))
+    inner = inner.join(rows.select("file", "block", "ordinal"), ["file", "block"]).select("file", (F.col("ordinal") + F.col("k") + 1).alias("ordinal"), "n_tokens", F.lit(True))
     last = rows.groupBy("file").agg(
         F.sum("ends").alias("ordinal"), (F.sum("n") - F.coalesce(F.max(F.when(F.col("ends") > 0, F.col("start") + F.col("n") - F.col("tail"))), F.lit(0))).alias("n_tokens")
     )
-    return ended.union(last.where("n_tokens > 0").select("file", "ordinal", "n_tokens", F.lit(False)))
+    return crossed.union(inner).union(last.where("n_tokens > 0").select("file", "ordinal", "n_tokens", F.lit(False)))
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

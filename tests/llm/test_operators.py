@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyrook.llm import chat, decontaminate, jaccard_join, langid, licenses, mixing, repetition, suffix_dedup, textarrays, token_files, url_filter
 
@@ -198,6 +199,8 @@ def test_empty_tables(spark, none):
     assert langid.identify(none).count() == 0 and licenses.scan(none).count() == 0
     assert chat.format_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert decontaminate.containment_search(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert decontaminate.drop_contaminated(none, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+    assert suffix_dedup.cut_texts(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
 def removed(rows):
@@ -283,6 +286,24 @@ def test_decontamination(spark, docs, rows):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {r[0] for r in rows} - dirty
 
 
+def test_blocks_and_groups_of_items(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(i, r.text[k : k + 300]) for i, (k, r) in enumerate((k, r) for r in docs.where("length(text) > 500").collect() for k in (0, 150))], "item_id long, text string")
+    whole = Counter(map(tuple, decontaminate.containment_search(docs, items).collect()))
+    kept = Counter(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(decontaminate, "GROUP", 2)
+    assert Counter(map(tuple, decontaminate.containment_search(docs, items).collect())) == whole
+    assert Counter(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == kept
+    assert decontaminate.containment_search(docs, items.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_mix_of_many_sources_is_the_same_without_a_broadcast(docs, monkeypatch):
+    rows = sorted(map(tuple, mixing.mix_plan(docs).na.fill(-1).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, mixing.mix_plan(docs).na.fill(-1).collect())) == rows
+    assert mixing.mixed(docs).columns == [*[x for x in docs.columns if x != "size"], "size", "source_size", "target", "taken"]
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_plan(docs).collect()
     assert len(got) == len(rows) and got and sorted(map(tuple, mixing.mix_plan(docs.repartition(5)).na.fill(-1).collect())) == sorted(map(tuple, mixing.mix_plan(docs).na.fill(-1).collect()))
@@ -334,10 +355,31 @@ def test_urls(spark):
 
 def test_reputation_blocks_bad_hosts(spark):
     hosts = [(f"h{i}.site{i % 5}.org", 40, 1) for i in range(30)] + [("bad.site0.org", 40, 38), ("new.site9.org", 0, 0)]
-    low = {r.host: r.low for r in url_filter.host_reputation(spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
+    low = {r.site: r.low for r in url_filter.host_reputation(spark.createDataFrame(hosts, "site string, n long, bad long")).collect()}
     assert low["bad.site0.org"] > 0.25 and all(v < 0.25 for h, v in low.items() if h != "bad.site0.org")
 
 
+def test_sites_domains_and_suffixes(spark):
+    cases = {
+        "u:p@www.example.com:8080": ("www.example.com", "example.com", "com"), "example.com.": ("example.com", "example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", "ip"),
+        "[::1]:80": ("[::1]", "[::1]", "ip"), "a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "x.com.mx": ("x.com.mx", "x.com.mx", "com.mx"), "me.github.io": ("me.github.io", "me.github.io", "github.io"),
+        "": ("", "", ""), "localhost": ("localhost", "localhost", "localhost"),
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "host string").withColumn("site", url_filter.site_of(F.col("host")))
+    got = df.select("host", "site", url_filter.registered_domain(F.col("site")).alias("d"), url_filter.suffix(F.col("site")).alias("s")).collect()
+    assert {r.host: (r.site, r.d, r.s) for r in got} == cases
+
+
+def test_urls_of_empty_tables_and_scans(spark, tmp_path):
+    none, no_labels = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert url_filter.filter_urls(none, no_labels).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 100_000), (None, "http://b.org"), (1, "http://a.org/")], "page_id long, url string")
+    assert {r.verdict for r in url_filter.filter_urls(pages, no_labels).collect()} == {"allow"}
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    plan = url_filter.filter_urls(spark.read.parquet(f"{tmp_path}/pages.parquet"), no_labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_start|>", "a<|part|>b\\", "[INST] x [/INST]</s>", "\\<\\[", "", None, "é😀<|im_end|>\n", "<", "[\\"]
     rng = random.Random(1)
@@ -364,6 +406,36 @@ def test_language_identification(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("languages", [3, 40])
+def test_predictions_equal_plain_ones(spark, languages):
+    """Each prediction against its own features, one byte string at a time, and the same model."""
+    rng = random.Random(languages)
+    words = {k: ["".join(rng.choice("abcdefgé漢"[k % 7 :] + "xyz") for _ in range(rng.randint(1, 6))) for _ in range(30)] for k in range(languages)}
+    rows = [(i, " ".join(rng.choice(words[i % languages]) for _ in range(rng.randint(1, 40))), f"l{i % languages}") for i in range(languages * 30)] + [(9000, "", "l0"), (9001, "É", "l1"), (9002, "a1b--C", None)]
+    df = spark.createDataFrame([(*r, "en", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = langid.train(df, epochs=2)
+    assert len(model.languages) == languages and (model.weight is None) == (languages <= langid.DIM)
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    for i, text, _ in rows:
+        data = " " + re.sub("[^a-z\x80-\uffff]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)) + " "
+        data, found = data.encode(), []
+        for n in (2, 3, 4):
+            for k in range(len(data) - n + 1):
+                x = data[k : k + n]
+                if b" " not in x[1:-1] if n > 2 else x != b"  ":
+                    found.append((((int.from_bytes(x, "big") ^ n * 0x45D9F3B) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.HASH_BITS))
+        if not re.search(r"[^\W\d_]", text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = model.probabilities(model.table[found].astype(float).mean(0, keepdims=True))[0]
+        assert got[i].lang_pred == model.languages[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-5
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    df = spark.createDataFrame([(i, f"word{i % 5} and more", f"l{i % 5}" if i % 7 else "l0") for i in range(200)], "doc_id long, text string, lang string")
+    assert langid.train(df, max_languages=2, epochs=1).languages[0] == "l0"
+
+
 def test_licences(spark):
     texts = ["Some words.\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "nothing here", None, "", "He got a driving license in may.\nThe source was copied."]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, row string").union(spark.createDataFrame([(0, texts[0], "x")], "doc_id long, text string, row string"))

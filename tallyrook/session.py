@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memo
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or the session's checkpoint folder, or, in a local session
+    (tests), a temporary one. A cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyrook.work.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-tallyrook-", dir="/tmp")
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            root = named.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            root = "file://" + tempfile.mkdtemp(prefix="spark-tallyrook-", dir="/tmp")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("tallyrook.work.dir", root)
     return root.rstrip("/")
 

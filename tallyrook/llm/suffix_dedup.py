@@ -8,15 +8,20 @@ are judged on the input and never cross documents.
    or more documents are marked. Windows without a marked anchor can't repeat and go no further.
 2. Segments. Runs of windows with one marked anchor, at most LENGTH + ANCHOR bytes long, go to the anchor's bucket.
 3. Each bucket's segments are a collection of strings whose Burrows-Wheeler transform is built column by column from the
-   right (Bauer, Cox, Rosone 2013): each round inserts one symbol of every string and the row that it opens. Neighbouring
-   rows whose common prefix reaches LENGTH are one string, whose least doc_id keeps its bytes.
-4. Spans meet their documents again, by doc_id.
+   right (Bauer, Cox, Rosone 2013): each round inserts one symbol of every string and the row that it opens, and brings
+   the common prefixes of neighbouring rows up to date from those of the round before. Neighbours whose common prefix
+   reaches LENGTH are one string, whose least doc_id keeps its bytes. Columns are taken in turn from a file of the task's,
+   and each round's transform is written to files that the next round reads from front to back.
+4. Spans meet their documents again, by doc_id and text.
 
 A whole collection can't be built in one such run: rounds would follow the longest text, and every round would rewrite
-the files of the transform. Anchors make it many collections of bounded rounds, whose files are arrays in memory.
+the files of the transform. Anchors make it many collections of bounded rounds.
 
 Hot groups: exact copies of a document with a smaller doc_id are removed whole and give no anchors; within a chunk of
-texts an anchor is sent once, and equal segments are settled by the chunk, so only their least document's is sent.
+texts an anchor is sent once, and equal segments are settled by the chunk, so only their least document's is sent. An
+anchor that comes from more than HOT chunks is hot: its windows are dealt by their own hash instead of the anchor's, so
+a bucket gets a window once a chunk at most, however many documents share the anchor. Tasks know the hot anchors by a bitmap
+of SIEVE bits.
 
 Cases: a null text is empty; a null doc_id counts as larger than any; rows with equal doc_id don't count against each
 other, each is judged by its own text; a text under LENGTH bytes keeps all; an empty table gives no rows.
@@ -25,6 +30,7 @@ other, each is judged by its own text; a text under LENGTH bytes keeps all; an e
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +41,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrook.llm import textarrays as ta
+from tallyrook.session import materialize
 
-LENGTH, ANCHOR = 50, 25
+LENGTH, ANCHOR, HOT, SIEVE = 50, 25, 4096, 1 << 23
+_STRINGS = 4096  # of a collection, or those of one anchor
 _NEVER = np.uint64(2**64 - 1)
 _END = 255  # no byte of UTF-8
 _BLOBS = "bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -89,13 +97,18 @@ def _row(bucket: int, *arrays) -> tuple:
 
 
 def _anchors(bits: int):
-    """Texts -> rows for each bucket: (32-bit anchors, documents); or, negative bucket, what the chunk has marked itself."""
+    """Texts -> rows for each bucket: (32-bit anchors, whose, documents); or, negative bucket, what the chunk has marked itself.
+
+    Documents are (doc_id, text hash), twice as many numbers, and `whose` their places among them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = ta.ids_of(batch.column("__id"))
-            for c in ta.chunks(batch.column("__text")):
-                own = ids[c.first : c.first + len(c)]
+            names, _ = ta.ids_of(batch.column("__th"))
+            for c in ta.chunks(batch.column("text")):
+                own, th = ids[c.first : c.first + len(c)], names[c.first : c.first + len(c)]
+                both = np.stack([own, th], 1)
                 whole, least = window_anchors(c)
                 at, _ = _runs(c, whole, least, 2**40)
                 doc = np.searchsorted(c.offsets, at, "right") - 1
@@ -105,7 +118,10 @@ def _anchors(bits: int):
                 lead = np.zeros(len(c), np.int64)
                 lead[order] = own[order][np.maximum.accumulate(np.where(np.append(True, name[order][1:] != name[order][:-1]), np.arange(len(c)), 0))]
                 keep = (lead == own)[doc]
-                who, key = own[doc[keep]], least[at[keep]] >> np.uint64(32 - bits) << np.uint64(32 - bits)
+                place = np.empty(len(c), np.int64)  # documents by doc_id
+                place[np.lexsort((th, own))] = np.arange(len(c))
+                back = np.argsort(place)
+                who, key = place[doc[keep]], least[at[keep]] >> np.uint64(32 - bits) << np.uint64(32 - bits)
                 order = np.lexsort((who, key))
                 who, key = who[order], key[order]
                 new = np.ones(len(key), bool)
@@ -117,14 +133,15 @@ def _anchors(bits: int):
                 many = np.repeat(size > 1, size)
                 found = []
                 if many.any():
-                    found.append(_row(-1 - int(key[many][0] >> np.uint64(64 - bits)), who[many], key[many]))
+                    found.append(_row(-1 - int(key[many][0] >> np.uint64(64 - bits)), key[many], who[many].astype(np.uint16), both[back]))
                 who, key = who[head], key[head]
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[b], cuts[b + 1])
-                    back = np.argsort(who[part], kind="stable")
-                    found.append(_row(int(b), (key[part] >> np.uint64(32 - bits)).astype(np.uint32)[back], who[part][back]))
+                    order = np.argsort(who[part], kind="stable")
+                    some, index = np.unique(who[part][order], return_inverse=True)
+                    found.append(_row(int(b), (key[part] >> np.uint64(32 - bits)).astype(np.uint32)[order], index.astype(np.uint16), both[back[some]]))
                 if found:
                     yield _batch(found)
 
@@ -132,36 +149,55 @@ def _anchors(bits: int):
 
 
 def _by_document(who: np.ndarray, key: np.ndarray) -> pa.Table:
-    order = np.argsort(who, kind="stable")
+    """(doc_id, text hash) and marks -> a row for each document."""
+    order = np.lexsort((who[:, 1], who[:, 0]))
     who, key = who[order], key[order]
-    first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]).any(1))) if len(who) else np.zeros(0, np.int64)
     cuts = np.append(first, len(who))
-    return pa.table({"__id": who[first], "__marks": pa.array([key[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+    return pa.table({
+        "__id": who[first, 0].copy(), "__th": who[first, 1].copy(), "__marks": pa.array([key[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        "__hot": np.zeros(len(first), bool),
+    })
+
+
+def _sieve_place(key: np.ndarray) -> np.ndarray:
+    return (ta.mix(key) & np.uint64(SIEVE - 1)).astype(np.int64)
+
+
+def _hot_sieve(marks: DataFrame) -> np.ndarray:
+    """A bitmap of SIEVE bits of the hot anchors' hashes, the same for all tasks: who falls on one by chance is treated alike."""
+    words = marks.where("__hot").groupBy(F.expr("shiftright(__id, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__id & 63 as int))")).alias("bits"))
+    out = np.zeros(SIEVE // 64, np.int64)
+    for part in words.toArrow().to_batches():
+        out[part.column("w").to_numpy()] = part.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def _mark(bits: int):
-    """One bucket of anchors -> the anchors of each document that another has too."""
+    """One bucket of anchors -> the anchors of each document that another has too; and a row (__hot) for each hot one."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
+        kind = np.uint64 if bucket < 0 else np.uint32
+        rows = [(np.frombuffer(a, kind), np.frombuffer(b, np.uint16), np.frombuffer(c, np.int64).reshape(-1, 2)) for a, b, c in zip(*(table[x].to_pylist() for x in "abc"), strict=True)]
+        key, who = np.concatenate([x[0] for x in rows]), np.concatenate([x[2][x[1]] for x in rows])
         if bucket < 0:
-            return _by_document(np.frombuffer(b"".join(table["a"].to_pylist()), np.int64), np.frombuffer(b"".join(table["b"].to_pylist()), np.uint64))
-        key = np.frombuffer(b"".join(table["a"].to_pylist()), np.uint32)
-        who = np.frombuffer(b"".join(table["b"].to_pylist()), np.int64)
-        order = np.lexsort((who, key))
+            return _by_document(who, key)
+        order = np.lexsort((who[:, 0], key))
         key, who = key[order], who[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(first, len(key)))
         # an anchor comes once a chunk; two chunks may both name the least row of one document
-        lowest, highest = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+        lowest, highest = np.minimum.reduceat(who[:, 0], first), np.maximum.reduceat(who[:, 0], first)
         many = np.repeat((lowest != highest), size)
         full = np.uint64(bucket) << np.uint64(64 - bits) | key[many].astype(np.uint64) << np.uint64(32 - bits)
-        return _by_document(who[many], full)
+        hot = _sieve_place(np.uint64(bucket) << np.uint64(64 - bits) | key[first[size > HOT]].astype(np.uint64) << np.uint64(32 - bits))
+        return pa.concat_tables([_by_document(who[many], full), pa.table({"__id": hot, "__th": hot, "__marks": pa.nulls(len(hot), pa.binary()), "__hot": np.ones(len(hot), bool)})])
 
     return run
 
 
-def _segments(bits: int):
+def _segments(bits: int, hot: np.ndarray):
     """Texts with marks -> rows for each bucket: (documents, text hashes, starts, lengths, bytes, anchors); negative bucket: spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +222,15 @@ def _segments(bits: int):
                 at, windows, doc, key = at[keep], windows[keep], doc[keep], key[keep]
                 if not len(at):
                     continue
+                place = _sieve_place(key)
+                split = hot[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+                if split.any():
+                    # the windows of a hot anchor part, and each is dealt by its own bytes
+                    one, each = at[split], windows[split]
+                    apart = ta.segments(one, each)
+                    at, doc = np.concatenate([at[~split], apart]), np.concatenate([doc[~split], np.repeat(doc[split], each)])
+                    key = np.concatenate([key[~split], ta.mix(ta.rolling_hashes(c.data, apart, apart + LENGTH)) >> np.uint64(32 - bits) << np.uint64(32 - bits)])
+                    windows = np.concatenate([windows[~split], np.ones(len(apart), np.int64)])
                 size = windows + LENGTH - 1
                 name = ta.rolling_hashes(c.data, at, at + size)
                 order = np.lexsort((own[doc], name))
@@ -221,54 +266,104 @@ def _segments(bits: int):
     return run
 
 
-def column_wise_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, suffix length) of all non-empty suffixes of the strings data[start : start + size], sorted.
+def _between(prefix: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The least common prefix among rows before + 1 .. at."""
+    size = at - before
+    return np.minimum.reduceat(prefix[ta.segments(before + 1, size)], np.concatenate([[0], np.cumsum(size)[:-1]]))
+
+
+class _Files:
+    """Sequential files of a task: the columns of a collection, and the arrays of the transform, rewritten each round.
+
+    Small arrays stay with the operating system's cache; they go when they are closed, and with a task that dies.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.columns, self.rounds = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        for j in range(1, int(size.max(initial=0)) + 1):
+            live = np.flatnonzero(size >= j)
+            self.columns.write(data[start[live] + size[live] - j].tobytes())
+        self.columns.seek(0)
+
+    def column(self, n: int) -> np.ndarray:
+        return np.frombuffer(self.columns.read(n), np.uint8)
+
+    def put(self, *arrays: np.ndarray) -> None:
+        self.rounds.seek(0)
+        for x in arrays:
+            self.rounds.write(x.tobytes())
+        self.shape = [(len(x), x.dtype) for x in arrays]
+
+    def take(self) -> list[np.ndarray]:
+        self.rounds.seek(0)
+        return [np.frombuffer(bytearray(self.rounds.read(n * kind.itemsize)), kind) for n, kind in self.shape]
+
+    def close(self) -> None:
+        self.columns.close()
+        self.rounds.close()
+
+
+def column_wise_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, suffix length, common prefix with the row before) of all non-empty suffixes of the strings
+    data[start : start + size], sorted.
 
     Row r of the transform holds the symbol before suffix r, or _END where that isn't known yet or there is none. Round
     j gives the rows of the suffixes of j - 1 symbols their symbol; sorted by symbol, stably, the rows of the transform
-    are the suffixes of the next column, so the rows that this round opens fall between those that are there.
+    are the suffixes of the next column, so the rows that this round opens fall between those that are there. Two
+    neighbours of the next column that begin with one symbol have one symbol more in common than any two rows between the
+    rows that they come from; only neighbours of opened rows change.
     """
     m = len(start)
-    symbol = np.full(m, _END, np.uint8)  # the rows of the empty suffixes stay in front
-    string, length = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    files = _Files(data, start, size)
+    # the rows of the empty suffixes stay in front and have nothing in common
+    files.put(np.full(m, _END, np.uint8), np.arange(m, dtype=np.int32), np.zeros(m, np.uint8), np.zeros(m, np.uint8))
     row = np.arange(m)  # of each string's newest suffix
     for j in range(1, int(size.max(initial=0)) + 1):
+        symbol, string, length, prefix = files.take()
         live = np.flatnonzero(size >= j)
-        symbol[row[live]] = data[start[live] + size[live] - j]
+        symbol[row[live]] = files.column(len(live))
         opens = np.zeros(len(symbol), bool)
         opens[row[live]] = True
         order = np.argsort(symbol, kind="stable")[: len(symbol) - np.count_nonzero(symbol == _END)]
-        at = np.flatnonzero(opens[order])
+        fresh = opens[order]
+        at = np.flatnonzero(fresh)
         who = string[order[at]]
+        change = fresh.copy()
+        change[1:] |= fresh[:-1]
+        change = np.flatnonzero(change)
+        inner = change[change > 0]
+        inner = inner[symbol[order[inner]] == symbol[order[inner - 1]]]
         at += m
         old = np.ones(len(symbol) + len(at), bool)
         old[at] = False
-        fresh = []
-        for x, new in ((symbol, _END), (string, who), (length, j)):
+        grown = []
+        for x, new in ((symbol, _END), (string, who), (length, j), (prefix, 0)):
             y = np.empty(len(old), x.dtype)
             y[old] = x
             y[at] = new
-            fresh.append(y)
-        symbol, string, length = fresh
+            grown.append(y)
+        grown[3][m + change] = 0
+        if len(inner):
+            grown[3][m + inner] = _between(prefix, order[inner - 1], order[inner]) + np.uint8(1)
+        files.put(*grown)
         row[who] = at
-    return string[m:], length[m:]
+    _, string, length, prefix = files.take()
+    files.close()
+    return string[m:], length[m:], prefix[m:]
 
 
 def repeated_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, who: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each string: the string, and the least `who` of the strings that have an equal window."""
-    string, suffix = column_wise_rows(data, start, size)
+    string, suffix, prefix = column_wise_rows(data, start, size)
+    # shorter suffixes have no window; those between two windows can't share `length` symbols with both and part none
+    new = prefix < length
+    group = np.cumsum(new)
     full = suffix >= length
-    string, suffix = string[full], suffix[full].astype(np.int64)
+    string, suffix, group = string[full], suffix[full].astype(np.int64), group[full]
     at = start[string] + size[string] - suffix
-    new = np.zeros(len(at), bool)
-    new[:1] = True
-    live = np.arange(1, len(at))  # neighbours whose common prefix has reached column t
-    for t in range(length):
-        same = data[at[live] + t] == data[at[live - 1] + t]
-        new[live[~same]] = True
-        live = live[same]
-    least = np.minimum.reduceat(who[string], np.flatnonzero(new)) if len(at) else who[:0]
-    least = least[np.cumsum(new) - 1] if len(at) else least
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(at) else at
+    least = np.minimum.reduceat(who[string], head) if len(at) else who[:0]
+    least = np.repeat(least, np.diff(np.append(head, len(at))))
     order = np.lexsort((at, string))
     return string[order], least[order]
 
@@ -289,7 +384,7 @@ def _least_of_windows(data, start, size, who, anchor) -> tuple[np.ndarray, np.nd
     order, group = order[many], group[many]
     a = 0
     while a < len(order):
-        b = min(len(order), a + 4096)
+        b = min(len(order), a + _STRINGS)
         b = int(np.searchsorted(group, group[b - 1], "right"))
         part = np.sort(order[a:b])
         _, found = repeated_windows(data, start[part], size[part], who[part])
@@ -334,35 +429,35 @@ def _spans_of(table: pa.Table) -> pa.Table:
 
 
 def mark_repeats(documents: DataFrame) -> DataFrame:
-    """All columns of documents and __id, __th, __found (array of text hash and spans), __copies (text hashes gone whole).
+    """All columns of documents and __id, __th, __found (array of spans), __copy (whether the text is gone whole).
 
     One row for each row of documents; settled() makes its spans of the last columns.
     """
     base = documents.withColumns({
         "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)),
-        "__th": F.xxhash64("text"),
+        "__th": F.coalesce(F.xxhash64("text"), F.lit(0)),
     })
-    texts = base.select("__id", "__th", F.col("text").alias("__text"))
+    key = ["__id", "__th"]
+    texts = base.select(*key, "text")
     bits = ta.bucket_bits(ta.total_bytes(documents), 8 << 20)
-    marks = texts.select("__id", "__text").mapInArrow(_anchors(bits), _BLOBS).groupBy("bucket").applyInArrow(_mark(bits), "__id long, __marks binary")
-    names = texts.where(F.octet_length("__text") >= LENGTH).select("__id", "__th", F.md5(F.encode("__text", "utf-8")).alias("name"))
+    marks = texts.mapInArrow(_anchors(bits), _BLOBS).groupBy("bucket").applyInArrow(_mark(bits), "__id long, __th long, __marks binary, __hot boolean")
+    marks, _ = materialize(marks, "op8-marks")
+    names = texts.where(F.octet_length("text") >= LENGTH).select(*key, F.md5(F.encode("text", "utf-8")).alias("name"))
     first = names.groupBy("name").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where("low < high")
-    copies = names.join(first, "name").where("__id > low").select("__id", "__th").distinct()
-    copies = copies.groupBy("__id").agg(F.collect_set("__th").alias("__copies"))
-    notes = marks.groupBy("__id").agg(F.collect_list("__marks").alias("__marks")).join(copies, "__id", "left")
+    copies = names.join(first, "name").where("__id > low").select(*key, F.lit(True).alias("__copy")).distinct()
+    notes = marks.where("not __hot").groupBy(*key).agg(F.collect_list("__marks").alias("__marks")).join(copies, key, "left_anti")
     # all columns go along, so that this join and the last share one exchange of the texts
-    live = base.join(notes.hint("shuffle_hash"), "__id").where("__copies is null or not array_contains(__copies, __th)")
-    spans = live.mapInArrow(_segments(bits), _BLOBS)
+    spans = base.join(notes, key).mapInArrow(_segments(bits, _hot_sieve(marks)), _BLOBS)
     spans = spans.groupBy("bucket").applyInArrow(_spans_of, "__id long, __th long, __spans binary")
-    spans = spans.groupBy("__id").agg(F.collect_list(F.struct("__th", "__spans")).alias("__found"))
-    return base.join(spans.hint("shuffle_hash"), "__id", "left").join(copies.hint("shuffle_hash"), "__id", "left")
+    spans = spans.groupBy(*key).agg(F.collect_list("__spans").alias("__found"))
+    return base.join(spans, key, "left").join(copies, key, "left")
 
 
-def settled(found, name: int, gone, n: int) -> np.ndarray:
-    """The maximal removed runs, as rows (from, to), of a text of n bytes with text hash `name`."""
-    if gone and name in gone:
+def settled(found, gone, n: int) -> np.ndarray:
+    """The maximal removed runs, as rows (from, to), of a text of n bytes."""
+    if gone:
         return np.array([[0, n]])
-    parts = [np.frombuffer(x["__spans"], np.int64) for x in found or () if x["__th"] == name]
+    parts = [np.frombuffer(x, np.int64) for x in found or ()]
     if not parts:
         return np.zeros((0, 2), np.int64)
     spans = np.concatenate(parts).reshape(-1, 2)
@@ -383,9 +478,9 @@ def kept_bytes(text: bytes, runs: np.ndarray) -> bytes:
 def _digests(batches):
     for batch in batches:
         out = []
-        for doc, text, name, found, gone in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "__th", "__found", "__copies")), strict=True):
+        for doc, text, found, gone in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "__found", "__copy")), strict=True):
             text = (text or "").encode()
-            runs = settled(found, name, gone, len(text))
+            runs = settled(found, gone, len(text))
             kept = kept_bytes(text, runs)
             out.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
         if out:
@@ -395,7 +490,7 @@ def _digests(batches):
 def removal_digests(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256; a row for each input row."""
     rows = mark_repeats(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.select("doc_id", "text", "__th", "__found", "__copies").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", "__found", "__copy").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
@@ -422,13 +517,13 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = []
-            for text, name, found, gone in zip(*(batch.column(x).to_pylist() for x in ("text", "__th", "__found", "__copies")), strict=True):
+            for text, found, gone in zip(*(batch.column(x).to_pylist() for x in ("text", "__found", "__copy")), strict=True):
                 if text is not None:
                     raw = text.encode()
-                    runs = whole_characters(raw, settled(found, name, gone, len(raw)))
+                    runs = whole_characters(raw, settled(found, gone, len(raw)))
                     text = kept_bytes(raw, runs).decode() if len(runs) else text
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else batch.column(x) for x in arrow_names], arrow_names)
 
-    out = mark_repeats(documents).drop("__id").mapInArrow(run, schema)
+    out = mark_repeats(documents).drop("__id", "__th").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in arrow_names else out

@@ -227,14 +227,30 @@ def test_suffix_dedup(docs, rows):
     assert all(r.text is None or r.n_chars == len(r.text) for r in cut.collect())
 
 
+def test_suffix_dedup_of_hot_anchors_and_null_ids(spark, monkeypatch):
+    """Passages that most documents share, with different neighbours; many rows without a doc_id that copy others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = [text(25), text(40)]
+    rows = [(rng.choice([i, None]), " ".join([text(rng.randint(0, 12)), rng.choice(shared), text(rng.randint(0, 12)), rng.choice(shared)])) for i in range(150)]
+    rows += [(None, rows[i][1]) for i in range(40)] + [(7, rows[3][1]), (8, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    assert Counter(map(tuple, suffix_dedup.removal_digests(df).collect())) == removed(rows)
+    for name, value in (("HOT", 2), ("_STRINGS", 5)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert Counter(map(tuple, suffix_dedup.removal_digests(df).collect())) == removed(rows)
+
+
 def test_column_wise_rows_are_a_suffix_array():
     rng = np.random.default_rng(2)
     strings = [bytes(rng.integers(97, 100, rng.integers(1, 30)).astype(np.uint8)) for _ in range(60)]
     size = np.array([len(s) for s in strings])
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    string, length = suffix_dedup.column_wise_rows(np.frombuffer(b"".join(strings), np.uint8), start, size)
+    string, length, prefix = suffix_dedup.column_wise_rows(np.frombuffer(b"".join(strings), np.uint8), start, size)
     got = [strings[s][len(strings[s]) - n :] for s, n in zip(string.tolist(), length.tolist(), strict=True)]
     assert got == sorted(s[k:] for s in strings for k in range(len(s)))
+    assert prefix.tolist() == [0, *(len(os.path.commonprefix(p)) for p in zip(got, got[1:], strict=False))]
 
 
 def test_repetition(docs, rows):

@@ -1,78 +1,90 @@
 """Licence scans: a trained paragraph classifier confirmed by templates, with Spark expressions only.
 
-Paragraphs are lines. A paragraph's features are its distinct 1- and 2-grams of words (lower-cased runs of letters,
-digits and dots), a sparse vector. A multinomial logistic regression over licence families and `unknown` is fitted, on
-the driver, to a fixed and bounded set: each family's sentences and pieces of them, and as many made-up and neutral
-lines, plus up to `n_unknown` distinct paragraphs of whole texts that overlap no template. The temperature and the least probability (calibrated unknown class) come from pieces that the fit leaves out. A prediction
-is confirmed if enough of the family's best template is in the paragraph, or of the paragraph in the template.
-
-Which paragraphs are scored follows from the templates and neutral lines alone, never from the sample: those with a
-2-gram of a template or a cue (a word of templates that no neutral line has), and those of at most SHORT words that are all
-of templates. No other paragraph can be confirmed: of more than three words, without a shared 2-gram, less than 0.6 of
-the 1- and 2-grams of either side are shared.
-
-Scoring is relational: candidate paragraphs -> their n-grams -> join with the weights (a few thousand rows, whose number
-the templates bound) -> sums by paragraph and family -> softmax. Hot documents or lines don't matter: sums combine
-before the shuffle, and weights are broadcast.
-
-Cases: a null or empty text has no paragraphs; each input row is judged by itself (rows that repeat a doc_id give that
-many rows); an empty table gives no rows; other columns are ignored.
+A paragraph is a line, or a run of neighbouring lines that may each declare a licence, taken as one (a licence text broken
+over lines). Its features are its distinct 1- and 2-grams of words (lower-cased runs of letters, digits and dots), a
+sparse vector. A multinomial logistic regression over licence families and `unknown` is fitted, on the driver, to a fixed
+and bounded set: pieces of each family's templates, and as many made-up and neutral lines, plus up to `n_unknown` distinct
+lines of whole texts that overlap no template. The temperature and the least probability (calibrated unknown class) come
+from templates and lines that a fit has not seen: they are parted in two before pieces are made of them, a fit to each
+part is scored on the other, and the weights are those of a third fit to all. A prediction is confirmed if enough of the
+family's best template is in the paragraph, or of the paragraph in the template.
+
+Which lines are scored follows from the templates and neutral lines alone, never from the sample: those with a 2-gram of a
+template or a cue (a word of templates that no neutral line has), and those of at most SHORT words that are all of
+templates. No other line can be confirmed: of more than three words, without a shared 2-gram, less than 0.6 of the 1- and
+2-grams of either side are shared.
+
+Scoring is one projection of each text by itself: nothing is shuffled, and a row gives a row. Weights (a few thousand
+numbers, whose count the templates bound) are constants of the expression.
+
+Cases: a null or empty text has one empty line and no candidate; a null doc_id stays null; each input row is judged by
+itself (rows that repeat a doc_id give that many rows); a very long line or text is taken whole by the task that has it; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import random
-import re
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences by which licences are declared, by family (fixed values).
+#: Sentences of public licences and of declarations that name them, by family (fixed values).
 TEMPLATES = {
     "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
         "This project is released under the Apache 2.0 license.",
+        "Apache License Version 2.0, January 2004. Terms and conditions for use, reproduction, and distribution.",
     ),
     "mit": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "This software is released under the MIT license; its terms are in the file that comes with it.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
-        "This software is licensed under the terms of the MIT license.",
+        "The code is licensed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Distributed under the GNU GPL, version 3 or later.",
+        "All files are licensed under the GNU General Public License, version 3 or any later one.",
     ),
     "bsd-3-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Released under the 3-clause BSD license.",
     ),
     "cc-by-4.0": (
-        "Licensed under CC BY 4.0.",
+        "The text is available under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "Licensed under Creative Commons Attribution 4.0 International (CC BY 4.0).",
     ),
     "cc-by-nc-4.0": (
-        "Licensed under CC BY-NC 4.0.",
+        "The text is available under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Licensed under Creative Commons Attribution-NonCommercial 4.0 International (CC BY-NC 4.0).",
     ),
     "cc-by-sa-4.0": (
-        "Licensed under CC BY-SA 4.0.",
+        "The text is available under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Licensed under Creative Commons Attribution-ShareAlike 4.0 International (CC BY-SA 4.0).",
     ),
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced without written permission.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
-        "Copyright, all rights reserved.",
+        "Copyright by the author, all rights reserved.",
+        "All rights are reserved by the publisher.",
+        "Rights reserved by the owner.",
     ),
 }
 #: Lines that speak of other things (fixed values).
@@ -90,12 +102,12 @@ NEUTRAL = (
 )
 UNKNOWN = "unknown"
 _WORD = r"[\p{L}\p{N}.]+"
-#: Paragraphs that are left out of the sample of unknown ones: with a licence word, or this share of a template's n-grams.
+#: Lines that are left out of the sample of unknown ones: with a licence word, or this share of a template's n-grams.
 _LICENCE, APART, SHORT = r"licen[sc]e|spdx|copyright|creative commons|all rights", 0.3, 3
 
 
 def _words(line: str) -> list[str]:
-    return [w for w in (x.strip(".") for x in re.findall(r"[^\W_]+(?:\.[^\W_]+)*\.*", line.lower())) if w]
+    return [w for w in (x.strip(".") for x in regex.findall(_WORD, line.lower())) if w]
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -105,7 +117,7 @@ def _grams(words: list[str]) -> set[str]:
 def word_list(line: Column) -> Column:
     """The words of a line: lower-cased runs of letters, digits and inner dots."""
     raw = F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0))
-    return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    return F.filter(F.transform(raw, lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
 
 
 def pair_list(words: Column) -> Column:
@@ -121,10 +133,11 @@ _WORDS = {w for family in TEMPLATES.values() for line in family for w in _words(
 #: Words of templates that no neutral line has, and 2-grams of templates: a line with one is a candidate.
 CUES = sorted(w for w in _WORDS - {w for line in NEUTRAL for w in _words(line)} if not w.isdigit())
 PAIRS = sorted({g for family in TEMPLATES.values() for line in family for g in _grams(_words(line)) if " " in g})
+GRAMS = sorted(_WORDS | set(PAIRS))
 
 
 def _strings(values) -> Column:
-    return F.array(*map(F.lit, values))
+    return F.split(F.lit("\n".join(values)), "\n")  # folded to one constant
 
 
 def may_declare(words: Column) -> Column:
@@ -143,9 +156,9 @@ def _shapes(family: str) -> Column:
 
 
 class Model:
-    """weights: {gram: [weight of each family]}; temperature, least."""
+    """families; weights: a row for each of GRAMS, a column for each family; bias; temperature, least."""
 
-    def __init__(self, families, weights, bias, temperature, least):
+    def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, least: float):
         self.families, self.weights, self.bias = families, weights, bias
         self.temperature, self.least = temperature, least
 
@@ -158,113 +171,146 @@ def unknown_lines(documents: DataFrame, n: int, seed: int) -> list[str]:
     while True:
         # lines of a range of hashes that holds more than n distinct ones; a wider one if too many of them overlap
         some = lines.where(F.col("h") <= F.lit(min(2**63 - 1, int(2**64 * share) - 2**63))).distinct()
-        grams = gram_list(word_list(F.col("line")))
-        some = some.withColumn("grams", grams).where(~F.lower("line").rlike(_LICENCE))
-        apart = F.greatest(*[overlap(_shapes(f), F.col("grams"), F.size("grams")) for f in TEMPLATES]) < APART
+        some = some.where(~F.lower("line").rlike(_LICENCE))
+        grams = F.array(gram_list(word_list(F.col("line"))))  # bound by transform(), so that it is made once a line
+        apart = F.transform(grams, lambda g: F.greatest(*[overlap(_shapes(f), g, F.size(g)) for f in TEMPLATES]))[0] < APART
         found = [r["line"] for r in some.where(apart).select("line", "h").orderBy("h", "line").limit(n).collect()]
         if len(found) == n or share == 1:
             return found
         share = min(1.0, 8 * share)
 
 
-def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: int = 5) -> Model:
-    """Fit to the templates, the neutral lines and at most n_unknown corpus paragraphs."""
-    rng = random.Random(seed)
-    neutral = [*NEUTRAL, *unknown_lines(documents, n_unknown, seed)]
-    families = [*TEMPLATES, UNKNOWN]
-    plain = {w for line in neutral for w in _words(line)}
-    sure = {*CUES, *PAIRS}
-    rows: list[tuple[set[str], int]] = []
-    for k, family in enumerate(TEMPLATES):
-        for line in TEMPLATES[family]:
-            w = _words(line)
-            rows += [(_grams(w), k)] * 6
-            for _ in range(30):
-                # pieces that still hold a cue, with other words before or after
-                n = rng.randint(max(3, len(w) // 2), len(w))
-                a = rng.randint(0, len(w) - n) if len(w) > n else 0
-                around = rng.sample(sorted(plain), 4)
-                piece = [*around[: rng.randint(0, 2)], *w[a : a + n], *around[2 : 2 + rng.randint(0, 2)]]
-                if _grams(piece) & sure:
-                    rows.append((_grams(piece), k))
-    for line in neutral:
+def _pieces(templates: list[tuple[str, int]], others: list[str], rng: random.Random) -> list[tuple[set[str], int]]:
+    """Templates and pieces of them that hold a cue, other words around; other lines, and with a cue among their words."""
+    plain = sorted({w for line in [*NEUTRAL, *others] for w in _words(line)})
+    sure, rows = {*CUES, *PAIRS}, []
+    for line, k in templates:
+        w = _words(line)
+        rows += [(_grams(w), k)] * 6
+        for _ in range(30):
+            n = rng.randint(max(3, len(w) // 2), len(w))
+            a = rng.randint(0, len(w) - n) if len(w) > n else 0
+            around = rng.sample(plain, 4)
+            piece = [*around[: rng.randint(0, 2)], *w[a : a + n], *around[2 : 2 + rng.randint(0, 2)]]
+            if _grams(piece) & sure:
+                rows.append((_grams(piece), k))
+        # two words on end, if only this family has them so
+        rows += [({*p.split(), p}, k) for p in sorted(_grams(w)) if _OWNERS.get(p) == {k}] * 3
+    for line in others:
         w = _words(line)
-        rows.append((_grams(w), len(families) - 1))
+        rows.append((_grams(w), len(TEMPLATES)))
         for cue in rng.sample(CUES, 1):  # a licence word alone is no declaration
-            rows.append((_grams([*w[: len(w) // 2], cue, *w[len(w) // 2 :]]), len(families) - 1))
+            rows.append((_grams([*w[: len(w) // 2], cue, *w[len(w) // 2 :]]), len(TEMPLATES)))
     rng.shuffle(rows)
-    grams = sorted(set().union(*(_grams(_words(x)) for f in TEMPLATES.values() for x in f)))
-    at = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(rows), len(grams)), np.float32)
-    for i, (g, _) in enumerate(rows):
-        x[i, [at[q] for q in g if q in at]] = 1
-    y = np.array([k for _, k in rows])
-    cut = len(rows) * 4 // 5
-    w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
+    return rows
+
+
+_PLACE = {g: i for i, g in enumerate(GRAMS)}
+#: The families whose templates have a 2-gram with a cue or of two longer words.
+_OWNERS = {p: {k for k, family in enumerate(TEMPLATES.values()) if any(p in _grams(_words(line)) for line in family)} for p in PAIRS if {*p.split()} & {*CUES} or min(map(len, p.split())) > 5}
+
+
+def _sparse(rows: list[tuple[set[str], int]]) -> list[np.ndarray]:
+    """Each row's places in GRAMS; place len(GRAMS), whose weight stays 0, stands for none."""
+    return [np.array(sorted(_PLACE[g] for g in grams if g in _PLACE) or [len(GRAMS)]) for grams, _ in rows]
+
+
+def _scores(x: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(w[np.concatenate(x)], np.cumsum([0, *map(len, x[:-1])]), axis=0) + b
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _fit(rows: list[tuple[set[str], int]], epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    x, y = _sparse(rows), np.array([k for _, k in rows])
+    w, b = np.zeros((len(GRAMS) + 1, len(TEMPLATES) + 1)), np.zeros(len(TEMPLATES) + 1)
     for epoch in range(epochs):
-        for a in range(0, cut, 64):
-            part = slice(a, min(cut, a + 64))
-            z = x[part] @ w + b
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(z)), y[part]] -= 1
+        for a in range(0, len(x), 64):
+            part = x[a : a + 64]
+            z = _softmax(_scores(part, w, b))
+            z[np.arange(len(z)), y[a : a + 64]] -= 1
             step = 0.5 * (1 - epoch / epochs) / len(z)
-            w -= step * (x[part].T @ z + 1e-3 * w)
+            np.add.at(w, np.concatenate(part), -step * np.repeat(z, [len(i) for i in part], axis=0))
+            w *= 1 - 1e-3 * step
+            w[-1] = 0
             b -= step * z.sum(0)
-    z, truth = x[cut:] @ w + b, y[cut:]
-    loss = {}
-    for t in np.geomspace(0.25, 4, 33):
-        p = np.exp(z / t - (z / t).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        loss[float(t)] = -np.log(np.maximum(p[np.arange(len(p)), truth], 1e-12)).mean()
+    return w, b
+
+
+def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: int = 5) -> Model:
+    """Fit to the templates, the neutral lines and at most n_unknown corpus lines."""
+    rng = random.Random(seed)
+    others = [*NEUTRAL, *unknown_lines(documents, n_unknown, seed)]
+    halves = [([(line, k) for k, family in enumerate(TEMPLATES.values()) for line in family[half::2]], others[half::2]) for half in (0, 1)]
+    rows = [_pieces(*half, rng) for half in halves]
+    z, truth = [], []
+    for own, unseen in (rows, rows[::-1]):
+        z.append(_scores(_sparse(unseen), *_fit(own, epochs)))
+        truth += [k for _, k in unseen]
+    z, truth = np.concatenate(z), np.array(truth)
+    at = np.arange(len(z))
+    loss = {float(t): -np.log(np.maximum(_softmax(z / t)[at, truth], 1e-12)).mean() for t in np.geomspace(0.25, 8, 41)}
     temperature = min(loss, key=loss.get)
-    p = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    wrong = p[(p.argmax(1) != truth) & (p.argmax(1) != len(families) - 1)].max(1, initial=0)
-    least = float(min(0.9, max(0.5, wrong.max(initial=0))))
-    return Model(families, {g: [float(v) for v in w[i]] for g, i in at.items()}, [float(v) for v in b], temperature, least)
+    p = _softmax(z / temperature)
+    # the least probability from which on predicted families are right 99 times of 100
+    family = np.flatnonzero(p.argmax(1) != len(TEMPLATES))
+    family = family[np.argsort(-p[family].max(1), kind="stable")]
+    right = np.cumsum(p[family].argmax(1) == truth[family]) >= 0.99 * np.arange(1, len(family) + 1)
+    least = float(p[family[np.flatnonzero(right)[-1]]].max()) if right.any() else 0.9
+    w, b = _fit([*rows[0], *rows[1]], epochs)
+    return Model([*TEMPLATES, UNKNOWN], w[:-1], b, temperature, min(0.9, max(0.3, least)))
+
+
+def _kept_lines(text: str) -> Column:
+    """A text with the lines that can't declare a licence left empty."""
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.when(may_declare(word_list(line)), line).otherwise("")), "\n")
 
 
 def scan(documents: DataFrame, model: Model | None = None, min_overlap: float = 0.6) -> DataFrame:
     """documents (doc_id, text, ...) -> a row for each input row:
 
-    doc_id, n_paragraphs (lines), n_candidates (lines that may declare a licence), families (sorted, of confirmed lines),
-    family (of the surest confirmed line, else `unknown`), score (its probability, else 0), n_unconfirmed (lines
-    predicted to be of a family that no template confirms).
+    doc_id, n_paragraphs (lines), n_candidates (lines that may declare a licence), families (sorted, of confirmed
+    paragraphs), family (of the surest confirmed paragraph, else `unknown`; of equally sure ones the first, lines before
+    runs), score (its probability, else 0), n_unconfirmed (lines predicted to be of a family that no template confirms).
     """
-    spark = documents.sparkSession
     model = model or train(documents)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    listed = F.transform(lines, word_list)
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size(lines).alias("n_paragraphs"), F.filter(listed, may_declare).alias("found"))
-    flat = base.select("doc_id", "row", "n_paragraphs", F.size("found").alias("n_candidates"), F.posexplode_outer("found").alias("line", "words"))
-    flat = flat.withColumn("grams", gram_list(F.coalesce("words", F.array().cast("array<string>")))).withColumn("n_grams", F.size("grams"))
-    flat = flat.withColumn("grams", F.array_intersect("grams", _strings(sorted(model.weights)))).drop("words")  # the others have no weight
-    weights = spark.createDataFrame(list(model.weights.items()), "gram string, weight array<double>")
-    sums = [F.sum(F.coalesce(F.col("weight")[k], F.lit(0.0))).alias(f"z{k}") for k in range(len(model.families))]
-    scored = (
-        flat.withColumn("gram", F.explode_outer("grams"))
-        .join(F.broadcast(weights), "gram", "left")
-        .groupBy("row", "line")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("n_candidates").alias("n_candidates"), F.first("grams").alias("grams"), F.first("n_grams").alias("n_grams"), *sums)
-    )
-    z = F.array(*[(F.round(F.col(f"z{k}"), 9) + model.bias[k]) / model.temperature for k in range(len(model.families))])
-    scored = scored.withColumn("z", z).withColumn("top", F.array_max("z"))
-    scored = scored.withColumn("k", F.array_position("z", F.col("top")).cast("int") - 1).withColumn(
-        "p", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
-    )
-    own = F.element_at(F.array(*map(F.lit, model.families)), F.col("k") + 1)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_paragraphs"), _kept_lines("text").alias("kept"))
+    single = F.filter(F.split("kept", "\n"), lambda x: x != "")
+    runs = F.filter(F.transform(F.split("kept", "\n\n+"), lambda x: F.btrim(x, F.lit("\n"))), lambda x: F.contains(x, F.lit("\n")))
+    rows = rows.select("doc_id", "n_paragraphs", F.size(single).alias("n_candidates"), F.concat(single, runs).alias("x"))
+    column = lambda k: F.split(F.lit(" ".join(map(repr, model.weights[:, k].tolist()))), " ").cast("array<double>")
+    vocabulary, columns = _strings(GRAMS), [column(k) for k in range(len(model.families))]
     shapes = F.array(*map(_shapes, model.families))
-    alike = overlap(F.element_at(shapes, F.col("k") + 1), F.col("grams"), F.col("n_grams"))
-    scored = scored.withColumn("family", F.when(F.col("line").isNotNull() & (F.col("p") >= model.least) & (own != UNKNOWN), own))
-    scored = scored.withColumn("ok", F.col("family").isNotNull() & (alike >= min_overlap))
-    best = F.max(F.when(F.col("ok"), F.struct(F.round("p", 6).alias("p"), (-F.col("line")).alias("l"), F.col("family").alias("f"))))
-    return (
-        scored.groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("n_candidates").alias("n_candidates"),
-            F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))).alias("families"), best.alias("best"),
-            F.count_if(F.col("family").isNotNull() & ~F.col("ok")).alias("n_unconfirmed"),
-        )
-        .select("doc_id", "n_paragraphs", "n_candidates", "families", F.coalesce("best.f", F.lit(UNKNOWN)).alias("family"), F.coalesce("best.p", F.lit(0.0)).alias("score"), "n_unconfirmed")
+
+    def scores(u: Column) -> Column:
+        def total(of: Column) -> Column:
+            return F.aggregate(u["at"], F.lit(0.0), lambda s, i: s + F.get(of, i - 1))
+
+        sums = map(total, columns)
+        return F.array(*[F.round((s + float(model.bias[k])) / model.temperature, 9) for k, s in enumerate(sums)])
+
+    steps = (
+        lambda x: gram_list(word_list(x)),
+        lambda g: F.struct(F.array_intersect(g, vocabulary).alias("known"), F.size(g).alias("n")),
+        lambda u: F.struct(u["known"], u["n"], F.transform(u["known"], lambda g: F.array_position(vocabulary, g).cast("int")).alias("at")),
+        lambda u: F.struct(u["known"], u["n"], scores(u).alias("z")),
+        lambda u: F.struct(u["known"], u["n"], u["z"], F.array_max(u["z"]).alias("top")),
+        lambda u: F.struct(
+            u["known"], u["n"], F.array_position(u["z"], u["top"]).cast("int").alias("k"), (1 / F.aggregate(u["z"], F.lit(0.0), lambda s, v: s + F.exp(v - u["top"]))).alias("p")
+        ),
+        lambda u, i: F.struct((i >= F.col("n_candidates")).alias("run"), F.element_at(_strings(model.families), u["k"]).alias("family"), u["p"], overlap(F.element_at(shapes, u["k"]), u["known"], u["n"]).alias("alike")),
+    )
+    found = F.col("x")
+    for step in steps:
+        found = F.transform(found, step)
+    sure = F.filter(found, lambda u: (u["p"] >= model.least) & (u["family"] != UNKNOWN))
+    rows = rows.select("doc_id", "n_paragraphs", "n_candidates", sure.alias("sure"))
+    rows = rows.withColumn("ok", F.filter("sure", lambda u: u["alike"] >= min_overlap))
+    best = F.array_max(F.transform("ok", lambda u, i: F.struct(F.round(u["p"], 6).alias("p"), (-i).alias("i"), u["family"].alias("family"))))
+    return rows.select(
+        "doc_id", "n_paragraphs", "n_candidates", F.array_sort(F.array_distinct(F.transform("ok", lambda u: u["family"]))).alias("families"),
+        F.coalesce(best["family"], F.lit(UNKNOWN)).alias("family"), F.coalesce(best["p"], F.lit(0.0)).alias("score"), F.size(F.filter("sure", lambda u: ~u["run"] & (u["alike"] < min_overlap))).cast("long").alias("n_unconfirmed"),
     )

@@ -459,6 +459,51 @@ def test_licences(spark):
     assert got == [(0, "mit"), (0, "mit"), (1, "cc-by-nc-4.0"), (2, "unknown"), (3, "unknown"), (4, "unknown"), (5, "unknown")]
 
 
+def test_licence_scores_equal_plain_ones(spark):
+    """Each text against a plain-Python version of scoring with the same model: lines, runs of lines, confirmation."""
+    rng = random.Random(12)
+    sentences = [x for family in licenses.TEMPLATES.values() for x in family]
+    broken = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files (the Software), to deal in the\nSoftware without restriction."
+    texts = [broken, "Nothing.\n\n" + broken.replace("\n", "\n  ") + "\nmore", None, "", "\n\n", "Über die Brücke. MIT", "word " * 30_000 + "All rights reserved."]
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            w = rng.choice([*sentences, *licenses.NEUTRAL, "", "plain words of no law", "the license of the copy"]).split()
+            a = rng.randint(0, len(w) // 2)
+            lines.append(" ".join(w[a : a + rng.randint(1, 30)]))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame([*((i, t, "x", 1) for i, t in enumerate(texts)), (None, broken, "x", 1)], "doc_id long, text string, family string, x int").repartition(3)
+    model = licenses.train(df)
+    sure, place = {*licenses.CUES, *licenses.PAIRS}, {g: k for k, g in enumerate(licenses.GRAMS)}
+    shapes = {f: [licenses._grams(licenses._words(x)) for x in family] for f, family in licenses.TEMPLATES.items()}
+    want = {}
+    for i, text in [*enumerate(texts), (None, broken)]:
+        lines, run, units, runs = (text or "").split("\n"), [], [], []
+        for line in [*lines, None]:
+            w = licenses._words(line or "")
+            if line is not None and (licenses._grams(w) & sure or 0 < len(w) <= licenses.SHORT and {*w} <= licenses._WORDS):
+                units.append(line)
+                run.append(line)
+            else:
+                runs += ["\n".join(run)] if len(run) > 1 else []
+                run = []
+        sure_ones = []
+        for j, u in enumerate([*units, *runs]):
+            g = licenses._grams(licenses._words(u))
+            z = (model.weights[[place[x] for x in sorted(g) if x in place]].sum(0) + model.bias) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            k = model.families[int(p.argmax())]
+            if k != "unknown" and p.max() >= model.least:
+                sure_ones.append((k, p.max(), max(len(t & g) / min(len(t), max(1, len(g))) for t in shapes[k]) >= 0.6, j < len(units)))
+        ok = [x for x in sure_ones if x[2]]
+        best = max(((round(x[1], 6), -j, x[0]) for j, x in enumerate(ok)), default=(0.0, 0, "unknown"))
+        want[i] = (len(lines), len(units), sorted({x[0] for x in ok}), best[2], sum(x[3] and not x[2] for x in sure_ones)), best[0]
+    got = {r.doc_id: ((r.n_paragraphs, r.n_candidates, r.families, r.family, r.n_unconfirmed), r.score) for r in licenses.scan(df, model).collect()}
+    assert {i: r[0] for i, r in got.items()} == {i: r[0] for i, r in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
+    assert [want[i][0][2:4] for i in (0, 1, None)] == [(["mit"], "mit")] * 3
+
+
 def test_licence_candidates_do_not_depend_on_other_lines(spark):
     plain = ["all of the boats came home before dark that night", "we saw all rivers and any hill from there", "it can be seen with or without a glass by the water"]
     texts = ["All rights reserved.", "first line\nsecond line\nthird line\nAll rights reserved.", "rights reserved", *plain]

@@ -9,10 +9,9 @@ from templates and lines that a fit has not seen: they are parted in two before
 part is scored on the other, and the weights are those of a third fit to all. A prediction is confirmed if enough of the
 family's best template is in the paragraph, or of the paragraph in the template.
 
-Which lines are scored follows from the templates and neutral lines alone, never from the sample: those with a 2-gram of a
-template or a cue (a word of templates that no neutral line has), and those of at most SHORT words that are all of
-templates. No other line can be confirmed: of more than three words, without a shared 2-gram, less than 0.6 of the 1- and
-2-grams of either side are shared.
+Which lines are scored follows from the templates and neutral lines alone, never from the sample: those with a cue (a word
+of templates that no neutral line has), or a 2-gram of a template with a word of LONG letters or more, and those of at most
+SHORT words that are all of templates. What other lines share with templates are short, common words: they declare nothing.
 
 Scoring is one projection of each text by itself: nothing is shuffled, and a row gives a row. Weights (a few thousand
 numbers, whose count the templates bound) are constants of the expression.
@@ -99,11 +98,12 @@ NEUTRAL = (
     "No part of the river is open to the public in winter, except in May.",
     "Rights of way on the common are reserved for members.",
     "The following forms are permitted in source and target languages.",
+    "It will be with us as an old friend at home or far from it, by day and by night, if that is what you like.",
 )
 UNKNOWN = "unknown"
 _WORD = r"[\p{L}\p{N}.]+"
 #: Lines that are left out of the sample of unknown ones: with a licence word, or this share of a template's n-grams.
-_LICENCE, APART, SHORT = r"licen[sc]e|spdx|copyright|creative commons|all rights", 0.3, 3
+_LICENCE, APART, SHORT, LONG = r"licen[sc]e|spdx|copyright|creative commons|all rights", 0.3, 3, 5
 
 
 def _words(line: str) -> list[str]:
@@ -130,10 +130,11 @@ def gram_list(words: Column) -> Column:
 
 
 _WORDS = {w for family in TEMPLATES.values() for line in family for w in _words(line)}
-#: Words of templates that no neutral line has, and 2-grams of templates: a line with one is a candidate.
+#: Words of templates that no neutral line has, and 2-grams of templates with a word of LONG letters: a line with one is a
+#: candidate.
 CUES = sorted(w for w in _WORDS - {w for line in NEUTRAL for w in _words(line)} if not w.isdigit())
-PAIRS = sorted({g for family in TEMPLATES.values() for line in family for g in _grams(_words(line)) if " " in g})
-GRAMS = sorted(_WORDS | set(PAIRS))
+GRAMS = sorted({g for family in TEMPLATES.values() for line in family for g in _grams(_words(line))})
+PAIRS = [g for g in GRAMS if " " in g and max(map(len, g.split())) >= LONG]
 
 
 def _strings(values) -> Column:
@@ -265,8 +266,9 @@ def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: in
 
 
 def _kept_lines(text: str) -> Column:
-    """A text with the lines that can't declare a licence left empty."""
-    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.when(may_declare(word_list(line)), line).otherwise("")), "\n")
+    """A text with the lines that can't declare a licence left empty. Each line's words are made once."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), word_list(x).alias("words")))
+    return F.array_join(F.transform(lines, lambda x: F.when(may_declare(x["words"]), x["line"]).otherwise("")), "\n")
 
 
 def scan(documents: DataFrame, model: Model | None = None, min_overlap: float = 0.6) -> DataFrame:
@@ -293,7 +295,8 @@ def scan(documents: DataFrame, model: Model | None = None, min_overlap: float =
         return F.array(*[F.round((s + float(model.bias[k])) / model.temperature, 9) for k, s in enumerate(sums)])
 
     steps = (
-        lambda x: gram_list(word_list(x)),
+        word_list,
+        gram_list,
         lambda g: F.struct(F.array_intersect(g, vocabulary).alias("known"), F.size(g).alias("n")),
         lambda u: F.struct(u["known"], u["n"], F.transform(u["known"], lambda g: F.array_position(vocabulary, g).cast("int")).alias("at")),
         lambda u: F.struct(u["known"], u["n"], scores(u).alias("z")),

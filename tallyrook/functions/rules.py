@@ -20,7 +20,7 @@ SCOPE_REGION = ("emea", "europe", "eu", "uk", "united kingdom", "remote-first",
 SCOPE_RESTRICTED = ("us only", "united states only", "hybrid", "on-?site", "nyc", "san francisco", "poland only")
 LEVELS = (
     ("staff_lead", ("staff", "lead", "principal", "director", "head of")),
-    ("senior", ("senior",)),
+    ("senior", ("senior", "sr\\.\\w+")),
     ("junior", ("junior", "entry[- ]level", "graduate", "intern")),
     ("mid", ("mid[- ]level", "intermediate")),
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyrook.functions.text import normalize_text, trimmed
+from tallyrook.functions.text import let, normalize_text, trimmed
 
 #: Query parameters that only track (fixed values); any that begins with utm_ does too.
 TRACKING = ("fbclid", "gclid", "gclsrc", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "mkt_tok", "ref", "ref_src", "ref_url", "_ga", "_gl", "yclid")
@@ -21,16 +21,31 @@ APPLY_SHAPES = (
 )
 
 
+_CUT = "\u0001"
+
+
+def parsed(url: Column) -> Column:
+    """The URL's six parts (scheme, user, host, port, path, query), its trimmed text last, from one regular expression; empty
+    parts if it has no such shape."""
+    marked = let(trimmed(url), lambda t: F.array(t, F.regexp_replace(F.replace(t, F.lit(_CUT), F.lit("")), _SHAPE, _CUT.join(f"$${k}" for k in range(1, 7)).replace("$$", "$"))))
+    return let(marked, lambda m: let(F.split(m[1], _CUT), lambda p: F.when(F.size(p) == 6, F.concat(p, F.slice(m, 1, 1))).otherwise(F.concat(F.array_repeat(F.lit(""), 6), F.slice(m, 1, 1)))))
+
+
 def part(url: Column, k: int) -> Column:
-    return F.regexp_extract(trimmed(url), _SHAPE, k)
+    """Part k of a URL, from 1."""
+    return F.get(parsed(url), F.lit(k - 1))
+
+
+def _is_http(p: Column) -> Column:
+    return F.lower(p[0]).isin("http", "https")
 
 
 def is_http(url: Column) -> Column:
-    return F.lower(part(url, 1)).isin("http", "https")
+    return _is_http(parsed(url))
 
 
-def _params(url: Column) -> Column:
-    return F.filter(F.split(part(url, 6), "&"), lambda p: p != "")
+def _params(p: Column) -> Column:
+    return F.filter(F.split(p[5], "&"), lambda x: x != "")
 
 
 def _tracks(param: Column) -> Column:
@@ -38,36 +53,47 @@ def _tracks(param: Column) -> Column:
     return name.startswith("utm_") | name.isin(*TRACKING)
 
 
-def tracking_count(url: Column) -> Column:
-    return F.when(part(url, 1) != "", F.size(F.filter(_params(url), _tracks))).otherwise(0)
+def _tracking(p: Column) -> Column:
+    return F.when(p[0] != "", F.size(F.filter(_params(p), _tracks))).otherwise(0)
 
 
-def _path(url: Column) -> Column:
-    path = F.regexp_replace(part(url, 5), "/+$", "")
-    return F.when(path == "", "/").otherwise(path)
+def tracking_count(url: Column) -> Column:
+    return let(parsed(url), _tracking)
 
 
-def _host(url: Column) -> Column:
-    return F.lower(part(url, 3))
+def _path(p: Column) -> Column:
+    path = F.rtrim(p[4], F.lit("/"))
+    return F.when(path == "", "/").otherwise(path)
 
 
-def _port(url: Column) -> Column:
-    scheme, port = F.lower(part(url, 1)), part(url, 4)
+def _port(p: Column) -> Column:
+    scheme, port = F.lower(p[0]), p[3]
     default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     return F.when(default, "").otherwise(F.concat(F.lit(":"), port))
 
 
+def canonical_of(p: Column) -> Column:
+    """canonical_url() of a parsed() URL."""
+    query = F.array_join(F.array_sort(F.filter(_params(p), lambda x: ~_tracks(x))), "&")
+    tail = let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    out = F.concat(F.lower(p[0]), F.lit("://"), F.lower(p[2]), _port(p), _path(p), tail)
+    return F.when(_is_http(p), out).otherwise(normalize_text(p[6]))
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host lower-cased; user, default port, fragment and tracking parameters dropped; the rest sorted."""
-    query = F.array_join(F.array_sort(F.filter(_params(url), lambda p: ~_tracks(p))), "&")
-    out = F.concat(F.lower(part(url, 1)), F.lit("://"), _host(url), _port(url), _path(url), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(is_http(url), out).otherwise(normalize_text(url))
+    return let(parsed(url), canonical_of)
+
+
+def legacy_of(p: Column) -> Column:
+    """canonical_url_legacy() of a parsed() URL."""
+    user = F.when(p[1] == "", "").otherwise(F.concat(p[1], F.lit("@")))
+    return F.when(_is_http(p), F.lower(F.concat(p[0], F.lit("://"), user, p[2], _port(p), _path(p)))).otherwise(normalize_text(p[6]))
 
 
 def canonical_url_legacy(url: Column) -> Column:
     """The older form: no query, no fragment, all lower-cased; the user part stays."""
-    user = F.when(part(url, 2) == "", "").otherwise(F.concat(part(url, 2), F.lit("@")))
-    return F.when(is_http(url), F.lower(F.concat(part(url, 1), F.lit("://"), user, part(url, 3), _port(url), _path(url)))).otherwise(normalize_text(url))
+    return let(parsed(url), legacy_of)
 
 
 def is_public_host(host: Column) -> Column:
@@ -80,12 +106,14 @@ def is_public_host(host: Column) -> Column:
 
 def url_quality(url: Column) -> Column:
     """A struct whose least value is the best URL: public https, public http, private ..., few tracking parameters, short."""
-    public, https = is_public_host(part(url, 3)), F.lower(part(url, 1)) == "https"
-    rank = (
-        F.when(part(url, 1) == "", 5).when(~is_http(url), 4).when(public & https, 0).when(public, 1).when(https, 2).otherwise(3)
-    )
-    canonical = F.when(part(url, 1) == "", trimmed(url)).otherwise(canonical_url(url))
-    return F.struct(rank.alias("rank"), tracking_count(url).alias("tracking"), F.length(canonical).alias("size"), canonical.alias("canonical"), trimmed(url).alias("url"))
+
+    def of(p: Column) -> Column:
+        public, https = is_public_host(p[2]), F.lower(p[0]) == "https"
+        rank = F.when(p[0] == "", 5).when(~_is_http(p), 4).when(public & https, 0).when(public, 1).when(https, 2).otherwise(3)
+        canonical = F.when(p[0] == "", p[6]).otherwise(canonical_of(p))
+        return F.struct(rank.alias("rank"), _tracking(p).alias("tracking"), F.length(canonical).alias("size"), canonical.alias("canonical"), p[6].alias("url"))
+
+    return let(parsed(url), of)
 
 
 def safe_http_url(url: Column) -> Column:
@@ -96,7 +124,7 @@ def safe_http_url(url: Column) -> Column:
 def company_from_apply_url(url: Column) -> Column:
     slug = F.coalesce(*[F.nullif(F.regexp_extract(url, s, 1), F.lit("")) for s in APPLY_SHAPES])
     words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def company_from_profile_url(url: Column) -> Column:

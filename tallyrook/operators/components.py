@@ -8,15 +8,17 @@ adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyrook.session import discard, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set that doesn't depend on its order."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """An edge set written and read again, its path, and a fingerprint that doesn't depend on its order, taken by the way."""
+    seen = Observation()
+    out, path = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("mark")), "components")
+    return out, path, (seen.get["n"], seen.get["mark"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,17 +44,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = edges.where("src <> dst").distinct()
-    edges, path = materialize(edges, "components")
-    before = _mark(edges)
-    for _ in range(max_rounds):
-        now, new_path = materialize(_small_star(_large_star(edges)), "components")
-        after = _mark(now)
+    edges, path, before = _written(edges)
+    for _ in range(max_rounds if before[0] else 0):
+        now, new_path, after = _written(_small_star(_large_star(edges)))
         discard(spark, path)
         edges, path = now, new_path
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     tops = edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(tops)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrook.functions import urls as U
+from tallyrook.functions.text import normalize_text
 from tallyrook.operators.listings import Policy, blocked_apply_url, discovery_geo, remote_scope, title_role
 
+_NOT_NAME = re.compile("[^a-z0-9_/+.-]+")
 _LISTS = ("$.included", "$.data.included", "$.data.elements")
 
 
@@ -24,16 +28,41 @@ def search_hits(payloads: DataFrame) -> DataFrame:
     return hits.withColumn("nth", nth).where("nth = 1").select("job_id", "title", F.coalesce("name", "own", F.lit("Unknown")).alias("company"), F.col("payload_id").alias("page"))
 
 
-def details(payloads: DataFrame) -> DataFrame:
-    """(job_id, payload json) -> company, location, description, apply_url, easy_apply_only; each by fixed paths in order."""
+#: The network's own host: a link to it is no external application (fixed value).
+OWN_HOST = "linkedin.com"
+
+
+def _nested(record: Column) -> Column:
+    """The records that are values of a record's fields."""
+    return F.coalesce(F.map_values(F.try_variant_get(record, "$", "map<string,variant>")), F.array().cast("array<variant>"))
+
+
+def details(payloads: DataFrame, own_host: str = OWN_HOST) -> DataFrame:
+    """(job_id, payload json) -> company, location, description, apply_url, easy_apply_only.
+
+    Looked for in the payload, in its data, in the included entities, and one level deeper in each, in this order. The first
+    record with a way to apply decides: a link beyond the network, else an on-site application.
+    """
     v = payloads.select("job_id", F.try_parse_json("payload").alias("v"))
-    get = lambda *paths: F.coalesce(*[F.nullif(F.try_variant_get("v", p, "string"), F.lit("")) for p in paths])
-    both = lambda p: (f"$.{p}", f"$.data.{p}", f"$.included[0].{p}")
-    apply = get(*both("applyMethod.companyApplyUrl"), *both("companyApplyUrl"))
-    onsite = get(*both("applyMethod.$type"), *both("applyMethod.type"))
-    return v.select(
-        "job_id", get(*both("companyDetails.name"), *both("companyName")).alias("company"), get(*both("formattedLocation"), *both("location")).alias("location"),
-        get(*both("description.text"), *both("description")).alias("description"), apply.alias("apply_url"), (apply.isNull() & F.coalesce(onsite.contains("Onsite"), F.lit(False))).alias("easy_apply_only"),
+    included = F.coalesce(F.try_variant_get("v", "$.included", "array<variant>"), F.try_variant_get("v", "$.data.included", "array<variant>"), F.array().cast("array<variant>"))
+    roots = F.concat(F.array("v", F.try_variant_get("v", "$.data", "variant")), included)
+    rows = v.select("job_id", F.filter(roots, lambda x: x.isNotNull()).alias("roots"))
+    rows = rows.select("job_id", F.concat("roots", F.flatten(F.transform("roots", _nested))).alias("records"))
+    text = lambda x, p: F.nullif(F.try_variant_get(x, f"$.{p}", "string"), F.lit(""))
+
+    def first(*paths: str) -> Column:
+        return F.get(F.filter(F.transform("records", lambda x: F.coalesce(*[text(x, p) for p in paths])), lambda y: y.isNotNull()), 0)
+
+    def way(x: Column) -> Column:
+        url = F.coalesce(*[text(x, f"applyMethod.{p}") for p in ("companyApplyUrl", "offsiteApply.companyApplyUrl", "offsiteApply.url")], text(x, "companyApplyUrl"))
+        kind = F.coalesce(text(x, "applyMethod.$type"), text(x, "applyMethod.type"), F.lit(""))
+        url = F.when(~url.contains(own_host), url)
+        return F.when(url.isNotNull() | kind.contains("OnsiteApply"), F.struct(url.alias("url"), url.isNull().alias("easy")))
+
+    found = F.get(F.filter(F.transform("records", way), lambda w: w.isNotNull()), 0)
+    return rows.withColumn("found", found).select(
+        "job_id", first("companyDetails.name", "companyName").alias("company"), first("formattedLocation", "location").alias("location"),
+        first("description.text", "description").alias("description"), F.col("found.url").alias("apply_url"), F.coalesce("found.easy", F.lit(False)).alias("easy_apply_only"),
     )
 
 
@@ -49,7 +78,7 @@ def judged(hits: DataFrame, policy: Policy, slugs: list[str], domains: tuple[str
     rows = hits.withColumns({"location": F.coalesce("location", F.lit("")), "description": F.coalesce("description", F.lit(""))}).withColumn("remote_scope", remote_scope())
     return rows.withColumns({
         "role_ok": title_role(policy.profile), "geo": discovery_geo(policy), "blocked_url": blocked_apply_url(F.col("apply_url"), slugs, domains),
-        "blocklisted": F.lower("company").isin(*[b.lower() for b in blocked_firms]),
+        "blocklisted": normalize_text(F.col("company")).isin(*[_NOT_NAME.sub(" ", b.lower()).strip() for b in blocked_firms]),
     })
 
 

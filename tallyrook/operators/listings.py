@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyrook.functions import rules as R
 from tallyrook.functions import text as X
 from tallyrook.functions import urls as U
+from tallyrook.session import materialize
 
 SNIPPET = 2500
 
@@ -55,11 +56,11 @@ def normalize(raw: DataFrame) -> DataFrame:
 
 def with_identity(listings: DataFrame) -> DataFrame:
     """Adds url_key, provider_key, legacy_key, legacy_url_key, dedupe_key (the first of them that there is) and aliases."""
-    url = F.col("url")
-    out = listings.withColumns({
-        "url_key": url_key(url), "provider_key": provider_key(F.col("adapter"), F.col("source_job_id")),
-        "legacy_key": legacy_key(), "legacy_url_key": legacy_url_key(url),
-    })
+    http = F.lower(F.col("__url")[0]).isin("http", "https")
+    out = listings.withColumn("__url", U.parsed(F.col("url"))).withColumns({
+        "url_key": F.when(http, F.concat(F.lit("url::"), U.canonical_of(F.col("__url")))), "provider_key": provider_key(F.col("adapter"), F.col("source_job_id")),
+        "legacy_key": legacy_key(), "legacy_url_key": F.when(http, F.concat(F.lit("url::"), U.legacy_of(F.col("__url")))),
+    }).drop("__url")
     out = out.withColumn("dedupe_key", F.coalesce("url_key", "provider_key", "legacy_key"))
     keys = F.array("dedupe_key", "legacy_key", "url_key", "legacy_url_key", "provider_key")
     return out.withColumn("aliases", F.array_distinct(F.array_compact(keys)))
@@ -123,7 +124,7 @@ def title_role(profile: str, title: str = "title") -> Column:
 def geo_tier(policy: Policy) -> Column:
     """eligible, verify or excluded: exclusions, region without home, welcome words, then the scope."""
     both, unsure = haystack(), F.lit("verify" if policy.default_region_to_verify else "excluded")
-    region_only = R.says("location", ("emea",)) & ~R.says("location", ("worldwide", "global"))
+    region_only = R.says("location", ("emea",)) & ~R.says("location", ("worldwide", "global(?:ly)?"))
     out = F.when(R.says(both, R.GEO_EXCLUSION), "excluded")
     if policy.region_only_needs_home:
         out = out.when(region_only & ~R.says(both, R.HOME_EXPLICIT), unsure)
@@ -228,10 +229,19 @@ def scored(matched: DataFrame, profile: str, reference: str) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """Adds tier_rank: the place within the geo tier by total, firm and key. Tiers are ranked apart, so three tasks work.
+    """Adds tier_rank: the place within the geo tier by total, firm and key.
 
-    Only the narrow columns that the order needs are shuffled; a top-k of a tier is a limit of the window, which Spark
-    takes before the shuffle.
+    Rows are dealt by ranges of the whole order and sorted there, so as many tasks work as there are shuffle partitions,
+    whatever the number of tiers; the sorted rows are written, and a row's place is its place in its part plus the tier's
+    rows in the parts before. Parts' counts are the only other thing that moves: a row a part and tier.
     """
-    order = Window.partitionBy("geo").orderBy(F.desc("total"), F.asc("company"), F.asc("dedupe_key"), F.asc("posting_id"))
-    return scores.withColumn("tier_rank", F.row_number().over(order))
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("geo"), F.desc("total"), F.asc("company"), F.asc("dedupe_key"), F.asc("posting_id")]
+    rows = scores.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    rows, _ = materialize(rows, "ranked")
+    counts = rows.groupBy("geo", "__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    before = Window.partitionBy("geo").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("geo").alias("__geo"), F.col("__part").alias("__p"), "first", "before")
+    out = rows.join(counts, (F.col("geo") == F.col("__geo")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn("tier_rank", (F.col("__at") - F.col("first") + F.col("before") + 1).cast("int")).drop("__part", "__at", "__geo", "__p", "first", "before")

@@ -53,7 +53,7 @@ def merged(listings: DataFrame, members: DataFrame) -> DataFrame:
     rows = listings.join(members, "posting_id")
     best = F.min(F.when(F.col("url") != "", url_quality(F.col("url"))))
     record = F.struct("source_id", "adapter", F.coalesce("source_job_id", F.lit("")).alias("source_job_id"), "url")
-    keys = F.array_compact(F.array(provider_key(F.col("adapter"), F.col("source_job_id")), url_key(F.col("url")), legacy_url_key(F.col("url"))))
+    keys = F.array_compact(F.array("provider_key", "url_key", "legacy_url_key"))
     out = rows.groupBy("entity_id").agg(
         F.count("*").alias("members"), *map(_richest, ("company", "title", "location", "description")), best["url"].alias("url"),
         F.min("posted_at").alias("posted_at"), F.array_sort(F.collect_set(record)).alias("provenance"),

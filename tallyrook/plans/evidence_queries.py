@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyrook.operators import corpus as K
 from tallyrook.operators import evidence as V
 from tallyrook.plans.derived import table
+from tallyrook.session import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit for each line of an order: the repository is the part's, the date the shipping date."""
     k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     verb = F.element_at(F.array(*map(F.lit, _VERBS)), (k % len(_VERBS)).cast("int") + 1)
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return spread(lines, "l_orderkey", "l_linenumber").select(
         (F.col("l_partkey") % 50).alias("repo"), F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), 256).alias("sha"),
         F.concat_ws(" ", verb, "l_orderkey").alias("subject"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_suppkey").alias("s"), "l_linenumber", "l_orderkey",
     )
@@ -104,7 +106,7 @@ select name, max(pushed_at)::varchar as pushed_at, arg_min(language, (r, languag
 add("c16_activity_cutoff", lambda s, d: V.active_since(_candidates(s, d), F.lit("2003-05-01").cast("date"), 2).select("name"), "select 'repo' || (o_custkey % 200) as name from orders group by 1 having max(o_orderdate)::date >= date '2001-05-01'")
 
 # corpus audits
-_docs = lambda s, d: table(s, d, "documents")
+_docs = lambda s, d: spread(table(s, d, "documents").select("doc_id", "text"), "doc_id")
 add("k01_structure", lambda s, d: K.structure(_docs(s, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count("section").alias("in_section")), """with l as (select doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)))) as t from documents),
 k as (select doc_id, case when starts_with(t, '- ') then 'bullet' when regexp_matches(t, '^\\*\\*stack:?\\*\\*', 'i') then 'stack' when starts_with(t, '> ') then 'note' when regexp_matches(t, '^\\*[^*]+\\*$') then 'meta' else 'paragraph' end as kind
  from l where t <> '' and not regexp_matches(t, '^#{1,6}\\s') and not regexp_matches(t, '^---+\\s*$')) select doc_id, kind, count(*) as n, 0 as in_section from k group by all""")

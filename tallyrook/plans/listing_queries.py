@@ -10,7 +10,7 @@ from tallyrook.functions import text as X
 from tallyrook.functions import urls as U
 from tallyrook.operators import listings as L
 from tallyrook.operators import resolve as E
-from tallyrook.session import materialize
+from tallyrook.session import materialize, spread
 from tallyrook.plans.derived import BLOCKLIST, RAW_SQL, REFERENCE_DATE, raw_postings, table
 
 POLICY = L.Policy(profile="front", allowed_levels=("junior", "mid", "senior", "unknown"))
@@ -37,14 +37,6 @@ def hits_sql(column: str, phrases) -> str:
 WS = "[\\s\\x0B\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 
 
-def _entities_sql(x: str) -> str:
-    for shape, code in (("&#[xX]([0-9a-fA-F]+);", "try_cast('0x' || regexp_extract(m, '&#[xX]([0-9a-fA-F]+);', 1) as bigint)"), ("&#([0-9]+);", "try_cast(regexp_extract(m, '([0-9]+)', 1) as bigint)")):
-        x = f"list_reduce(list_distinct(regexp_extract_all({x}, '{shape}')), lambda a, m: case when {code} between 1 and 1114111 then replace(a, m, chr(({code})::int)) else a end, {x})"
-    for name, char in X.NAMED:
-        x = f"regexp_replace({x}, '&{name};', {_q(char)}, 'gi')"
-    return x
-
-
 def entities_sql(x: str) -> str:
     """Only named entities stand in the derived texts; numeric ones are tested on fixtures."""
     for name, char in X.NAMED:
@@ -128,7 +120,7 @@ HAY = "(location || chr(10) || description)"
 
 
 def _geo_sql() -> str:
-    region_only = f"{says_sql('location', ('emea',))} and not {says_sql('location', ('worldwide', 'global'))}"
+    region_only = f"{says_sql('location', ('emea',))} and not {says_sql('location', ('worldwide', 'global', 'globally'))}"
     return f"""case when {says_sql(HAY, R.GEO_EXCLUSION)} then 'excluded' when {region_only} and not {says_sql(HAY, R.HOME_EXPLICIT)} then 'verify'
       when {says_sql(HAY, R.GEO_POSITIVE)} then 'eligible' when remote_scope = 'global' then 'eligible' when remote_scope = 'regional' then 'excluded' else 'verify' end"""
 
@@ -198,11 +190,11 @@ def _listing_view(name: str, columns, sql_columns: str, frame=listings, relation
 _id = {"posting_id": "posting_id"}
 view("b01_decode_entities", raw_postings, lambda: _id | {"title": X.decode_entities(F.col("title")), "company": X.decode_entities(F.col("company"))},
      f"with {RAW_SQL} select posting_id, {entities_sql('title')} as title, {entities_sql('company')} as company from raw")
-view("b02_strip_html", lambda s, d: table(s, d, "pages"), lambda: {"page_id": "page_id", "text_md5": F.md5(X.strip_html(F.col("html"))), "n": F.length(X.strip_html(F.col("html")))},
+view("b02_strip_html", lambda s, d: spread(table(s, d, "pages").select("page_id", "html"), "page_id"), lambda: {"page_id": "page_id", "text_md5": F.md5(X.strip_html(F.col("html"))), "n": F.length(X.strip_html(F.col("html")))},
      f"select page_id, md5({strip_sql('html')}) as text_md5, length({strip_sql('html')}) as n from pages")
 view("b03_clean_text", raw_postings, lambda: _id | {"company": X.clean_text(F.col("company")), "title": X.clean_text(F.col("title"))},
      f"with {RAW_SQL} select posting_id, {clean_sql('company')} as company, {clean_sql('title')} as title from raw")
-view("b04_normalize_text", lambda s, d: table(s, d, "documents"), lambda: {"doc_id": "doc_id", "text_md5": F.md5(X.normalize_text(F.col("text")))},
+view("b04_normalize_text", lambda s, d: spread(table(s, d, "documents").select("doc_id", "text"), "doc_id"), lambda: {"doc_id": "doc_id", "text_md5": F.md5(X.normalize_text(F.col("text")))},
      f"select doc_id, md5({norm_sql('text')}) as text_md5 from documents")
 _urls = f"with {url_parts_sql('pages', 'page_id, url')}"
 _pages = lambda s, d: table(s, d, "pages")
@@ -230,7 +222,6 @@ _listing_view("b18_safe_http_url", lambda: _id | {"safe": U.safe_http_url(F.col(
 view("b24_rounding", lambda s, d: table(s, d, "lineitem"), lambda: {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "x": X.round2(F.col("l_extendedprice") * F.col("l_discount"))},
      "select l_orderkey, l_linenumber, floor(l_extendedprice * l_discount * 100 + 0.5) / 100 as x from lineitem")
 view("c01_blocklist", lambda s, d: L.not_blocklisted(listings(s, d), blocklist(s)), lambda: _id, f"{LISTING_SQL} select posting_id from listing where {norm_sql('company')} not in (select b from blocked)")
-_slugs = ["customer000000007", "exampleorg", "org"]
 _listing_view("c02_blocked_apply_url", lambda: _id | {"blocked": L.blocked_apply_url(F.col("url"), ["board", "org"], ("example.com", "easyapply.jobs"))},
     "posting_id, coalesce(regexp_matches(url, '(?i)^https?://([^/]*@)?([^/]*\\.)?example\\.com[:/]') or regexp_matches(url, '(?i)^https?://([^/]*@)?[^/]*board'), false) as blocked")
 _listing_view("c03_remote_scope", lambda: _id | {"remote_scope": "remote_scope"}, "posting_id, remote_scope")
@@ -283,7 +274,8 @@ member as (select a as posting_id, min(b) as entity_id from reach group by a)"""
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.entities(materialize(listings(spark, sf_dir), "listings")[0])
+    rows = listings(spark, sf_dir).select("posting_id", "source_id", "url_key", "provider_key", "legacy_key")
+    return E.entities(materialize(rows, "listings")[0])
 
 
 view("e03_entity_resolution", members, lambda: {"posting_id": "posting_id", "entity_id": "entity_id"}, f"{ENTITY_SQL} select posting_id, entity_id from member")
@@ -292,7 +284,7 @@ view("e04_cautious_names", lambda s, d: E.cautious_groups(listings(s, d)), lambd
 
 
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = materialize(listings(spark, sf_dir), "listings")
+    rows, _ = materialize(listings(spark, sf_dir).drop("remote_scope", "level", "dedupe_key", "aliases"), "listings")
     return E.merged(rows, E.entities(rows))
 
 

@@ -63,16 +63,24 @@ def base_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(listings(spark, sf_dir), "listings")[0]
 
 
+_KEYED = ("posting_id", "company", "title", "url", "dedupe_key", "legacy_key", "url_key", "legacy_url_key", "provider_key", "aliases")
+
+
+def keyed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings' identities, written once: what state queries read, without scope, level and texts."""
+    return materialize(listings(spark, sf_dir).select(*_KEYED), "keyed")[0]
+
+
 def parted(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base_listings(spark, sf_dir)
     rows = L.scored(L.apply_policy(base, POLICY), "front", REFERENCE_DATE)
     return S.partition_active(rows, seen_state(base), lifecycle_state(base).select("key", "disposition"), "front")
 
 
-add("d01_alias_lookup", lambda s, d: S.alias_lookup(b := base_listings(s, d), seen_state(b).where("profile = 'front'").select("key", "first_seen_at")).select("posting_id", F.col("hit.first_seen_at").alias("first_seen_at")),
+add("d01_alias_lookup", lambda s, d: S.alias_lookup(b := keyed_listings(s, d), seen_state(b).where("profile = 'front'").select("key", "first_seen_at")).select("posting_id", F.col("hit.first_seen_at").alias("first_seen_at")),
     f"{SEEN_SQL} select posting_id, first_seen_at from hit")
-add("d02_seen_split", lambda s, d: S.split_seen(b := base_listings(s, d), seen_state(b), "front").select("posting_id", "status", "first_seen_at"), f"{SEEN_SQL} select posting_id, status, first_seen_at from part")
-add("d03_lifecycle_lookup", lambda s, d: S.disposition_of(b := base_listings(s, d), lifecycle_state(b)).select("posting_id", "disposition"), f"{SEEN_SQL} select posting_id, disposition from part")
+add("d02_seen_split", lambda s, d: S.split_seen(b := keyed_listings(s, d), seen_state(b), "front").select("posting_id", "status", "first_seen_at"), f"{SEEN_SQL} select posting_id, status, first_seen_at from part")
+add("d03_lifecycle_lookup", lambda s, d: S.disposition_of(b := keyed_listings(s, d), lifecycle_state(b)).select("posting_id", "disposition"), f"{SEEN_SQL} select posting_id, disposition from part")
 add("h02_active_partition", lambda s, d: parted(s, d).where("reason is null").select("posting_id", "active", "status", "disposition"),
     f"{SEEN_SQL} select posting_id, disposition is null as active, status, disposition from part where reason is null")
 add("f08_suppressed", lambda s, d: M.count_by(parted(s, d).where("reason is null"), "disposition"), f"{SEEN_SQL} select disposition, count(*) as n from part where reason is null and disposition is not null group by 1")
@@ -139,7 +147,7 @@ add("f07_run_outcome", lambda s, d: M.run_outcome(S.cadence(poll_state(s, d), F.
 
 
 def _transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base_listings(spark, sf_dir)
+    rows = keyed_listings(spark, sf_dir)
     state = rows.join(lifecycle_state(rows).withColumnRenamed("key", "k2"), F.col("k2") == F.col("dedupe_key")).groupBy("disposition", F.col("dedupe_key").alias("key")).agg(
         F.min("company").alias("company"), F.min("title").alias("title"), F.min("url").alias("url"), F.min("at").alias("at"), F.lit("prior").alias("source_report"))
     at = _when()
@@ -148,7 +156,7 @@ def _transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("e12_lifecycle_transition", _transition, None)
-add("e11_seen_upsert", lambda s, d: S.upsert_seen(seen_state(b := base_listings(s, d)), b.where("posting_id % 5 = 0"), "front", _when()).select("profile", "key", "first_seen_at", "last_seen_at"),
+add("e11_seen_upsert", lambda s, d: S.upsert_seen(seen_state(b := keyed_listings(s, d)), b.where("posting_id % 5 = 0"), "front", _when()).select("profile", "key", "first_seen_at", "last_seen_at"),
     f"""{SEEN_SQL}, r as (select * from listing where posting_id % 5 = 0), st as (select *, first_seen_at as last_seen_at from seen),
  fresh as (select dedupe_key as key, min(h.first_seen_at) as known from r left join hit h using (posting_id) group by 1), gone as (select distinct legacy_key as key from r where legacy_key <> dedupe_key)
  select profile, key, first_seen_at, last_seen_at from st where profile <> 'front' or (key not in (select key from fresh) and key not in (select key from gone))
@@ -158,7 +166,7 @@ add("e02_composite_dedupe", lambda s, d: S.first_wins(listings(s, d).withColumn(
     f"{SCORE_SQL} select min(posting_id) as posting_id from listing group by split_part(legacy_key, '::', 1), title")
 add("h01_union_sources", lambda s, d: listings(s, d).where("source_id = 'src1'").unionByName(listings(s, d).where("source_id <> 'src1'")).groupBy("source_id").agg(F.count("*").alias("n")),
     f"{SCORE_SQL} select source_id, count(*) as n from listing group by 1")
-add("h04_key_difference", lambda s, d: seen_state(b := base_listings(s, d)).select("key").join(lifecycle_state(b).select("key"), "key", "left_anti").distinct(),
+add("h04_key_difference", lambda s, d: seen_state(b := keyed_listings(s, d)).select("key").join(lifecycle_state(b).select("key"), "key", "left_anti").distinct(),
     f"{SEEN_SQL} select distinct key from seen where key not in (select key from life)")
 add("h03_provenance_union", lambda s, d: entity_rows(s, d).select("entity_id", F.size("provenance").alias("n")),
     f"{MERGED_SQL} select entity_id, count(distinct (source_id, adapter, coalesce(source_job_id, ''), url)) as n from ranked_url group by 1")

@@ -50,6 +50,15 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many partitions as there are cores, if a small or one-block file gives fewer; dealt by hash of the keys.
+
+    What is narrow behind it would else run in one task. An input of as many partitions as cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables of materialize() that nothing reads any more."""
     for path in paths:

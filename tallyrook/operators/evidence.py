@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyrook.functions.rules import themes
+
 NOISE = r"(?i)^(merge|v\d|version bump|bump)"
 
 
@@ -32,6 +34,16 @@ def own_commits(commits: DataFrame, logins: list[str], names: list[str]) -> Data
     return out.where("by_login or (by_name and not any_login)").drop("by_login", "by_name", "any_login")
 
 
+def own_pulls(pulls: DataFrame, logins: list[str]) -> DataFrame:
+    """Pull requests (login, ...) that one of our logins has opened, whatever its case; a null login is nobody's."""
+    return pulls.where(F.lower("login").isin(*[x.lower() for x in logins]))
+
+
+def theme_set(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(theme, n): the themes that any text has, and in how many texts. Themes combine before the shuffle."""
+    return texts.select(F.explode(themes(column)).alias("theme")).groupBy("theme").agg(F.count("*").alias("n"))
+
+
 def upsert(prior: DataFrame, fetched: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """The snapshot after a fetch, with op: added, updated (a compared field differs), unchanged, or kept (not fetched).
 

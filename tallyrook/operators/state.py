@@ -67,6 +67,14 @@ def transition(state: DataFrame, entries: DataFrame) -> DataFrame:
     return stay.select(*new.columns).unionByName(new)
 
 
+def merge_applied(lines: DataFrame) -> DataFrame:
+    """Ticked lines of all reports (path, line_no, key, company, title, url) -> one row a key: its first line in the order of
+    reports and lines, and in how many reports it stands."""
+    return lines.groupBy("key").agg(
+        F.min(F.struct("path", "line_no", "company", "title", "url")).alias("first"), F.count_distinct("path").alias("reports")
+    ).select("key", "first.*", "reports")
+
+
 def upsert_poll(state: DataFrame, updates: DataFrame) -> DataFrame:
     """updates: profile, source_id, ordinal, at, ok, error. The last one of a source wins; success clears the error."""
     last = updates.groupBy("profile", "source_id").agg(F.max_by(F.struct("at", "ok", "error"), "ordinal").alias("u"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrook.functions.rules import THEMES
 from tallyrook.operators import corpus as K
 from tallyrook.operators import evidence as V
 from tallyrook.plans.derived import table
@@ -12,6 +13,7 @@ from tallyrook.session import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+_TOPICS = ("React UI kit", "data platform", "API docs", "an infrared lamp", "Security tests, test data", "mobile (frontend)", "nothing")
 _VERBS = ("Merge branch", "Fix", "Add", "Bump", "v2", "Refactor", "Document", "Test")
 
 
@@ -65,7 +67,15 @@ j as (select coalesce(a.repo, b.repo) as repo, coalesce(b.subject, a.subject) as
  from a full join b on a.repo = b.repo and a.sha = b.sha) select repo, op, count(*) as n, min(subject) as least from j group by all""")
 add("e09_pull_upsert", lambda s, d: _pulls_upserted(s, d).groupBy("op").agg(F.count("*").alias("n")), f"""{COMMITS_SQL}
 select case when created >= '1999-01-01' then 'added' when created < '1998-06-01' then 'kept' when state = 'O' then 'unchanged' else 'updated' end as op, count(*) as n from p group by 1""")
-add("f16_refresh_delta", lambda s, d: V.delta_totals(_upserted(s, d), _pulls_upserted(s, d)), None)
+add("f16_refresh_delta", lambda s, d: V.delta_totals(_upserted(s, d), _pulls_upserted(s, d)), f"""{COMMITS_SQL},
+u as (select repo, sha, any_value(subject) as subject, any_value("date") as "date", any_value(l_orderkey) as k from c group by all),
+a as (select * from u where "date" < '1999-01-01'), b as (select repo, sha, case when k % 10 = 0 then subject || '!' else subject end as subject, "date" from u where "date" >= '1998-06-01'),
+j as (select coalesce(a.repo, b.repo) as repo, coalesce(b.subject, a.subject) as subject, case when a.sha is null then 'added' when b.sha is null then 'kept' when a.subject = b.subject then 'unchanged' else 'updated' end as op
+ from a full join b on a.repo = b.repo and a.sha = b.sha),
+q as (select repo, case when created >= '1999-01-01' then 'added' when created < '1998-06-01' then 'kept' when state = 'O' then 'unchanged' else 'updated' end as op from p),
+every as (select repo, op, 'c' as kind from j union all select repo, op, 'p' from q)
+select repo, count(*) filter (where kind = 'c' and op = 'added') as commits_added, count(*) filter (where kind = 'c' and op = 'updated') as commits_updated,
+ count(*) filter (where kind = 'p' and op = 'added') as pulls_added, count(*) filter (where kind = 'p' and op = 'updated') as pulls_updated from every group by rollup (repo)""")
 _month = lambda c: F.substring(c, 1, 7).alias("month")
 add("f13_activity_timeline", lambda s, d: V.timeline(commits(s, d).select("repo", _month("date")), pulls(s, d).select("repo", _month("created"))), f"""{COMMITS_SQL},
 a as (select repo, "date"[:7] as month, 1 as c from c union all select repo, created[:7], 0 from p) select month, sum(c)::bigint as commits, sum(1 - c)::bigint as pulls, count(distinct repo) as repos from a group by 1""")
@@ -107,20 +117,46 @@ add("c16_activity_cutoff", lambda s, d: V.active_since(_candidates(s, d), F.lit(
 
 # corpus audits
 _docs = lambda s, d: spread(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-add("k01_structure", lambda s, d: K.structure(_docs(s, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count("section").alias("in_section")), """with l as (select doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)))) as t from documents),
-k as (select doc_id, case when starts_with(t, '- ') then 'bullet' when regexp_matches(t, '^\\*\\*stack:?\\*\\*', 'i') then 'stack' when starts_with(t, '> ') then 'note' when regexp_matches(t, '^\\*[^*]+\\*$') then 'meta' else 'paragraph' end as kind
- from l where t <> '' and not regexp_matches(t, '^#{1,6}\\s') and not regexp_matches(t, '^---+\\s*$')) select doc_id, kind, count(*) as n, 0 as in_section from k group by all""")
+#: What stands before each document's text, by doc_id: headings and roles, evidence tags and comments (fixed values).
+_HEADS = ("# Name\n## Work\nintro line\n### Role A\n- did x\n", "## Skills\n**Stack:** a, b\n> a note\n## Work\n- y\n", "*2001 to 2003*\n", "### Alone\n- z\n## Last\n")
+_TAGGED = ("Did this `verified-from-github` and that. ", "<!-- doc:meta a\nb -->Rest ", "Plain. ", "One `needs-your-confirmation` two `Verified-From-GitHub`<!--doc-meta: x-->")
+
+
+def _planted(spark: SparkSession, sf_dir: str, heads) -> DataFrame:
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % len(heads)).cast("int") + 1)
+    return _docs(spark, sf_dir).select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _planted_sql(heads) -> str:
+    listed = ", ".join("'" + h.replace("\n", "' || chr(10) || '") + "'" for h in heads)
+    return f"select doc_id, [{listed}][(doc_id % {len(heads)})::int + 1] || coalesce(text, '') as text from documents"
+
+
+add("k01_structure", lambda s, d: K.structure(_planted(s, d, _HEADS)).groupBy("doc_id", "kind", "section", "role").agg(F.count("*").alias("n"), F.min("line_no").alias("first")), f"""with d as ({_planted_sql(_HEADS)}),
+l0 as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as a from d), l1 as (select doc_id, unnest(a) as line, generate_subscripts(a, 1) as line_no from l0), l as (select *, trim(line) as t from l1),
+s as (select *, last_value(case when starts_with(t, '## ') then t[4:] end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from l),
+r as (select *, last_value(case when starts_with(t, '### ') then t[5:] end ignore nulls) over (partition by doc_id, section order by line_no rows between unbounded preceding and current row) as role from s),
+k as (select *, case when starts_with(t, '- ') then 'bullet' when regexp_matches(t, '^\\*\\*stack:?\\*\\*', 'i') then 'stack' when starts_with(t, '> ') then 'note' when regexp_matches(t, '^\\*[^*]+\\*$') then 'meta' else 'paragraph' end as kind
+ from r where t <> '' and not regexp_matches(t, '^#{{1,6}}\\s') and not regexp_matches(t, '^---+\\s*$')) select doc_id, kind, section, role, count(*) as n, min(line_no)::int as "first" from k group by all""")
 add("k02_diagnostics", lambda s, d: K.diagnostics(_docs(s, d)).groupBy("code").agg(F.count("*").alias("n")), """with l as (select doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) as line from documents),
 k as (select doc_id, case when trim(line) = '' or regexp_matches(trim(line), '^---+\\s*$') then null when starts_with(trim(line), '# ') then 'heading' when regexp_matches(trim(line), '^#{4,}\\s') then 'unsupported_heading'
  when regexp_matches(trim(line), '^#{1,3}\\s') then null when regexp_matches(trim(line), '^\\|.+\\|') or regexp_matches(trim(line), '^:?-{3,}:?\\s*(?:\\||$)') then 'unsupported_table'
  when regexp_matches(line, '!\\[[^\\]]*\\]\\([^)]+\\)') then 'unsupported_image' when regexp_matches(line, '^\\s+- ') then 'unsupported_nested_list' when regexp_matches(line, '<[a-zA-Z][^>]*>') then 'unsupported_raw_html' end as code from l)
 select code, count(*) as n from k where code <> 'heading' group by 1 union all select 'missing_name_heading', count(*) from (select doc_id from k group by 1 having not bool_or(coalesce(code = 'heading', false)))""")
-add("k03_evidence_tags", lambda s, d: K.remove_tags(_docs(s, d)).select("doc_id", F.md5("clean").alias("clean"), "n_tags", "n_meta", "leaked"),
-    "select doc_id, md5(trim(text)) as clean, 0 as n_tags, 0 as n_meta, false as leaked from documents")
+_tag, _meta = "`(?:verified-from-github|needs-your-confirmation)`", "<!--\\s*(?:doc:meta|doc-meta:)(?:.|\\n)*?-->"
+add("k03_evidence_tags", lambda s, d: K.remove_tags(_planted(s, d, _TAGGED)).select("doc_id", F.md5("clean").alias("clean"), "n_tags", "n_meta", "leaked"), f"""with d as ({_planted_sql(_TAGGED)}),
+c as (select *, trim(regexp_replace(regexp_replace(text, '(?i){_meta}', '', 'g'), '(?i) ?{_tag} ?', ' ', 'g')) as clean from d)
+select doc_id, md5(clean) as clean, len(regexp_extract_all(text, '(?i){_tag}')) as n_tags, len(regexp_extract_all(text, '(?i){_meta}')) as n_meta,
+ regexp_matches(clean, '(?i)verified-from-github|needs-your-confirmation|doc:meta|doc-meta:') as leaked from c""")
 _vocab = "|".join(K.VOCABULARY)
 add("k05_style_counts", lambda s, d: K.style(_docs(s, d)).select("doc_id", "dashes", "vocabulary", "chat"),
     f"select doc_id, len(regexp_extract_all(text, '—|--')) as dashes, len(regexp_extract_all(text, '(?i)\\b(?:{_vocab})\\b')) as vocabulary, len(regexp_extract_all(text, '(?i){'|'.join(K.CHAT)}')) as chat from documents")
-add("k05_style_audit", lambda s, d: K.style(_docs(s, d)), None)
+add("k05_style_audit", lambda s, d: K.style(_docs(s, d)), f"""with t as (select doc_id, coalesce(text, '') as text from documents),
+s as (select *, list_transform(list_filter(regexp_split_to_array(text, '[.!?]+\\s+'), lambda x: trim(x) <> ''), lambda x: len(regexp_split_to_array(trim(x), ' +'))::double) as s from t),
+c as (select doc_id, len(regexp_extract_all(text, '—|--')) as dashes, len(regexp_extract_all(text, '(?i)\\bnot (?:just|only|merely)\\b[^.\\n]{{0,80}}\\bbut\\b')) as contrasts,
+ len(regexp_extract_all(text, '(?i)\\b(?:{_vocab})\\b')) as vocabulary, len(regexp_extract_all(text, '(?i){'|'.join(K.CHAT)}')) as chat, len(s) as n,
+ case when len(s) > 1 then floor(sqrt(greatest(0.0::double, list_sum(list_transform(s, lambda x: x * x)) / len(s) - (list_sum(s) / len(s)) * (list_sum(s) / len(s)))) * 100 + 0.5) / 100 end as spread from s)
+select doc_id, dashes, contrasts, vocabulary, chat, spread, dashes <= 2 and contrasts = 0 and vocabulary <= 1 and chat = 0 and not coalesce(n >= 5 and spread < 2.0, false) as pass from c""")
 add("k06_letter_limits", lambda s, d: K.letter_limits(_docs(s, d)).select("doc_id", "paragraphs", "words"),
     "select doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p) <> '')) as paragraphs, len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda w: w <> '')) as words from documents")
 add("k07_secrets", lambda s, d: K.secrets(_docs(s, d)), """select doc_id, label from (select doc_id, unnest([case when regexp_matches(text, 'ghp_[A-Za-z0-9]{20,}') then 'code host token' end,
@@ -145,3 +181,16 @@ add("k04_evidence_search", _search, f"""{COMMITS_SQL},
 t as (select n_name as term, ['merge', 'fix', 'add', 'bump', 'v2', 'refactor', 'document', 'test'][n_nationkey % 8 + 1] as word from nation),
 f as (select t.term, c.sha as id, max(c.s % 2 = 0) as merged, max(c."date") as tm from c join t on lower(split_part(c.subject, ' ', 1)) = t.word group by all),
 r as (select term, id, row_number() over (partition by term order by merged desc, tm desc, id) as nth from f) select * from r where nth <= 5""")
+
+
+def _owned_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("number")
+    login = F.when(k % 7 == 0, "Ada-L").when(k % 7 == 1, "ada-l").when(k % 7 == 2, "ada-lovelace").when(k % 7 == 3, F.lit(None)).otherwise("bob")
+    return V.own_pulls(pulls(spark, sf_dir).withColumn("login", login), ["ADA-l"])
+
+
+add("c14_own_pulls", lambda s, d: _owned_pulls(s, d).groupBy("repo", "state").agg(F.count("*").alias("n")), f"{COMMITS_SQL} select repo, state, count(*) as n from p where number % 7 < 2 group by all")
+add("f15_theme_set", lambda s, d: V.theme_set(table(s, d, "part").select(F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, _TOPICS)), (F.col("p_partkey") % len(_TOPICS)).cast("int") + 1)).alias("text"))), f"""
+with t as (select lower(p_name || ' ' || [{", ".join(f"'{x}'" for x in _TOPICS)}][(p_partkey % {len(_TOPICS)})::int + 1]) as text from part),
+w as (select unnest([{", ".join(f"'{x}'" for x in THEMES)}]) as theme)
+select theme, count(*) as n from t join w on regexp_matches(text, '\\b' || theme || '\\b') group by 1""")

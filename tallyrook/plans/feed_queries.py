@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from tallyrook.operators import discovery as D
-from tallyrook.operators.listings import Policy
+from tallyrook.operators import state as S
+from tallyrook.operators.listings import Policy, legacy_key
 from tallyrook.plans.derived import RAW_SQL, raw_postings, table
+from tallyrook.plans.listing_queries import norm_sql
+from tallyrook.session import work_folder
 from tallyrook.sources import feeds
 from tallyrook.streaming import jobs
 
@@ -63,13 +68,13 @@ add("a13_quarantine", lambda s, d: feeds.quarantine_report(_parsed("a02_jobicy",
 
 
 def _rss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_postings(spark, sf_dir).where("posting_id % 6 in (0, 2)")
+    rows = raw_postings(spark, sf_dir)
     item = F.concat(F.lit("<item><title>"), F.trim("company"), F.lit(": "), "title", F.lit("</title><link>"), "url", F.lit("</link><region>"), "location", F.lit("</region><description><![CDATA["), "description", F.lit("]]></description></item>"))
     out = rows.groupBy(F.floor(F.col("posting_id") / 30).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("posting_id", item.alias("i")))), lambda x: x["i"]), "").alias("b"))
     return out.select(F.lit("rss").alias("source_id"), "page", F.concat(F.lit("<rss><channel>"), "b", F.lit("</channel></rss>")).alias("payload"))
 
 
-add("a06_rss", lambda s, d: feeds.wwr(_rss(s, d))[0].select("company", "title", "url", "location"), f"""with {RAW_SQL}, k as (select *, row_number() over (partition by url order by posting_id) as nth from raw where posting_id % 6 in (0, 2))
+add("a06_rss", lambda s, d: feeds.wwr(_rss(s, d))[0].select("company", "title", "url", "location"), f"""with {RAW_SQL}, k as (select *, row_number() over (partition by url order by posting_id) as nth from raw)
 select trim(company) as company, title, url, case when location = '' then 'Remote' else location end as location from k where nth = 1""")
 
 
@@ -127,3 +132,74 @@ select count(*) as attempted, 0 as skipped, count(*) filter (where not bad) as s
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir).select(F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source_id"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("status"), F.col("event_id").alias("ordinal"))
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hiring threads of 20 comments: `Firm | Role | Place`, plain sentences, and some that are too short."""
+    k = F.col("posting_id")
+    text = F.when(k % 11 == 0, "gone").when(k % 4 == 1, F.concat(F.lit("We are hiring right now: "), "title")).otherwise(
+        F.concat(F.trim("company"), F.lit(" | "), "title", F.lit(" |"), "location", F.lit("<p>"), "description", F.lit("<p>Mail us - soon.")))
+    child = F.struct(k.alias("id"), F.concat(F.lit("u"), k % 7).alias("author"), text.alias("text"))
+    out = raw_postings(spark, sf_dir).groupBy(F.floor(k / 20).cast("int").alias("page")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+    body = F.to_json(F.struct(F.col("page").cast("long").alias("id"), F.lit("Ask: Who is hiring?").alias("title"), F.lit("2001-05-01T00:00:00Z").alias("created_at"), "children"))
+    return out.select(F.lit("thread").alias("source_id"), "page", body.alias("payload"))
+
+
+add("a07_thread_comments", lambda s, d: feeds.hn_hiring(_comments(s, d))[0].select("source_job_id", "company", "title", "url", "location", F.md5("description").alias("text_md5")), f"""with {RAW_SQL},
+c as (select *, case when posting_id % 4 = 1 then 'We are hiring right now: ' || title else trim(company) || ' | ' || title || ' |' || location || '<p>' || description || '<p>Mail us - soon.' end as body from raw where posting_id % 11 <> 0)
+select posting_id::varchar as source_job_id, case when posting_id % 4 = 1 then 'u' || (posting_id % 7) else trim(company) end as company, case when posting_id % 4 = 1 then body else title end as title,
+ 'https://news.ycombinator.com/item?id=' || posting_id as url, case when regexp_matches(body, '\\bremote\\b', 'i') then 'Remote' else 'Verify geo' end as location, md5(body) as text_md5 from c""")
+
+
+def _merged_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of each source, where the ticked lines of one key come again and again."""
+    k = F.col("posting_id")
+    text = F.concat(F.when(k % 3 == 0, "- [x] ").otherwise("- [ ] "), F.trim("company"), F.lit(" — "), F.replace("title", F.lit("."), F.lit("\\.")), F.lit(" — https://example.com/"), k.cast("string"))
+    lines = feeds.applied_lines(raw_postings(spark, sf_dir).select(F.concat(F.lit("report-"), "source_id").alias("path"), k.alias("line_no"), text.alias("text")))
+    return S.merge_applied(lines.withColumn("key", legacy_key()))
+
+
+add("e14_applied_merge", _merged_applied, f"""with {RAW_SQL}, a as (select 'report-' || source_id as path, posting_id as line_no, trim(company) as company, title, 'https://example.com/' || posting_id as url,
+  {norm_sql('trim(company)')} || '::' || {norm_sql('title')} as key from raw where posting_id % 3 = 0),
+n as (select *, row_number() over (partition by key order by path, line_no) as nth, count(*) over (partition by key) as c from a), r as (select key, count(distinct path) as reports from a group by 1)
+select n.key, path, line_no, company, title, url, reports from n join r using (key) where nth = 1""")
+
+
+def _kept(spark: SparkSession, stream: DataFrame, name: str, empty: str, step) -> DataFrame:
+    """A table kept by a stream: each batch makes the next version of it from the last one, which is read back."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], empty).write.parquet(f"{path}/version=0")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        step(spark.read.parquet(f"{path}/version={batch_id}"), batch).write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
+        done.append(batch_id + 1)
+
+    done = [0]
+    jobs.run_available(stream, name, sink)
+    return spark.read.parquet(f"{path}/version={max(done)}")
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads as they land in a folder, through an adapter, into a table of listings."""
+    path = f"{work_folder(spark)}/landed-{uuid.uuid4().hex}"
+    _pages(raw_postings(spark, sf_dir), _FEEDS["a02_jobicy"][1](), "jobs").write.parquet(path)
+    stream = spark.readStream.schema("source_id string, page int, payload string").parquet(path)
+    return jobs.collected(stream, "j01", per_batch=lambda b: feeds.jobicy(b)[0].select("source_job_id", "title"))
+
+
+add("j01_stream_ingest", _ingest, f"with {RAW_SQL} select posting_id::varchar as source_job_id, title from raw where posting_id % 17 <> 0")
+add("j03_stream_watermarks", lambda s, d: _kept(s, _stream(s, d).select((F.col("user_id") % 97).alias("key"), "ts", (F.col("event_type") != "error").alias("complete")), "j03", "key long, at timestamp", jobs.advance_watermarks).select("key", F.unix_micros("at").alias("at")),
+    "select user_id % 97 as key, case when bool_and(event_type <> 'error') then epoch_us(max(ts)) end as at from events group by 1")
+add("j04_stream_late_rows", lambda s, d: jobs.collected(_stream(s, d), "j04", per_batch=lambda b: jobs.late_rows(b, "ts", F.lit("2024-01-15 00:00:00").cast("timestamp"))).select("event_id"),
+    "select event_id from events where ts < timestamp '2024-01-15'")
+_LIFE = "disposition string, key string, company string, title string, url string, at timestamp, source_report string"
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    what = F.when(F.col("user_id") % 3 == 0, "applied").when(F.col("user_id") % 3 == 1, "dismissed").otherwise("expired")
+    name, none = F.concat(F.lit("k"), F.col("user_id").cast("string")), F.lit(None).cast("string")
+    return _stream(spark, sf_dir).select(what.alias("disposition"), name.alias("key"), none.alias("legacy_key"), none.alias("legacy_url_key"), F.lit("c").alias("company"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.col("ts").alias("at"), F.lit("r").alias("source_report"))
+
+
+add("j06_stream_lifecycle", lambda s, d: _kept(s, _decisions(s, d), "j06", _LIFE, S.transition).select("disposition", "key", F.unix_micros("at").alias("at")),
+    "select ['applied', 'dismissed', 'expired'][(user_id % 3)::int + 1] as disposition, 'k' || user_id as key, epoch_us(min(ts)) as at from events group by all")

@@ -9,7 +9,7 @@ from tallyrook.operators import listings as L
 from tallyrook.operators import metrics as M
 from tallyrook.operators import state as S
 from tallyrook.plans.derived import REFERENCE_DATE, table
-from tallyrook.plans.listing_queries import MERGED_SQL, POLICY, SCORE_SQL, blocklist, entity_rows, listings, norm_sql, score_rows
+from tallyrook.plans.listing_queries import MERGED_SQL, POLICY, SCORE_SQL, _front_sql, _geo_sql, _reason_sql, blocklist, entity_rows, listings, norm_sql, score_rows
 from tallyrook.session import materialize
 
 QUERIES: dict = {}
@@ -63,7 +63,7 @@ def base_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(listings(spark, sf_dir), "listings")[0]
 
 
-_KEYED = ("posting_id", "company", "title", "url", "dedupe_key", "legacy_key", "url_key", "legacy_url_key", "provider_key", "aliases")
+_KEYED = ("posting_id", "source_id", "adapter", "company", "title", "url", "dedupe_key", "legacy_key", "url_key", "legacy_url_key", "provider_key", "aliases")
 
 
 def keyed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,10 @@ def _source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("source_id").distinct()
 
 
-add("f02_matches_by_source", lambda s, d: M.matches_by_source(L.apply_policy(entity_rows(s, d), POLICY).where("reason is null"), _source_ids(s, d)), None)
+add("f02_matches_by_source", lambda s, d: M.matches_by_source(L.apply_policy(entity_rows(s, d), POLICY).where("reason is null"), _source_ids(s, d)), f"""{MERGED_SQL}, e0 as (select *, {_geo_sql()} as geo, {_front_sql()} as front, {_reason_sql()} as geo_reason from ent2),
+e1 as (select source_ids from e0 where front and level <> 'staff_lead' and geo <> 'excluded' and not (remote_scope = 'regional' and geo <> 'eligible')),
+n as (select source_id, count(*) as n from (select unnest(string_split(source_ids, ',')) as source_id from e1) group by 1)
+select source_id, coalesce(n, 0) as matched from (select distinct source_id from listing) left join n using (source_id)""")
 add("f03_source_effectiveness", lambda s, d: M.effectiveness(listings(s, d).groupBy("source_id").agg(F.count("*").alias("fetched")), parted(s, d).where("reason is null").withColumn("source_ids", F.array("source_id"))),
     f"""{SEEN_SQL} select source_id, fetched, coalesce(matched, 0) as matched, coalesce(new, 0) as "new", coalesce(seen, 0) as seen, coalesce(applied, 0) as applied, coalesce(dismissed, 0) as dismissed, coalesce(expired, 0) as expired,
  coalesce(likely_expired, 0) as likely_expired, floor(coalesce(matched, 0) / fetched::double * 100 + 0.5) / 100 as "yield" from (select source_id, count(*) as fetched from listing group by 1)
@@ -151,13 +154,19 @@ def _transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = rows.join(lifecycle_state(rows).withColumnRenamed("key", "k2"), F.col("k2") == F.col("dedupe_key")).groupBy("disposition", F.col("dedupe_key").alias("key")).agg(
         F.min("company").alias("company"), F.min("title").alias("title"), F.min("url").alias("url"), F.min("at").alias("at"), F.lit("prior").alias("source_report"))
     at = _when()
-    entries = rows.where("posting_id % 14 = 1").select("dedupe_key", "legacy_key", "legacy_url_key", "company", "title", "url").withColumnsRenamed({"dedupe_key": "key"}).withColumns({"disposition": F.lit("applied"), "at": at, "source_report": F.lit("report-1")})
+    entries = rows.where("adapter = 'board1'").select("dedupe_key", "legacy_key", "legacy_url_key", "company", "title", "url").withColumnsRenamed({"dedupe_key": "key"}).withColumns({"disposition": F.lit("applied"), "at": at, "source_report": F.lit("report-1")})
     return S.transition(state, entries).select("disposition", "key", "at", "source_report")
 
 
-add("e12_lifecycle_transition", _transition, None)
-add("e11_seen_upsert", lambda s, d: S.upsert_seen(seen_state(b := keyed_listings(s, d)), b.where("posting_id % 5 = 0"), "front", _when()).select("profile", "key", "first_seen_at", "last_seen_at"),
-    f"""{SEEN_SQL}, r as (select * from listing where posting_id % 5 = 0), st as (select *, first_seen_at as last_seen_at from seen),
+add("e12_lifecycle_transition", _transition, f"""{SEEN_SQL},
+st as (select l.disposition, b.dedupe_key as key, min(l.at) as tm from listing b join life l on l.key = b.dedupe_key group by all),
+en as (select * from listing where adapter = 'board1'),
+nm as (select distinct own, key from (select dedupe_key as own, unnest([dedupe_key, legacy_key, legacy_url_key]) as key from en) where key is not null),
+kn as (select own, min(tm) as known_at, min({{'a': tm, 'k': key}}).k as known_key from st join (select key, min(own) as own from nm group by key) using (key) where disposition = 'applied' group by own)
+select disposition, key, tm as at, 'prior' as source_report from st where key not in (select key from nm)
+union all select 'applied', coalesce(known_key, own), coalesce(known_at, timestamp '{REFERENCE_DATE}'), 'report-1' from (select distinct dedupe_key as own from en) left join kn using (own)""")
+add("e11_seen_upsert", lambda s, d: S.upsert_seen(seen_state(b := keyed_listings(s, d)), b.where("source_id = 'src1'"), "front", _when()).select("profile", "key", "first_seen_at", "last_seen_at"),
+    f"""{SEEN_SQL}, r as (select * from listing where source_id = 'src1'), st as (select *, first_seen_at as last_seen_at from seen),
  fresh as (select dedupe_key as key, min(h.first_seen_at) as known from r left join hit h using (posting_id) group by 1), gone as (select distinct legacy_key as key from r where legacy_key <> dedupe_key)
  select profile, key, first_seen_at, last_seen_at from st where profile <> 'front' or (key not in (select key from fresh) and key not in (select key from gone))
  union all select 'front', key, coalesce(known, timestamp '{REFERENCE_DATE}'), timestamp '{REFERENCE_DATE}' from fresh""")

@@ -10,7 +10,8 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    families. Equal sets are one member, the least doc_id; copies are counted, not compared.
 3. Search. Members of a family meet in a task, in blocks if the family is large, and each is looked up in an inverted
    index of the others: the longest lists are set apart, as many as DivideSkip's rule says, the short ones merged and
-   counted, and what they leave is probed for, by binary search, in the long ones. What reaches the overlap is a link.
+   counted, and what they leave is probed for, by binary search, in the long ones (or these are counted too, if they have
+   fewer entries than there would be probes). What reaches the overlap is a link.
 4. Links and copies give components.
 
 Hot groups: within a chunk of texts a key is sent once, with the links that the chunk shows by itself, so a key has no
@@ -229,13 +230,14 @@ def _member_sets(n: int, sieve: np.ndarray):
     return run
 
 
-def _merge_short(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members that stand in at least `least` of the sorted lists, and in how many: a heap merge of few entries; of many,
-    NumPy's stable sort, which merges the sorted runs that it finds."""
-    if sum(map(len, lists)) <= 256:
-        every = np.fromiter(heapq.merge(*(y.tolist() for y in lists)), np.int64)
-    else:
-        every = np.sort(np.concatenate(lists), kind="stable")
+def _merge_short(lists: list[np.ndarray], least: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members low .. high - 1 that stand in at least `least` of the sorted lists, and in how many: a heap merge of few
+    entries; many are counted in an array of the members."""
+    if sum(map(len, lists)) > 256:
+        count = np.bincount(np.concatenate(lists) - low, minlength=high - low)
+        some = np.flatnonzero(count >= least)
+        return some + low, count[some]
+    every = np.fromiter(heapq.merge(*(y.tolist() for y in lists)), np.int64)
     head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else every
     count = np.diff(np.append(head, len(every)))
     some = count >= least
@@ -253,7 +255,8 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
 
     DivideSkip (Li, Lu, Lu 2008): a set of n shingles needs T = ceil(num * n / den) shared ones with any partner that isn't
     larger. L of its longest lists, by the published rule, are set apart; a partner then stands in T - L of the short
-    ones at least, which are merged and counted, and what reaches T - L there is looked up in the long lists by binary search.
+    ones at least, which are merged and counted, and what reaches T - L there is looked up in the long lists by binary search,
+    or counted there where that takes fewer steps.
     """
     sizes = np.array([len(x) for x in sets])
     token = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
@@ -289,7 +292,7 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
         by_length = np.argsort(length, kind="stable")
         apart = long_lists(need, int(length.max()))
         short, long = by_length[: n - apart], by_length[n - apart :]
-        found, shared = _merge_short([rank[a[i] : b[i]] for i in short if length[i]], need - apart)
+        found, shared = _merge_short([rank[a[i] : b[i]] for i in short if length[i]], need - apart, low, r)
         if side is not None and len(found):
             fit = side[by_size[found]] != side[by_size[r]]
             found, shared = found[fit], shared[fit]
@@ -298,6 +301,10 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int, side: np.ndarray |
             found, shared = found[fit], shared[fit]
         if not len(found):
             continue
+        if len(found) * apart > int(length[long].sum()):
+            # more probes than entries: a family of near copies, whose long lists are counted like the short ones
+            shared = shared + np.bincount(np.concatenate([rank[a[i] : b[i]] for i in long]) - low, minlength=r - low)[found - low]
+            apart = 0
         long = long[::-1]  # the longest first, where a partner is likeliest
         step = max(1, (1 << 20) // len(found))
         for k in range(0, apart, step):

@@ -9,7 +9,8 @@ from tallyrook.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. A null or empty text fails them; a null doc_id is judged like any; repeated rows
+    are judged one by one; an empty table stays empty; other columns stay as they are."""
     return repetition.keep_good(docs)
 
 
@@ -19,17 +20,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 50-byte strings that start in an earlier document too; all rows stay."""
+    """Documents without the 50-byte strings that start in an earlier document too; all rows and columns stay, n_chars follows.
+    A null text stays null; a null doc_id counts as later than any; rows of one doc_id don't count against each other."""
     return suffix_dedup.cut_texts(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts and items hold nothing; without items all rows stay; other columns too."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with the words taken of each."""
+    """Documents of the mix, with the words taken of each (size, source_size, target, taken replace columns of these names). A
+    null source is a source of its own, a null text has no words and isn't taken."""
     return mixing.mixed(docs)
 
 

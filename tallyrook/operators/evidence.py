@@ -107,6 +107,35 @@ def next_watermark(repos: DataFrame) -> DataFrame:
     return repos.withColumn("last_indexed", F.when(F.col("ok") & ~F.col("truncated"), F.col("run_at")).otherwise(F.col("last_indexed")))
 
 
+def completeness(repos: DataFrame) -> DataFrame:
+    """What a fetch leaves known of each repository's history.
+
+    repo, first_run, with_pulls, commit_limit, pull_limit (0: none), commits_fetched, pulls_fetched, commits_were_complete,
+    pulls_were_complete, commits_cut, pulls_cut (the fetch says that it was cut) -> repo, commits_complete, pulls_complete,
+    commits_truncated, pulls_truncated. A first run is complete without a limit; a later one if all before was.
+    """
+    def flags(kind: str, asked: Column) -> tuple[Column, Column]:
+        limit, cut = F.col(f"{kind}_limit"), F.col(f"{kind}s_cut")
+        full = asked & (limit > 0) & (F.col(f"{kind}s_fetched") >= limit)
+        before = F.when(F.col("first_run"), limit == 0).otherwise(F.col(f"{kind}s_were_complete"))
+        return (~asked | (before & ~full)) & ~cut, full | cut
+
+    (c, ct), (p, pt) = flags("commit", F.lit(True)), flags("pull", F.col("with_pulls"))
+    return repos.select("repo", c.alias("commits_complete"), p.alias("pulls_complete"), ct.alias("commits_truncated"), pt.alias("pulls_truncated"))
+
+
+def commit_order() -> list[Column]:
+    """Newest first, dates that can't be read last, then by hash."""
+    return [F.desc(F.coalesce(F.expr("try_cast(`date` as date)"), F.lit("1970-01-01").cast("date"))), F.asc("sha")]
+
+
+def repo_themes(texts: DataFrame) -> DataFrame:
+    """(repo, text) of subjects and titles -> repo, themes (sorted). Texts are never joined into one; a repository's set has at
+    most as many entries as there are themes."""
+    each = texts.select("repo", F.explode(themes("text")).alias("theme")).distinct()
+    return each.groupBy("repo").agg(F.array_sort(F.collect_list("theme")).alias("themes"))
+
+
 def since(last_indexed: Column, complete: Column, overlap_seconds: int = 3600) -> Column:
     """From when to fetch: the watermark less the overlap; null, so everything, without a whole history."""
     return F.when(complete, last_indexed - F.make_dt_interval(secs=F.lit(overlap_seconds)))

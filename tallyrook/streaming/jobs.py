@@ -31,11 +31,12 @@ def late_rows(batch: DataFrame, time: str, horizon) -> DataFrame:
     return batch.where(F.col(time) < horizon)
 
 
-def run_available(stream: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_available(stream: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
     """Runs a stream over what has landed and stops. sink(batch, batch_id) writes results, then state: a batch that is
-    run again after a failure overwrites its own folder, and state is never ahead of results."""
+    run again after a failure overwrites its own folder, and state is never ahead of results. With a checkpoint of its
+    own, the next call goes on where this one stopped."""
     spark = stream.sparkSession
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work_folder(spark)}/stream-{name}-{uuid.uuid4().hex}").outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint or f"{work_folder(spark)}/stream-{name}-{uuid.uuid4().hex}").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -66,6 +66,19 @@ def diagnostics(documents: DataFrame) -> DataFrame:
     return found.unionByName(unnamed)
 
 
+def orphans(documents: DataFrame) -> DataFrame:
+    """doc_id, line_no of lines between the rule that ends the header and the first section: no section holds them. Documents
+    that don't begin with a name heading have none. Positions are found within the row's own lines."""
+    rows = documents.select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "\n").alias("a"))
+    blank, rule = lambda x: ~x.rlike(r"\S"), lambda x: x.rlike(r"^\s*---+\s*$")
+    first = lambda f: F.array_position(F.transform("a", f), F.lit(True))
+    rows = rows.withColumns({"name": first(lambda x: ~blank(x)), "rule": first(rule), "section": first(lambda x: x.startswith("## "))})
+    rows = rows.where((F.col("rule") > 0) & F.try_element_at("a", F.col("name").cast("int")).startswith("# "))
+    lost = rows.select("doc_id", "rule", "section", F.posexplode("a").alias("p", "line")).withColumn("line_no", F.col("p") + 1)
+    inside = (F.col("line_no") > F.col("rule")) & ((F.col("section") == 0) | (F.col("line_no") < F.col("section")))
+    return lost.where(inside & ~blank(F.col("line")) & ~rule(F.col("line"))).select("doc_id", "line_no")
+
+
 def remove_tags(documents: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """doc_id, text without evidence tags and metadata comments, n_tags, n_meta, leaked (whether some is left)."""
     named = "|".join(map(re.escape, markers))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrook.functions import text as X
@@ -48,6 +48,12 @@ def _richest(column: str):
     return F.coalesce(F.min(F.when(value != "", F.struct(-F.length(value), value)))["col2"], F.lit("")).alias(column)
 
 
+def stable_key() -> Column:
+    """What listings of one entity are ordered by before they merge: URL, where it was found, and the texts, as bytes."""
+    found = F.concat_ws("|", "source_id", "adapter", F.coalesce("source_job_id", F.lit("")), "url")
+    return F.concat_ws("|", F.coalesce("url_key", "url"), found, *[X.trimmed(F.col(c)) for c in ("company", "title", "description")])
+
+
 def merged(listings: DataFrame, members: DataFrame) -> DataFrame:
     """One row an entity: survivors of each field, provenance, and scope, level and identity made again from them."""
     rows = listings.join(members, "posting_id")

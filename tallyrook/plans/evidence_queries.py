@@ -143,6 +143,11 @@ k as (select doc_id, case when trim(line) = '' or regexp_matches(trim(line), '^-
  when regexp_matches(trim(line), '^#{1,3}\\s') then null when regexp_matches(trim(line), '^\\|.+\\|') or regexp_matches(trim(line), '^:?-{3,}:?\\s*(?:\\||$)') then 'unsupported_table'
  when regexp_matches(line, '!\\[[^\\]]*\\]\\([^)]+\\)') then 'unsupported_image' when regexp_matches(line, '^\\s+- ') then 'unsupported_nested_list' when regexp_matches(line, '<[a-zA-Z][^>]*>') then 'unsupported_raw_html' end as code from l)
 select code, count(*) as n from k where code <> 'heading' group by 1 union all select 'missing_name_heading', count(*) from (select doc_id from k group by 1 having not bool_or(coalesce(code = 'heading', false)))""")
+_HEADERS = ("# Name\nme@example.com\n---\nlost line\n", "\n# Name\n## Work\n---\nkept\n", "# Name\n---\n\n---\nlost\n## Work\nkept\n", "No name\n---\nnot judged\n", "# Name\nno rule\n")
+add("k02_orphan_content", lambda s, d: K.orphans(_planted(s, d, _HEADERS)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_no").alias("first")), f"""with d as ({_planted_sql(_HEADERS)}),
+l0 as (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as a from d), l as (select doc_id, unnest(a) as line, generate_subscripts(a, 1)::int as line_no from l0),
+h as (select doc_id, min(line_no) filter (where regexp_matches(line, '^\\s*---+\\s*$')) as hr, min(line_no) filter (where starts_with(line, '## ')) as sec, arg_min(line, line_no) filter (where regexp_matches(line, '\\S')) as name from l group by 1)
+select doc_id, count(*) as n, min(line_no) as "first" from l join h using (doc_id) where starts_with(name, '# ') and line_no > hr and line_no < coalesce(sec, line_no + 1) and regexp_matches(line, '\\S') and not regexp_matches(line, '^\\s*---+\\s*$') group by 1""")
 _tag, _meta = "`(?:verified-from-github|needs-your-confirmation)`", "<!--\\s*(?:doc:meta|doc-meta:)(?:.|\\n)*?-->"
 add("k03_evidence_tags", lambda s, d: K.remove_tags(_planted(s, d, _TAGGED)).select("doc_id", F.md5("clean").alias("clean"), "n_tags", "n_meta", "leaked"), f"""with d as ({_planted_sql(_TAGGED)}),
 c as (select *, trim(regexp_replace(regexp_replace(text, '(?i){_meta}', '', 'g'), '(?i) ?{_tag} ?', ' ', 'g')) as clean from d)

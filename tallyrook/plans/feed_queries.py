@@ -203,3 +203,26 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("j06_stream_lifecycle", lambda s, d: _kept(s, _decisions(s, d), "j06", _LIFE, S.transition).select("disposition", "key", F.unix_micros("at").alias("at")),
     "select ['applied', 'dismissed', 'expired'][(user_id % 3)::int + 1] as disposition, 'k' || user_id as key, epoch_us(min(ts)) as at from events group by all")
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three landings of decisions, each a run of one stream: a key's decision changes with each landing that has it."""
+    path, part, done = f"{work_folder(spark)}/moves-{uuid.uuid4().hex}", F.col("event_id") % 3, [0]
+    what = F.element_at(F.array(*map(F.lit, S.DISPOSITIONS)), ((F.col("user_id") + part) % 3).cast("int") + 1)
+    name, none = F.concat(F.lit("k"), F.col("user_id").cast("string")), F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "events").select(part.alias("part"), what.alias("disposition"), name.alias("key"), none.alias("legacy_key"), none.alias("legacy_url_key"), F.lit("c").alias("company"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.col("ts").cast("timestamp").alias("at"), F.lit("r").alias("source_report"))
+    spark.createDataFrame([], _LIFE).write.parquet(f"{path}/state/version=0")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        S.transition(batch.sparkSession.read.parquet(f"{path}/state/version={batch_id}"), batch).write.mode("overwrite").parquet(f"{path}/state/version={batch_id + 1}")
+        done.append(batch_id + 1)
+
+    landed = rows.drop("part")
+    for k in range(3):
+        rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/landed")
+        jobs.run_available(spark.readStream.schema(landed.schema).parquet(f"{path}/landed"), "moves", sink, checkpoint=f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/state/version={max(done)}")
+
+
+add("j06_lifecycle_moves", lambda s, d: _moves(s, d).select("disposition", "key", F.unix_micros("at").alias("at")), """with e as (select user_id as u, event_id % 3 as p, ts from events), l as (select u, max(p) as p from e group by 1)
+select ['applied', 'dismissed', 'expired'][((u + p) % 3)::int + 1] as disposition, 'k' || u as key, epoch_us(min(ts)) as at from e join l using (u, p) group by u, p""")

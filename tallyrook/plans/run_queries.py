@@ -64,6 +64,53 @@ def _old_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("a14_state_upgrade", _old_state, "select 3 as schema_version, o_orderkey::varchar as \"key\", case when o_orderkey % 2 = 1 then 'back' else 'front' end as profile from orders")
 
 
+def _old_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 1 knew applied listings only."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((k % 2 + 1).cast("int").alias("schema_version"), k.cast("string").alias("key"), F.when(k % 2 == 1, F.when(k % 3 == 0, "dismissed").otherwise("expired")).alias("disposition"))
+    return S.upgrade(rows, {1: {"disposition": F.lit("applied")}}, 2)
+
+
+add("a14_lifecycle_upgrade", _old_lifecycle, "select 2 as schema_version, o_orderkey::varchar as \"key\", case when o_orderkey % 2 = 0 then 'applied' when o_orderkey % 3 = 0 then 'dismissed' else 'expired' end as disposition from orders")
+
+
+def _old_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 1 had one flat table of sources, which was the default profile's."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select((k % 2 + 1).cast("int").alias("schema_version"), F.col("s_name").alias("source_id"), F.when(k % 2 == 1, "back").alias("profile"))
+    return S.upgrade(rows, {1: {"profile": F.lit("front")}}, 2)
+
+
+add("a14_poll_upgrade", _old_polls, "select 2 as schema_version, s_name as source_id, case when s_suppkey % 2 = 1 then 'back' else 'front' end as profile from supplier")
+
+
+def _old_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first discovery state bore no version."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 2 == 1, 1).alias("v"), k.alias("state_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_run_at"))
+    return S.upgrade(rows.withColumn("schema_version", F.coalesce("v", F.lit(0))).drop("v"), {0: {}}, 1)
+
+
+add("a14_discovery_upgrade", _old_discovery, "select 1 as schema_version, o_orderkey as state_id, strftime(o_orderdate, '%Y-%m-%d') as last_run_at from orders")
+#: Names of a run's files: fixed values.
+ARTIFACTS = {"report": "report.md", "scan_result": "scan-result.json", "manifest": "manifest.json"}
+
+
+def _old_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 1 pointed to a folder by its path, version 2 by its name and the names of its files."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "orders").select(
+        (k % 2 + 1).cast("int").alias("schema_version"), k.alias("run_id"), F.when(k % 2 == 0, F.concat(F.lit("/out/front/run-"), k, F.when(k % 4 == 0, "/").otherwise(""))).alias("output_dir"),
+        F.when(k % 2 == 1, F.concat(F.lit("run-"), k)).alias("run_dir_name"), *[F.when(k % 2 == 1, F.lit(v)).otherwise(none).alias(c) for c, v in ARTIFACTS.items()],
+    )
+    step = {"run_dir_name": F.regexp_extract("output_dir", "([^/]+)/*$", 1)} | {c: F.lit(v) for c, v in ARTIFACTS.items()}
+    return S.upgrade(rows, {1: step}, 2).drop("output_dir")
+
+
+add("a14_pointer_upgrade", _old_pointers, f"select 2 as schema_version, o_orderkey as run_id, 'run-' || o_orderkey as run_dir_name, {', '.join(f"'{v}' as {c}" for c, v in ARTIFACTS.items())} from orders")
+
+
 def _old_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older index: arrays under another name, malformed records among them, histories to be fetched again."""
     k = F.col("o_orderkey")

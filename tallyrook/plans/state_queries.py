@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrook.operators import listings as L
 from tallyrook.operators import metrics as M
+from tallyrook.operators import resolve as E
 from tallyrook.operators import state as S
 from tallyrook.plans.derived import REFERENCE_DATE, table
 from tallyrook.plans.listing_queries import MERGED_SQL, POLICY, SCORE_SQL, _front_sql, _geo_sql, _reason_sql, blocklist, entity_rows, listings, norm_sql, score_rows
@@ -179,3 +180,5 @@ add("h04_key_difference", lambda s, d: seen_state(b := keyed_listings(s, d)).sel
     f"{SEEN_SQL} select distinct key from seen where key not in (select key from life)")
 add("h03_provenance_union", lambda s, d: entity_rows(s, d).select("entity_id", F.size("provenance").alias("n")),
     f"{MERGED_SQL} select entity_id, count(distinct (source_id, adapter, coalesce(source_job_id, ''), url)) as n from ranked_url group by 1")
+add("e05_stable_order", lambda s, d: listings(s, d).select("posting_id", F.row_number().over(Window.partitionBy("dedupe_key").orderBy(E.stable_key(), "posting_id")).alias("nth")),
+    f"""{SCORE_SQL} select posting_id, row_number() over (partition by dedupe_key order by concat_ws('|', coalesce(url_key, url), source_id, adapter, coalesce(source_job_id, ''), url, trim(company), trim(title), trim(description)), posting_id) as nth from listing""")

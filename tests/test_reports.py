@@ -52,3 +52,24 @@ def test_watermarks_move_only_on_complete_batches(spark):
     marks = spark.createDataFrame([("a", 5), ("b", 5), ("d", 9)], "key string, at long")
     batch = spark.createDataFrame([("a", 7, True), ("a", 8, True), ("b", 9, True), ("b", 7, False), ("c", 1, False), ("d", 3, True)], "key string, ts long, complete boolean")
     assert {r.key: r.at for r in jobs.advance_watermarks(marks, batch).collect()} == {"a": 8, "b": 5, "c": None, "d": 9}
+
+
+def test_orphans_stand_between_the_header_and_the_first_section(spark):
+    from tallyrook.operators import corpus as K
+
+    texts = ["# N\nmail\n---\nlost\n\n---\nlost too\n## A\nkept\n---\nkept", "# N\n## A\n---\nkept", "N\n---\nnot judged", "# N\n---\r\nlost", "", None, "---", "\n \n# N\n---\n- x"]
+    rows = K.orphans(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert sorted(map(tuple, rows)) == [(0, 4), (0, 7), (3, 3), (7, 5)]
+    assert K.orphans(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+
+
+def test_unversioned_states_are_upgraded_and_unknown_versions_are_errors(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tallyrook.operators import state as S
+
+    rows = spark.createDataFrame([(0, "a"), (1, "b")], "schema_version int, at string")
+    assert sorted(map(tuple, S.upgrade(rows, {0: {}}, 1).select("schema_version", "at").collect())) == [(1, "a"), (1, "b")]
+    with pytest.raises(Exception, match="unknown state version"):
+        S.upgrade(rows, {1: {"profile": F.lit("front")}}, 2).collect()

@@ -69,6 +69,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digests(with_probe(_table(spark, sf_dir, "conversations")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,12 +93,20 @@ def queries() -> dict:
         op8_suffix_array_dedup,
         op9_benchmark_decontamination,
         op10_chat_formatting,
+        op11_filter_audit,
         pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyrook.llm import chat, decontaminate, mixing, repetition, url_filter
-
-    return {"op5_url_filters": url_filter.ORACLE, "op6_quality_rules": repetition.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    from tallyrook.llm import chat, decontaminate, filter_audit, mixing, repetition, url_filter
+
+    return {
+        "op5_url_filters": url_filter.ORACLE,
+        "op6_quality_rules": repetition.ORACLE,
+        "op7_source_mixing": mixing.ORACLE,
+        "op9_benchmark_decontamination": decontaminate.ORACLE,
+        "op10_chat_formatting": chat.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+    }

@@ -75,6 +75,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,13 +100,14 @@ def queries() -> dict:
         op9_benchmark_decontamination,
         op10_chat_formatting,
         op11_filter_audit,
+        op13_prefix_trie,
         pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyrook.llm import chat, decontaminate, filter_audit, mixing, repetition, url_filter
+    from tallyrook.llm import chat, decontaminate, filter_audit, mixing, prefix_trie, repetition, url_filter
 
     return {
         "op5_url_filters": url_filter.ORACLE,
@@ -109,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_benchmark_decontamination": decontaminate.ORACLE,
         "op10_chat_formatting": chat.ORACLE,
         "op11_filter_audit": filter_audit.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }

@@ -75,6 +75,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyrook.llm.quality_rank import rank_quality
+
+    return rank_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyrook.llm.prefix_trie import prefix_trie
 
@@ -100,6 +106,7 @@ def queries() -> dict:
         op9_benchmark_decontamination,
         op10_chat_formatting,
         op11_filter_audit,
+        op12_quality_rank,
         op13_prefix_trie,
         pipeline,
     )

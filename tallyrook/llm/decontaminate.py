@@ -171,8 +171,9 @@ def containment_search(documents: DataFrame, benchmark: DataFrame, shingle: int
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of documents, with all columns, that hold no item to num/den of its shingles."""
-    schema = T.StructType(list(documents.schema))
+    """The rows of documents, with all columns, whatever their names, that hold no item to num/den of its shingles."""
+    rows = documents.select(F.struct(*[F.col(f"`{x}`") for x in documents.columns if x != "text"]).alias("rest"), "text")
+    schema = T.StructType(list(rows.schema))
 
     def run(items):
         def inner(batches):
@@ -187,10 +188,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, shingle: int =
 
     for group in _groups(benchmark, shingle):
         for items in group:
-            documents = documents.mapInArrow(run(items), schema)
+            rows = rows.mapInArrow(run(items), schema)
         if len(group) == GROUP:
-            documents, _ = materialize(documents, "op9-left")
-    return documents
+            rows, _ = materialize(rows, "op9-left")
+    return rows.select(*[F.col("text" if x == "text" else f"rest.`{x}`").alias(x) for x in documents.columns])
 
 
 ORACLE = r"""

@@ -436,7 +436,9 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of documents, with all columns, but for those whose doc_id isn't the least of its component."""
+    """The rows of documents, with all columns, whatever their names, but for those whose doc_id isn't the least of its component."""
     rows = jaccard_join(documents, shingle, num, den)
-    gone = rows.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = rows.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    whole = documents.select(F.struct("*").alias("row"))
+    kept = whole.join(gone.hint("shuffle_hash"), F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti")
+    return kept.select(*[F.col(f"row.`{x}`").alias(x) for x in documents.columns])

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyrook.llm import textarrays as ta
 
@@ -170,24 +171,21 @@ def with_verdict(rows: DataFrame, max_covered_percent: int, max_longest_words: i
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
 
 
-def keep_good(documents: DataFrame, **limits: int) -> DataFrame:
-    """The rows of documents that quality_rules() keeps, with all their columns."""
-    limits = {"min_words": 10, "max_covered_percent": 15, "max_longest_words": 100} | limits
-    min_words = limits["min_words"]
-    schema = documents.schema
-    fields = ", ".join(f"`__{x.split()[0]}` {x.split()[1]}" for x in _COLUMNS.split(", "))
-    inner = _measures(min_words)
+def keep_good(documents: DataFrame, min_words: int = 10, max_covered_percent: int = 15, max_longest_words: int = 100) -> DataFrame:
+    """The rows of documents that quality_rules() keeps, with all their columns, whatever their names."""
+    rest = F.struct(*[F.col(f"`{x}`") for x in documents.columns if x != "text"])
+    rows = documents.select(rest.alias("rest"), "text")
+    measure = _measures(min_words)
 
     def run(batches):
         for batch in batches:
-            for out, at in _aligned(inner, batch):
+            for out, at in _aligned(measure, batch):
                 part = batch.slice(at, out.num_rows)
-                yield pa.RecordBatch.from_arrays(part.columns + out.columns, part.schema.names + [f"__{x}" for x in out.schema.names])
+                yield pa.RecordBatch.from_arrays(part.columns + out.columns, part.schema.names + out.schema.names)
 
-    measured = documents.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, {fields}")
-    failed = "(__n_words < 10 or 100 * __n_repeat_words > 20 * __n_words)"
-    fits = f"100 * __covered_words <= {limits['max_covered_percent']} * __n_words and __longest_repeat <= {limits['max_longest_words']}"
-    return measured.where(f"not {failed} and {fits}").select(*[F.col(f"`{x}`") for x in schema.names])
+    measured = rows.mapInArrow(run, T.StructType([*rows.schema, *T.StructType.fromDDL(_COLUMNS)]))
+    kept = with_verdict(measured, max_covered_percent, max_longest_words).where("kept")
+    return kept.select(*[F.col("text" if x == "text" else f"rest.`{x}`").alias(x) for x in documents.columns])
 
 
 def _aligned(inner, batch):

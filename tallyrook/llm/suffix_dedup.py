@@ -429,7 +429,7 @@ def _spans_of(table: pa.Table) -> pa.Table:
 
 
 def mark_repeats(documents: DataFrame) -> DataFrame:
-    """All columns of documents and __id, __th, __found (array of spans), __copy (whether the text is gone whole).
+    """documents (doc_id, text, ...; no other name may begin with `__`) with __id, __th, __found (array of spans) and __copy (whether the text is gone whole).
 
     One row for each row of documents; settled() makes its spans of the last columns.
     """
@@ -442,7 +442,7 @@ def mark_repeats(documents: DataFrame) -> DataFrame:
     bits = ta.bucket_bits(ta.total_bytes(documents), 8 << 20)
     marks = texts.mapInArrow(_anchors(bits), _BLOBS).groupBy("bucket").applyInArrow(_mark(bits), "__id long, __th long, __marks binary, __hot boolean")
     marks, _ = materialize(marks, "op8-marks")
-    names = texts.where(F.octet_length("text") >= LENGTH).select(*key, F.md5(F.encode("text", "utf-8")).alias("name"))
+    names = texts.where(F.octet_length("text") >= LENGTH).select(*key, F.unhex(F.sha2(F.encode("text", "utf-8"), 256)).alias("name"))
     first = names.groupBy("name").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where("low < high")
     copies = names.join(first, "name").where("__id > low").select(*key, F.lit(True).alias("__copy")).distinct()
     notes = marks.where("not __hot").groupBy(*key).agg(F.collect_list("__marks").alias("__marks")).join(copies, key, "left_anti")
@@ -507,12 +507,12 @@ def whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
 
 
 def cut_texts(documents: DataFrame) -> DataFrame:
-    """documents with the repeated spans cut out of text; the same columns and rows.
+    """documents with the repeated spans cut out of text; the same columns, whatever their names, and rows.
 
     A code point goes only if all its bytes do. n_chars, where there is one, follows. A null text stays null.
     """
-    schema = T.StructType([f for f in documents.schema])
-    arrow_names = [f.name for f in schema]
+    rest = F.struct(*[F.col(f"`{x}`") for x in documents.columns if x != "text"])
+    rows = documents.select(rest.alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches):
         for batch in batches:
@@ -523,7 +523,8 @@ def cut_texts(documents: DataFrame) -> DataFrame:
                     runs = whole_characters(raw, settled(found, gone, len(raw)))
                     text = kept_bytes(raw, runs).decode() if len(runs) else text
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else batch.column(x) for x in arrow_names], arrow_names)
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
 
-    out = mark_repeats(documents).drop("__id", "__th").mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in arrow_names else out
+    out = mark_repeats(rows).select("rest", "text", "__found", "__copy").mapInArrow(run, T.StructType([rows.schema["rest"], rows.schema["text"]]))
+    chars = lambda x: F.length("text").cast(documents.schema[x].dataType) if x == "n_chars" else F.col("text" if x == "text" else f"rest.`{x}`")
+    return out.select(*[chars(x).alias(x) for x in documents.columns])

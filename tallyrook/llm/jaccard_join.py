@@ -380,7 +380,7 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = ta.bucket_bits(ta.total_bytes(texts), 8 << 20)
-    met, _ = materialize(texts.mapInArrow(_signals(shingle, num, den, bits), _SIGNALS).groupBy("kind").applyInArrow(_meet, _MET), "op2-signals")
+    met, _ = materialize(texts.mapInArrow(_signals(shingle, num, den, bits), _SIGNALS).groupBy("kind").applyInArrow(ta.released(_meet), _MET), "op2-signals")
     docs = met.where("what = 1").select(F.col("src").alias("doc_id"), F.col("dst").alias("n"), "d1", "d2")
     some = docs.where("n > 0")
     reps = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.max("doc_id").alias("last"))
@@ -420,7 +420,7 @@ def jaccard_join(documents: DataFrame, shingle: int = 5, num: int = 80, den: int
     dealt = sets.withColumn("pair", F.explode(meets)).select(
         "doc_id", "copies", "level", "group", "block", "blocks", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "items"
     ).withColumn("cross", F.col("low") < F.col("high"))
-    found, _ = materialize(dealt.groupBy("blocks", "group", "low", "high").applyInArrow(_search(num, den), "src long, dst long, links long"), "op2-links")
+    found, _ = materialize(dealt.groupBy("blocks", "group", "low", "high").applyInArrow(ta.released(_search(num, den)), "src long, dst long, links long"), "op2-links")
     component = connected_components(found.where("dst is not null").select("src", "dst").union(equal))
     counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("links"))
     own = some.select("doc_id", "d1", "d2").distinct().join(reps, ["d1", "d2"]).join(counts.withColumnRenamed("src", "rep"), "rep", "left")

@@ -440,7 +440,7 @@ def mark_repeats(documents: DataFrame) -> DataFrame:
     key = ["__id", "__th"]
     texts = base.select(*key, "text")
     bits = ta.bucket_bits(ta.total_bytes(documents), 8 << 20)
-    marks = texts.mapInArrow(_anchors(bits), _BLOBS).groupBy("bucket").applyInArrow(_mark(bits), "__id long, __th long, __marks binary, __hot boolean")
+    marks = texts.mapInArrow(_anchors(bits), _BLOBS).groupBy("bucket").applyInArrow(ta.released(_mark(bits)), "__id long, __th long, __marks binary, __hot boolean")
     marks, _ = materialize(marks, "op8-marks")
     names = texts.where(F.octet_length("text") >= LENGTH).select(*key, F.unhex(F.sha2(F.encode("text", "utf-8"), 256)).alias("name"))
     first = names.groupBy("name").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where("low < high")
@@ -448,7 +448,7 @@ def mark_repeats(documents: DataFrame) -> DataFrame:
     notes = marks.where("not __hot").groupBy(*key).agg(F.collect_list("__marks").alias("__marks")).join(copies, key, "left_anti")
     # all columns go along, so that this join and the last share one exchange of the texts
     spans = base.join(notes, key).mapInArrow(_segments(bits, _hot_sieve(marks)), _BLOBS)
-    spans = spans.groupBy("bucket").applyInArrow(_spans_of, "__id long, __th long, __spans binary")
+    spans = spans.groupBy("bucket").applyInArrow(ta.released(_spans_of), "__id long, __th long, __spans binary")
     spans = spans.groupBy(*key).agg(F.collect_list("__spans").alias("__found"))
     return base.join(spans, key, "left").join(copies, key, "left")
 

@@ -7,7 +7,8 @@ task needs memory for one chunk, or for its longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +76,25 @@ def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(column.is_null())
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is used again, by stages that need it for something else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f, which gives back what it has freed after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        release()
+        return out
+
+    return run
+
+
 @dataclass
 class Chunk:
     """Documents first .. first + len(offsets) - 2 of a batch: their bytes, one behind the other, and offsets."""
@@ -95,6 +115,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
         b = min(b, n, a + 60_000)
         yield Chunk(a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         a = b
+    release()
 
 
 @dataclass

@@ -32,14 +32,21 @@ class StateTable:
     def __init__(self, spark: SparkSession, path: str, columns: str, key: tuple[str, ...], buckets: int = 64) -> None:
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
         self.name = f"state_{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
         clustered = ", ".join(f"`{x}`" for x in key)
         spark.sql(
             f"create table {self.name} ({columns}, {_BUCKET} int) using parquet options (compression 'zstd') partitioned by ({_BUCKET}) "
             f"clustered by ({clustered}) sorted by ({clustered}) into {buckets} buckets location '{self.path}'"
         )
         self.columns = [x for x in spark.table(self.name).columns if x != _BUCKET]
+        self._sync()
         self._finish()
 
+    def _sync(self) -> None:
+        """The session's catalog has the buckets that are there."""
+        self.spark.sql(f"msck repair table {self.name} sync partitions")
+
     def _bucket(self, *key: str | Column) -> Column:
         return F.pmod(F.hash(*key), F.lit(self.buckets))
 
@@ -92,7 +99,7 @@ class StateTable:
         finally:
             self.spark.conf.set(_DYNAMIC, before)
         discard(self.spark, *[f"{self.path}/{_BUCKET}={b}" for b in buckets if b not in left])
-        self.spark.catalog.refreshTable(self.name)
+        self._sync()
         discard(self.spark, f"{self.path}/_pending", staged)
 
     def close(self) -> None:

@@ -229,19 +229,21 @@ def scored(matched: DataFrame, profile: str, reference: str) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """Adds tier_rank: the place within the geo tier by total, firm and key.
+    """Adds tier_rank: the place within the geo tier by total, firm and key; posting_id names a row.
 
-    Rows are dealt by ranges of the whole order and sorted there, so as many tasks work as there are shuffle partitions,
-    whatever the number of tiers; the sorted rows are written, and a row's place is its place in its part plus the tier's
-    rows in the parts before. Parts' counts are the only other thing that moves: a row a part and tier.
+    What the scores cost is paid once: rows are written as they come, and of these the order's five columns alone are
+    dealt by ranges of the whole order and sorted there, so as many tasks work as there are shuffle partitions, whatever
+    the number of tiers. A row's place is its place in its part plus the tier's rows in the parts before; of the parts
+    only counts move, a row a part and tier. Places are then joined to the rows.
     """
     n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("geo"), F.desc("total"), F.asc("company"), F.asc("dedupe_key"), F.asc("posting_id")]
-    rows = scores.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    rows, _ = materialize(rows, "ranked")
-    counts = rows.groupBy("geo", "__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
-    before = Window.partitionBy("geo").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("geo").alias("__geo"), F.col("__part").alias("__p"), "first", "before")
-    out = rows.join(counts, (F.col("geo") == F.col("__geo")) & (F.col("__part") == F.col("__p")))
-    return out.withColumn("tier_rank", (F.col("__at") - F.col("first") + F.col("before") + 1).cast("int")).drop("__part", "__at", "__geo", "__p", "first", "before")
+    rows, _ = materialize(scores, "scored")
+    keys = rows.select("geo", "total", "company", "dedupe_key", "posting_id").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    keys = keys.select("geo", "posting_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
+    keys, _ = materialize(keys, "ranked")
+    counts = keys.groupBy("geo", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("geo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    places = keys.join(counts, ["geo", "part"]).select(F.col("posting_id").alias("__id"), (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("tier_rank"))
+    return rows.join(places, F.col("posting_id") == F.col("__id")).drop("__id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyrook.functions import urls as U
 from tallyrook.functions.text import normalize_text
+from tallyrook.operators.nested import field, kind, text_value, walk
 from tallyrook.operators.listings import Policy, blocked_apply_url, discovery_geo, remote_scope, title_role
 
 _NOT_NAME = re.compile("[^a-z0-9_/+.-]+")
@@ -32,38 +33,64 @@ def search_hits(payloads: DataFrame) -> DataFrame:
 OWN_HOST = "linkedin.com"
 
 
-def _nested(record: Column) -> Column:
-    """The records that are values of a record's fields."""
-    return F.coalesce(F.map_values(F.try_variant_get(record, "$", "map<string,variant>")), F.array().cast("array<variant>"))
+def _first_text(record: Column, *paths: str) -> Column:
+    texts = F.transform(F.array(*[field(record, p) for p in paths]), text_value)
+    return F.get(F.filter(texts, lambda x: x.isNotNull()), 0)
+
+
+def _name(record: Column) -> Column:
+    return _first_text(record, "name", "companyName", "universalName")
+
+
+def _place(record: Column) -> Column:
+    return _first_text(record, "formattedLocation", "locationDescription", "defaultLocalizedName", "shortLocationName", "secondaryDescription")
+
+
+def _about(record: Column) -> Column:
+    return _first_text(record, "description", "jobDescription", "descriptionText", "description.rawText", "localizedDescription.rawText", "localizedDescription.text")
+
+
+def _is(record: Column, urns: tuple[str, ...], types: tuple[str, ...]) -> Column:
+    """Whether an entity's URN, or its type, holds one of some words."""
+    urn, type_ = F.coalesce(F.try_variant_get(record, "$.entityUrn", "string"), F.lit("")), F.coalesce(F.try_variant_get(record, "$['$type']", "string"), F.try_variant_get(record, "$.type", "string"), F.lit(""))
+    out = F.lit(False)
+    for w in urns:
+        out = out | urn.contains(w)
+    for w in types:
+        out = out | type_.contains(w)
+    return out
+
+
+def _way(record: Column, own_host: str) -> Column:
+    """How a record says to apply: a link beyond the network, else an on-site application; null if neither."""
+    method = field(record, "applyMethod")
+    offsite = F.when(kind(field(method, "offsiteApply")).isin("OBJECT", "ARRAY"), field(method, "offsiteApply")).when(kind(field(method, "companyApplyUrl")).isin("OBJECT", "ARRAY"), field(method, "companyApplyUrl"))
+    url = F.coalesce(text_value(field(method, "companyApplyUrl")), _first_text(offsite, "companyApplyUrl", "url"))
+    type_ = F.coalesce(F.try_variant_get(method, "$['$type']", "string"), F.try_variant_get(method, "$.type", "string"), F.lit(""))
+    url = F.when(~url.contains(own_host), url)
+    return F.when(kind(method).isin("OBJECT", "ARRAY") & (url.isNotNull() | type_.contains("OnsiteApply")), F.struct(url.alias("url"), url.isNull().alias("easy")))
 
 
 def details(payloads: DataFrame, own_host: str = OWN_HOST) -> DataFrame:
     """(job_id, payload json) -> company, location, description, apply_url, easy_apply_only.
 
-    Looked for in the payload, in its data, in the included entities, and one level deeper in each, in this order. The first
-    record with a way to apply decides: a link beyond the network, else an on-site application.
+    The first record with a way to apply decides, at any depth, parents before children, in the payload's own order. The
+    company is the payload's, else the first included company's or posting's; place and text are the payload's, its data's,
+    or the first included posting's. A payload that is no JSON object has nothing.
     """
     v = payloads.select("job_id", F.try_parse_json("payload").alias("v"))
-    included = F.coalesce(F.try_variant_get("v", "$.included", "array<variant>"), F.try_variant_get("v", "$.data.included", "array<variant>"), F.array().cast("array<variant>"))
-    roots = F.concat(F.array("v", F.try_variant_get("v", "$.data", "variant")), included)
-    rows = v.select("job_id", F.filter(roots, lambda x: x.isNotNull()).alias("roots"))
-    rows = rows.select("job_id", F.concat("roots", F.flatten(F.transform("roots", _nested))).alias("records"))
-    text = lambda x, p: F.nullif(F.try_variant_get(x, f"$.{p}", "string"), F.lit(""))
-
-    def first(*paths: str) -> Column:
-        return F.get(F.filter(F.transform("records", lambda x: F.coalesce(*[text(x, p) for p in paths])), lambda y: y.isNotNull()), 0)
-
-    def way(x: Column) -> Column:
-        url = F.coalesce(*[text(x, f"applyMethod.{p}") for p in ("companyApplyUrl", "offsiteApply.companyApplyUrl", "offsiteApply.url")], text(x, "companyApplyUrl"))
-        kind = F.coalesce(text(x, "applyMethod.$type"), text(x, "applyMethod.type"), F.lit(""))
-        url = F.when(~url.contains(own_host), url)
-        return F.when(url.isNotNull() | kind.contains("OnsiteApply"), F.struct(url.alias("url"), url.isNull().alias("easy")))
-
-    found = F.get(F.filter(F.transform("records", way), lambda w: w.isNotNull()), 0)
-    return rows.withColumn("found", found).select(
-        "job_id", first("companyDetails.name", "companyName").alias("company"), first("formattedLocation", "location").alias("location"),
-        first("description.text", "description").alias("description"), F.col("found.url").alias("apply_url"), F.coalesce("found.easy", F.lit(False)).alias("easy_apply_only"),
-    )
+    lists = [F.coalesce(F.try_variant_get("v", p, "array<variant>"), F.array().cast("array<variant>")) for p in ("$.included", "$.data.included")]
+    # the payload, its data, the included entities; of each the texts it might give
+    rows = v.select("job_id", F.posexplode(F.concat(F.array("v", F.try_variant_get("v", "$.data", "variant")), *lists)).alias("at", "x"))
+    x, at = F.col("x"), F.col("at")
+    rows = rows.select("job_id", "at", _first_text(x, "companyName", "company").alias("told"), _name(x).alias("name"), _place(x).alias("place"), _about(x).alias("about"),
+        _is(x, ("company", "organization"), ("Company", "Organization")).alias("firm"), _is(x, ("jobPosting",), ("JobPosting",)).alias("posting"))
+    firm = F.when(at == 0, F.coalesce("told", "name")).when(at > 1, F.coalesce(F.when(F.col("firm"), F.col("name")), F.when(F.col("posting"), F.coalesce("told", "name"))))
+    rows = rows.select("job_id", "at", firm.alias("company"), *[F.when((at < 2) | F.col("posting"), F.col(c)).alias(n) for c, n in (("place", "location"), ("about", "description"))])
+    whole = rows.groupBy("job_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("company", "location", "description")])
+    ways = walk(payloads, "job_id", "payload").select("job_id", "path", _way(F.try_parse_json("json"), own_host).alias("way")).where("way is not null")
+    first = ways.groupBy("job_id").agg(F.min_by("way", "path").alias("way"))
+    return whole.join(first, "job_id", "left").select("job_id", "company", "location", "description", F.col("way.url").alias("apply_url"), F.coalesce("way.easy", F.lit(False)).alias("easy_apply_only"))
 
 
 def enrich(hits: DataFrame, other: DataFrame, detail: DataFrame) -> DataFrame:

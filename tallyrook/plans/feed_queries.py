@@ -11,7 +11,7 @@ from tallyrook.operators import discovery as D
 from tallyrook.operators import state as S
 from tallyrook.operators.listings import Policy, legacy_key
 from tallyrook.plans.derived import RAW_SQL, raw_postings, table
-from tallyrook.plans.listing_queries import norm_sql
+from tallyrook.plans.listing_queries import entities_sql, norm_sql, strip_sql, trim_sql
 from tallyrook.session import work_folder
 from tallyrook.sources import feeds
 from tallyrook.streaming import jobs
@@ -51,8 +51,7 @@ _FEEDS = {
     "a03_remotive": ("remotive", _numbered(("title", "company_name", "candidate_required_location", "description", "publication_date")), "jobs"),
     "a01_himalayas": ("himalayas", lambda: F.struct(F.col("posting_id").cast("string").alias("guid"), _title().alias("title"), F.col("company").alias("companyName"), "description", F.col("url").alias("applicationLink"), _day().alias("pubDate"), F.when(F.col("location") == "", F.array().cast("array<string>")).otherwise(F.array("location")).alias("locationRestrictions")), "jobs"),
     "a04_arbeitnow": ("arbeitnow", lambda: F.struct(F.col("posting_id").cast("string").alias("slug"), F.col("company").alias("company_name"), _title().alias("title"), "description", (F.col("location") == "").alias("remote"), "url", "location", F.unix_timestamp(_day(), "yyyy-MM-dd").alias("created_at")), "data"),
-    "a05_remoteok": ("remoteok", lambda: F.struct(F.col("posting_id").cast("string").alias("id"), F.col("company"), _title().alias("position"), "description", F.nullif("location", F.lit("")).alias("location"), "url", _day().alias("date")), None),
-}
+    }
 _PLACE = {"a01_himalayas": "Worldwide"}
 
 
@@ -64,6 +63,26 @@ def _parsed(name: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 for _name in _FEEDS:
     add(_name, lambda s, d, n=_name: _parsed(n, s, d)[0].select("source_job_id", "company", "title", "url", "location", "description", F.date_format("posted_at", "yyyy-MM-dd").alias("posted")), f"""with {RAW_SQL}
 select posting_id::varchar as source_job_id, trim(company) as company, title, url, case when location = '' then '{_PLACE.get(_name, 'Remote')}' else location end as location, description, strftime(posted_at, '%Y-%m-%d') as posted from raw where posting_id % 17 <> 0""")
+
+
+def _remoteok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings, among them metadata records, spam, records without a listing url and such with a number as id."""
+    k = F.col("posting_id")
+    record = F.struct(
+        F.when(k % 13 != 0, k).alias("id"), F.when(k % 13 == 0, F.concat(F.lit("slug-"), k)).alias("slug"), F.when(k % 19 == 0, "terms apply").alias("legal"), F.when(k % 5 == 0, k).alias("last_updated"),
+        F.when(k % 23 != 0, F.col("company")).alias("company"), _title().alias("position"), F.when(k % 29 == 0, "<p>This is a <b>beta feature</b> to avoid spam applicants</p>").otherwise(F.col("description")).alias("description"),
+        F.nullif("location", F.lit("")).alias("location"), F.when(k % 31 != 0, F.col("url")).alias("url"), F.when(k % 3 == 0, F.concat(F.lit("https://apply.example/"), k)).alias("apply_url"), _day().alias("date"),
+    )
+    return _pages(raw_postings(spark, sf_dir), record, None)
+
+
+_REMOTEOK_SQL = f"""with {RAW_SQL}, r as (select *, case when posting_id % 29 = 0 then '<p>This is a <b>beta feature</b> to avoid spam applicants</p>' else description end as body from raw where posting_id % 19 <> 0),
+j as (select *, case when posting_id % 17 = 0 or posting_id % 23 = 0 or posting_id % 31 = 0 then 'missing_fields' when regexp_matches({strip_sql('body')}, 'beta feature to avoid spam applicants', 'i') then 'low_quality' end as reason from r)"""
+add("a05_remoteok", lambda s, d: feeds.remoteok(_remoteok(s, d))[0].select("source_job_id", "company", "title", "url", "location", F.md5("description").alias("text_md5"), F.date_format("posted_at", "yyyy-MM-dd").alias("posted")), f"""{_REMOTEOK_SQL}
+select case when posting_id % 13 = 0 then 'slug-' || posting_id else posting_id::varchar end as source_job_id, {trim_sql(entities_sql('company'))} as company, {trim_sql(entities_sql('title'))} as title, case when posting_id % 3 = 0 then 'https://apply.example/' || posting_id else url end as url,
+ case when location = '' then 'Remote' else location end as location, md5({strip_sql('body')}) as text_md5, strftime(posted_at, '%Y-%m-%d') as posted from j where reason is null""")
+add("c20_metadata_and_spam", lambda s, d: feeds.remoteok(_remoteok(s, d))[1].groupBy("reason").agg(F.count("*").alias("n"), F.min("identifier").alias("least")), f"""{_REMOTEOK_SQL}
+select reason, count(*) as n, min(case when posting_id % 13 = 0 then 'slug-' || posting_id else posting_id::varchar end) as least from j where reason is not null group by 1""")
 add("a13_quarantine", lambda s, d: feeds.quarantine_report(_parsed("a02_jobicy", s, d)[1]).select("reason", "n"), f"with {RAW_SQL} select 'missing_fields' as reason, count(*) as n from raw where posting_id % 17 = 0")
 
 
@@ -94,14 +113,23 @@ add("f20_hits_by_page", lambda s, d: D.hits_by_page(D.search_hits(_graph(s, d)))
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that say how to apply at depths of two to six, and whose firm is the payload's own, an included one's or nobody's."""
     rows = raw_postings(spark, sf_dir)
     k = F.col("posting_id")
-    method = F.when(k % 4 == 0, F.struct(F.lit("x.OnsiteApply").alias("type"), F.lit(None).cast("string").alias("companyApplyUrl"))).otherwise(F.struct(F.lit("x.OffsiteApply").alias("type"), F.col("url").alias("companyApplyUrl")))
-    body = F.to_json(F.struct(F.struct(F.col("location").alias("formattedLocation"), F.struct(F.col("description").alias("text")).alias("description"), method.alias("applyMethod"), F.when(k % 3 == 0, F.col("company")).alias("companyName")).alias("data")))
+    onsite = F.to_json(F.struct(F.lit("x.ComplexOnsiteApply").alias("type")))
+    own = F.to_json(F.struct(F.struct(F.lit("https://www.linkedin.com/x").alias("companyApplyUrl")).alias("applyMethod")))
+    link = F.to_json(F.struct(F.lit("x.OffsiteApply").alias("type"), F.struct(F.col("url").alias("url")).alias("offsiteApply")))
+    way = F.concat(F.lit('{"applyMethod":'), F.when(k % 4 == 0, onsite).otherwise(link), F.lit("}"))
+    for depth in range(4):  # the deeper, the rarer; another way lies behind, later in the payload's order
+        way = F.when(k % 5 > depth, F.concat(F.lit('{"z":{"noise":[1,"{}"]},"list":['), own, F.lit(","), way, F.lit(']}'))).otherwise(way)
+    posting = F.concat(F.lit('{"entityUrn":"urn:x:jobPosting:'), k, F.lit('","formattedLocation":'), F.to_json(F.array("location")).substr(F.lit(2), F.length(F.to_json(F.array("location"))) - 2), F.lit(',"description":'), F.to_json(F.struct(F.col("description").alias("text"))), F.lit(',"nested":'), way, F.lit("}"))
+    firm = F.concat(F.lit('{"entityUrn":"urn:x:company:'), k, F.lit('","name":'), F.substring(F.to_json(F.array(F.trim("company"))), F.lit(2), F.length(F.to_json(F.array(F.trim("company")))) - 2), F.lit("}"))
+    later = F.lit('{"applyMethod":{"companyApplyUrl":"https://late.example/"}}')
+    body = F.concat(F.lit('{"included":['), posting, F.when(k % 3 == 0, F.concat(F.lit(","), firm)).otherwise(""), F.lit(','), later, F.lit('],"data":{}}'))
     return rows.select(k.cast("string").alias("job_id"), body.alias("payload"))
 
 
-add("a10_entity_graph_details", lambda s, d: D.details(_details(s, d)), f"""with {RAW_SQL} select posting_id::varchar as job_id, case when posting_id % 3 = 0 then company end as company, nullif(location, '') as location, description,
+add("a10_entity_graph_details", lambda s, d: D.details(_details(s, d)), f"""with {RAW_SQL} select posting_id::varchar as job_id, case when posting_id % 3 = 0 then trim(company) end as company, nullif(location, '') as location, description,
  case when posting_id % 4 <> 0 then url end as apply_url, posting_id % 4 = 0 as easy_apply_only from raw""")
 
 
@@ -141,14 +169,16 @@ def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.trim("company"), F.lit(" | "), "title", F.lit(" |"), "location", F.lit("<p>"), "description", F.lit("<p>Mail us - soon.")))
     child = F.struct(k.alias("id"), F.concat(F.lit("u"), k % 7).alias("author"), text.alias("text"))
     out = raw_postings(spark, sf_dir).groupBy(F.floor(k / 20).cast("int").alias("page")).agg(F.array_sort(F.collect_list(child)).alias("children"))
-    body = F.to_json(F.struct(F.col("page").cast("long").alias("id"), F.lit("Ask: Who is hiring?").alias("title"), F.lit("2001-05-01T00:00:00Z").alias("created_at"), "children"))
+    body = F.to_json(F.struct(F.col("page").cast("long").alias("id"), F.lit("Ask: Who is hiring").alias("title"), F.lit("2001-05-01T00:00:00Z").alias("created_at"), "children"))
     return out.select(F.lit("thread").alias("source_id"), "page", body.alias("payload"))
 
 
-add("a07_thread_comments", lambda s, d: feeds.hn_hiring(_comments(s, d))[0].select("source_job_id", "company", "title", "url", "location", F.md5("description").alias("text_md5")), f"""with {RAW_SQL},
-c as (select *, case when posting_id % 4 = 1 then 'We are hiring right now: ' || title else trim(company) || ' | ' || title || ' |' || location || '<p>' || description || '<p>Mail us - soon.' end as body from raw where posting_id % 11 <> 0)
-select posting_id::varchar as source_job_id, case when posting_id % 4 = 1 then 'u' || (posting_id % 7) else trim(company) end as company, case when posting_id % 4 = 1 then body else title end as title,
- 'https://news.ycombinator.com/item?id=' || posting_id as url, case when regexp_matches(body, '\\bremote\\b', 'i') then 'Remote' else 'Verify geo' end as location, md5(body) as text_md5 from c""")
+_COMMENTS_SQL = f"""with {RAW_SQL},
+c as (select *, case when posting_id % 4 = 1 then 'We are hiring right now: ' || title else trim(company) || ' | ' || title || ' |' || location || '<p>' || description || '<p>Mail us - soon.' end as said from raw where posting_id % 11 <> 0),
+b as (select *, {entities_sql('said')} as body from c), l as (select *, {trim_sql("string_split_regex(body, '\n|<p>')[1]")} as line from b)"""
+add("a07_thread_comments", lambda s, d: feeds.hn_hiring(_comments(s, d))[0].select("source_job_id", "company", "title", "url", "location", F.md5("description").alias("text_md5")), f"""{_COMMENTS_SQL}
+select (posting_id // 20) || '-' || posting_id as source_job_id, case when posting_id % 4 = 1 then 'u' || (posting_id % 7) else trim(split_part(line, '|', 1)) end as company, case when posting_id % 4 = 1 then line else trim(split_part(line, '|', 2)) end as title,
+ 'https://news.ycombinator.com/item?id=' || posting_id as url, case when regexp_matches(body, '\\bremote\\b', 'i') then 'Remote' else 'Verify geo' end as location, md5({strip_sql('body')}) as text_md5 from l""")
 
 
 def _merged_applied(spark: SparkSession, sf_dir: str) -> DataFrame:

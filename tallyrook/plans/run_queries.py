@@ -29,7 +29,7 @@ def add(name: str, run, sql: str | None) -> None:
 
 def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k.alias("thread_id"), F.when(k % 7 == 3, F.concat(F.lit("Ask: Who is hiring? "), k)).otherwise("Show: a thing").alias("title"), (1000000 - k).alias("pos"))
+    return table(spark, sf_dir, "orders").select(k.alias("thread_id"), F.when(k % 7 == 3, F.concat(F.lit("Ask: Who is Hiring "), k)).otherwise("Show: a thing").alias("title"), (1000000 - k).alias("pos"))
 
 
 add("a08_thread_selection", lambda s, d: feeds.hiring_thread(_threads(s, d)), "select max(o_orderkey) as thread_id from orders where o_orderkey % 7 = 3")

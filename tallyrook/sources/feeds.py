@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrook.functions.text import trimmed
+from tallyrook.functions.text import decode_entities, strip_html, trimmed
+from tallyrook.operators.nested import field, kind, string
 
 RAW = ("source_id", "source_job_id", "company", "title", "url", "location", "description", "posted_at", "ordinal")
 MAX_EPOCH = 253402300799
@@ -89,15 +90,39 @@ def arbeitnow(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def remoteok(payloads: DataFrame, spam: str = r"(?i)\b(casino|crypto giveaway|click here to win)\b") -> tuple[DataFrame, DataFrame]:
-    rows = _records(payloads, "struct<id: string, slug: string, epoch: bigint, `date`: string, company: string, position: string, tags: array<string>, description: string, location: string, url: string, apply_url: string, legal: string, last_updated: bigint>", None)
-    title, company, url = _text("position"), _text("company"), _first(_text("apply_url"), _text("url"))
-    metadata = title.isNull() & company.isNull() & (F.col("r.legal").isNotNull() | F.col("r.last_updated").isNotNull())
-    reason = F.when(title.isNull() | company.isNull() | url.isNull(), "missing_fields").when(F.coalesce(F.col("r.description").rlike(spam), F.lit(False)), "low_quality")
+#: What marks a description as spam (fixed values).
+SPAM = r"(?i)beta feature to avoid spam applicants|there are no articles in this category"
+
+
+def _truthy(value: Column) -> Column:
+    """A field that is there and not null, false, 0 or empty."""
+    t = kind(value)
+    number = F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True))
+    out = F.when(t == "STRING", F.try_variant_get(value, "$", "string") != "").when(t == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(t.isin("OBJECT", "ARRAY"), True).when(t == "VOID", False).otherwise(number)
+    return F.coalesce(F.when(value.isNotNull(), out), F.lit(False))
+
+
+def _told(value: Column) -> Column:
+    """A field's text where it is a string or a number."""
+    return F.when(~kind(value).isin("VOID", "OBJECT", "ARRAY"), F.try_variant_get(value, "$", "string"))
+
+
+def remoteok(payloads: DataFrame, spam: str = SPAM) -> tuple[DataFrame, DataFrame]:
+    """An array of records. One with `legal`, or with `last_updated` and nothing that names a job, is metadata and skipped; one
+    that is no object is malformed; a title, a company and the listing's own url are needed, even beside an apply_url."""
+    records = F.try_variant_get(F.try_parse_json("payload"), "$", "array<variant>")
+    rows = payloads.select("source_id", "page", F.posexplode(records).alias("pos", "r")).withColumn("ordinal", F.struct("page", "pos"))
+    get = lambda name: field(F.col("r"), name)
+    plain = lambda name: F.nullif(trimmed(decode_entities(string(get(name)))), F.lit(""))
+    title, company, url, apply_url = plain("position"), plain("company"), F.nullif(string(get("url")), F.lit("")), string(get("apply_url"))
+    named = _truthy(get("id")) | _truthy(get("slug")) | (F.coalesce(trimmed(string(get("position"))), F.lit("")) != "") | (F.coalesce(trimmed(string(get("company"))), F.lit("")) != "")
+    record = F.coalesce(kind(F.col("r")) == "OBJECT", F.lit(False))
+    metadata = record & (_truthy(get("legal")) | (~named & get("last_updated").isNotNull()))
+    description = F.coalesce(strip_html(string(get("description"))), F.lit(""))
+    reason = F.when(~record, "malformed").when(title.isNull() | company.isNull() | url.isNull(), "missing_fields").when(description.rlike(spam), "low_quality")
     return _finish(
-        rows, reason, metadata, source_job_id=_first(_text("id"), _text("slug")), company=company, title=title, url=url,
-        location=_first(_text("location"), F.lit("Remote")), description=_first(_text("description"), F.lit("")),
-        posted_at=_first(F.try_to_timestamp(_text("date")), F.when(F.col("r.epoch").between(0, MAX_EPOCH), F.timestamp_seconds("r.epoch"))),
+        rows, reason, metadata, source_job_id=_first(_told(get("id")), _told(get("slug")), F.concat_ws("-", company, title)), company=company, title=title, url=_first(apply_url, url),
+        location=_first(F.nullif(decode_entities(string(get("location"))), F.lit("")), F.lit("Remote")), description=description, posted_at=F.try_to_timestamp(string(get("date"))),
     )
 
 
@@ -110,7 +135,7 @@ def wwr(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("nth", nth).where("link is null or nth = 1")
     colon = F.locate(":", F.col("t"))
     company = F.when(colon > 0, F.nullif(trimmed(F.substring("t", F.lit(1), colon - 1)), F.lit("")))
-    title = F.when(colon > 0, trimmed(F.substring("t", colon + 1, F.lit(10000)))).otherwise(F.col("t"))
+    title = F.when(colon > 0, trimmed(F.substring("t", colon + 1, F.length("t")))).otherwise(F.col("t"))
     day = F.regexp_replace(F.regexp_replace("date", "^[A-Za-z]{3}, *", ""), " *([A-Z]{2,4}|[+-][0-9]{4})$", "")
     return _finish(
         rows, F.when(F.col("t").isNull() | F.col("link").isNull() | (title == ""), "missing_fields"), source_job_id=F.col("link"), company=F.coalesce(company, F.lit("Unknown")),
@@ -120,22 +145,35 @@ def wwr(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hn_hiring(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A hiring thread: its top-level comments; the first line is `Company | Role | Place`, or split at a dash."""
-    child = "struct<id: bigint, author: string, text: string>"
-    rows = payloads.select("source_id", "page", F.from_json("payload", f"struct<id: bigint, title: string, created_at: string, children: array<{child}>>").alias("p"))
-    rows = rows.select("source_id", "page", F.col("p.created_at").alias("at"), F.posexplode("p.children").alias("pos", "r")).withColumn("ordinal", F.struct("page", "pos"))
-    text = F.coalesce(F.col("r.text"), F.lit(""))
-    line = trimmed(F.split(F.regexp_replace(text, "(?i)<p>", "\n"), "\n")[0])
-    pipe, dash = F.split(line, r"\s*\|\s*"), F.split(line, r"\s+[-–—]\s+")
-    parts = F.when(F.size(pipe) > 1, pipe).when(F.size(dash) > 1, dash)
+    """A hiring thread: its top-level comments. The first line is `Company | Role | Place`, or split at a dash, or the role."""
+    thread = F.try_parse_json("payload")
+    rows = payloads.select("source_id", "page", _told(field(thread, "id")).alias("thread"), string(field(thread, "created_at")).alias("at"), F.posexplode(F.try_variant_get(thread, "$.children", "array<variant>")).alias("pos", "r"))
+    rows = rows.withColumn("ordinal", F.struct("page", "pos"))
+    get = lambda name: field(F.col("r"), name)
+    number = F.coalesce(kind(get("id")).isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))
+    said = get("text").isNull() | F.coalesce(kind(get("text")).isin("VOID", "STRING"), F.lit(False))
+    author, text = string(get("author")), F.coalesce(decode_entities(string(get("text"))), F.lit(""))
+    line = trimmed(F.regexp_replace(F.split(text, "\n|<p>")[0], r"^[-*]\s*", ""))
+    pipe = F.transform(F.split(line, r"\|"), trimmed)
+    dash = r"^(.+?)\s[-–—]\s(.+)$"
+    piped, dashed, long = F.size(pipe) > 1, line.rlike(dash), F.length(line) >= 8
+    company = F.when(piped, pipe[0]).when(dashed, trimmed(F.regexp_extract(line, dash, 1))).when(long, author).otherwise(line)
+    title = F.when(piped, F.coalesce(F.nullif(F.get(pipe, 1), F.lit("")), F.lit(ROLE))).when(dashed, trimmed(F.regexp_extract(line, dash, 2))).when(long, line).otherwise(F.lit(ROLE))
+    record = F.coalesce(kind(F.col("r")) == "OBJECT", F.lit(False))
+    reason = F.when(~record, "malformed").when(~number | author.isNull() | ~said, "missing_fields").when((F.length(text) < 20) | (F.length(title) < 2), "malformed")
+    comment = _told(get("id"))
     return _finish(
-        rows, F.when(F.length(trimmed(text)) < 20, "malformed"), source_job_id=F.col("r.id").cast("string"), company=F.coalesce(parts[0], F.col("r.author"), F.lit("Unknown")),
-        title=F.coalesce(parts[1], line), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("r.id").cast("string")),
-        location=F.when(text.rlike(r"(?i)(?<![A-Za-z0-9_])remote(?![A-Za-z0-9_])"), "Remote").otherwise("Verify geo"), description=text, posted_at=F.try_to_timestamp("at"),
+        rows, reason, source_job_id=F.concat_ws("-", "thread", comment), company=F.when(F.length(company) < 2, author).otherwise(company), title=title,
+        url=F.concat(F.lit("https://news.ycombinator.com/item?id="), comment), location=F.when(text.rlike(r"(?i)(?<![A-Za-z0-9_])remote(?![A-Za-z0-9_])"), "Remote").otherwise("Verify geo"),
+        description=strip_html(text), posted_at=F.try_to_timestamp("at"),
     )
 
 
-def hiring_thread(hits: DataFrame, pattern: str = r"(?i)who is hiring\?") -> DataFrame:
+#: The role of a comment whose first line names none (fixed value).
+ROLE = "Engineering role"
+
+
+def hiring_thread(hits: DataFrame, pattern: str = r"(?i)who is hiring") -> DataFrame:
     """(thread_id, title, pos) -> the first hit whose title fits."""
     return hits.where(F.col("title").rlike(pattern)).agg(F.min_by("thread_id", "pos").alias("thread_id"))
 

@@ -6,8 +6,11 @@ sparse vector. A multinomial logistic regression over licence families and `unkn
 and bounded set: pieces of each family's templates, and as many made-up and neutral lines, plus up to `n_unknown` distinct
 lines of whole texts that overlap no template. The temperature and the least probability (calibrated unknown class) come
 from templates and lines that a fit has not seen: they are parted in two before pieces are made of them, a fit to each
-part is scored on the other, and the weights are those of a third fit to all. A prediction is confirmed if enough of the
-family's best template is in the paragraph, or of the paragraph in the template.
+part is scored on the other, and the weights are those of a third fit to all. Only families can be predicted whose
+name and version, or a clause that is theirs alone, the paragraph holds (KEYS), and nothing of a near relation's (RIVALS):
+LGPL, AGPL and the GPL's versions differ by these few words, and what several licences share declares none. A prediction is
+confirmed if enough of the family's best template is in the paragraph, or of the paragraph in the template. "All rights
+reserved", which public licences say too, declares only where nothing else does.
 
 Which lines are scored follows from the templates and neutral lines alone, never from the sample: those with a cue (a word
 of templates that no neutral line has), or a 2-gram of a template with a word of LONG letters or more, and those of at most
@@ -48,11 +51,52 @@ TEMPLATES = {
     ),
     "gpl-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Distributed under the GNU GPL, version 3 or later.",
         "All files are licensed under the GNU General Public License, version 3 or any later one.",
     ),
+    "gpl-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "Distributed under the GNU GPL, version 2 or later.",
+        "All files are licensed under the GNU General Public License, version 2 of June 1991.",
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "Distributed under the GNU LGPL, version 2.1 or later.",
+        "The library is licensed under the GNU Lesser General Public License, version 2.1.",
+    ),
+    "lgpl-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "Distributed under the GNU LGPL, version 3 or later.",
+        "The library is licensed under the GNU Lesser General Public License, version 3.",
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "Distributed under the GNU AGPL, version 3 or later.",
+        "The server is licensed under the GNU Affero General Public License, version 3.",
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "The code is available under the MPL 2.0.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+        "Released under the ISC License.",
+        "The code is licensed under the ISC license.",
+    ),
+    "cc0-1.0": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "This work is marked with CC0 1.0 Universal.",
+        "Released into the public domain under CC0.",
+    ),
     "bsd-3-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -60,6 +104,12 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Released under the 3-clause BSD license.",
     ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors as is",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Released under the 2-clause BSD license.",
+        "Use of this code is governed by the simplified BSD license of two clauses.",
+    ),
     "cc-by-4.0": (
         "The text is available under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -86,6 +136,44 @@ TEMPLATES = {
         "Rights reserved by the owner.",
     ),
 }
+#: What a paragraph of a family must hold, one of these lists in whole: names, versions and clauses that are its alone (fixed
+#: values). What several licences share (a warranty, a redistribution clause, a licence without its version) confirms none.
+KEYS = {
+    "apache-2.0": (("apache 2.0",), ("apache license", "version 2.0")),
+    "mit": (("mit",), ("person obtaining", "deal in"), ("permission notice", "substantial portions")),
+    "gpl-3.0": (("general public", "version 3"), ("gnu gpl", "version 3"), ("gpl 3.0",)),
+    "gpl-2.0": (("general public", "version 2"), ("gnu gpl", "version 2"), ("gpl 2.0",)),
+    "lgpl-2.1": (("lesser general", "version 2.1"), ("gnu lgpl", "version 2.1"), ("lgpl 2.1",)),
+    "lgpl-3.0": (("lesser general", "version 3"), ("gnu lgpl", "version 3"), ("lgpl 3.0",)),
+    "agpl-3.0": (("affero general", "version 3"), ("gnu agpl", "version 3"), ("agpl 3.0",)),
+    "mpl-2.0": (("mozilla public", "v 2.0"), ("mozilla public", "version 2.0"), ("mpl 2.0",)),
+    "isc": (("without fee", "hereby granted"), ("isc license",), ("identifier isc",)),
+    "cc0-1.0": (("cc0",),),
+    "bsd-3-clause": (("neither the", "endorse or"), ("bsd style",), ("bsd 3",), ("3 clause", "clause bsd")),
+    "bsd-2-clause": (("redistributions in", "binary form", "provided by"), ("bsd 2",), ("2 clause", "clause bsd"), ("simplified bsd",)),
+    "cc-by-4.0": (("by 4.0",), ("attribution 4.0",)),
+    "cc-by-nc-4.0": (("nc 4.0",), ("noncommercial 4.0",)),
+    "cc-by-sa-4.0": (("sa 4.0",), ("sharealike 4.0",)),
+    "proprietary": (("rights reserved",), ("rights are", "are reserved"), ("proprietary and",), ("unauthorized copying",)),
+}
+#: What it must not hold: marks of its nearest relations (fixed values).
+RIVALS = {
+    "gpl-3.0": ("lesser", "lgpl", "affero", "agpl", "version 2", "gpl 2.0"),
+    "gpl-2.0": ("lesser", "lgpl", "affero", "agpl", "version 3", "gpl 3.0"),
+    "lgpl-2.1": ("affero", "agpl", "version 3"),
+    "lgpl-3.0": ("affero", "agpl", "version 2.1"),
+    "agpl-3.0": ("lesser", "lgpl"),
+    "bsd-3-clause": ("2 clause",),
+    "bsd-2-clause": ("neither the", "3 clause"),
+    "cc-by-4.0": ("nc 4.0", "noncommercial", "sa 4.0", "sharealike"),
+    "cc-by-nc-4.0": ("sharealike",),
+    "cc-by-sa-4.0": ("noncommercial",),
+    "mit": ("without fee",),
+    "isc": ("person obtaining",),
+}
+#: A family that public licences' texts seem to declare too ("all rights reserved"): it stands only where no other does,
+#: or where a paragraph holds one of these.
+WEAK, STRONG = "proprietary", ("proprietary and", "unauthorized copying", "strictly prohibited", "be reproduced")
 #: Lines that speak of other things (fixed values).
 NEUTRAL = (
     "This page was last edited under review by the work group in version 2 of the report.",
@@ -101,6 +189,8 @@ NEUTRAL = (
     "It will be with us as an old friend at home or far from it, by day and by night, if that is what you like.",
 )
 UNKNOWN = "unknown"
+#: The score of a family that a paragraph can't be of.
+NEVER = -1e9
 _WORD = r"[\p{L}\p{N}.]+"
 #: Lines that are left out of the sample of unknown ones: with a licence word, or this share of a template's n-grams.
 _LICENCE, APART, SHORT, LONG = r"licen[sc]e|spdx|copyright|creative commons|all rights", 0.3, 3, 5
@@ -152,6 +242,17 @@ def overlap(shapes: Column, grams: Column, n_grams: Column) -> Column:
     return F.array_max(F.transform(shapes, lambda t: F.size(F.array_intersect(t, grams)) / F.least(F.size(t), F.greatest(n_grams, F.lit(1)))))
 
 
+def can_be(family: str, grams: set[str]) -> bool:
+    """told() of a paragraph's n-grams on the driver."""
+    return any({*k} <= grams for k in KEYS[family]) and not {*RIVALS.get(family, ())} & grams
+
+
+def told(family: str, known: Column) -> Column:
+    """Whether a paragraph of these n-grams holds what the family's must, and nothing of its relations'."""
+    keys = F.array(*[_strings(k) for k in KEYS.get(family, (("-",),))])
+    return F.exists(keys, lambda k: F.size(F.array_except(k, known)) == 0) & ~F.arrays_overlap(known, _strings(RIVALS.get(family, ("-",))))
+
+
 def _shapes(family: str) -> Column:
     return F.array(*[_strings(sorted(_grams(_words(t)))) for t in TEMPLATES.get(family, ("-",))])
 
@@ -252,6 +353,9 @@ def train(documents: DataFrame, n_unknown: int = 500, epochs: int = 60, seed: in
         z.append(_scores(_sparse(unseen), *_fit(own, epochs)))
         truth += [k for _, k in unseen]
     z, truth = np.concatenate(z), np.array(truth)
+    held = [g for g, _ in rows[1]] + [g for g, _ in rows[0]]
+    for k, family in enumerate(TEMPLATES):
+        z[[not can_be(family, g) for g in held], k] = NEVER
     at = np.arange(len(z))
     loss = {float(t): -np.log(np.maximum(_softmax(z / t)[at, truth], 1e-12)).mean() for t in np.geomspace(0.25, 8, 41)}
     temperature = min(loss, key=loss.get)
@@ -287,12 +391,14 @@ def scan(documents: DataFrame, model: Model | None = None, min_overlap: float =
     vocabulary, columns = _strings(GRAMS), [column(k) for k in range(len(model.families))]
     shapes = F.array(*map(_shapes, model.families))
 
+
     def scores(u: Column) -> Column:
         def total(of: Column) -> Column:
             return F.aggregate(u["at"], F.lit(0.0), lambda s, i: s + F.get(of, i - 1))
 
         sums = map(total, columns)
-        return F.array(*[F.round((s + float(model.bias[k])) / model.temperature, 9) for k, s in enumerate(sums)])
+        z = [F.round((s + float(model.bias[k])) / model.temperature, 9) for k, s in enumerate(sums)]
+        return F.array(*[x if f == UNKNOWN else F.when(told(f, u["known"]), x).otherwise(NEVER) for f, x in zip(model.families, z, strict=True)])
 
     steps = (
         word_list,
@@ -304,7 +410,7 @@ def scan(documents: DataFrame, model: Model | None = None, min_overlap: float =
         lambda u: F.struct(
             u["known"], u["n"], F.array_position(u["z"], u["top"]).cast("int").alias("k"), (1 / F.aggregate(u["z"], F.lit(0.0), lambda s, v: s + F.exp(v - u["top"]))).alias("p")
         ),
-        lambda u, i: F.struct((i >= F.col("n_candidates")).alias("run"), F.element_at(_strings(model.families), u["k"]).alias("family"), u["p"], overlap(F.element_at(shapes, u["k"]), u["known"], u["n"]).alias("alike")),
+        lambda u, i: F.struct((i >= F.col("n_candidates")).alias("run"), F.element_at(_strings(model.families), u["k"]).alias("family"), u["p"], overlap(F.element_at(shapes, u["k"]), u["known"], u["n"]).alias("alike"), F.arrays_overlap(u["known"], _strings(STRONG)).alias("strong")),
     )
     found = F.col("x")
     for step in steps:
@@ -312,6 +418,8 @@ def scan(documents: DataFrame, model: Model | None = None, min_overlap: float =
     sure = F.filter(found, lambda u: (u["p"] >= model.least) & (u["family"] != UNKNOWN))
     rows = rows.select("doc_id", "n_paragraphs", "n_candidates", sure.alias("sure"))
     rows = rows.withColumn("ok", F.filter("sure", lambda u: u["alike"] >= min_overlap))
+    others = F.exists("ok", lambda u: u["family"] != WEAK)
+    rows = rows.withColumn("others", others).withColumn("ok", F.filter("ok", lambda u: (u["family"] != WEAK) | u["strong"] | ~F.col("others")))
     best = F.array_max(F.transform("ok", lambda u, i: F.struct(F.round(u["p"], 6).alias("p"), (-i).alias("i"), u["family"].alias("family"))))
     return rows.select(
         "doc_id", "n_paragraphs", "n_candidates", F.array_sort(F.array_distinct(F.transform("ok", lambda u: u["family"]))).alias("families"),

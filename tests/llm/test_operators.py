@@ -495,11 +495,16 @@ def test_licence_scores_equal_plain_ones(spark):
         for j, u in enumerate([*units, *runs]):
             g = licenses._grams(licenses._words(u))
             z = (model.weights[[place[x] for x in sorted(g) if x in place]].sum(0) + model.bias) / model.temperature
+            can = [f == "unknown" or any({*x} <= g for x in licenses.KEYS[f]) and not {*licenses.RIVALS.get(f, ())} & g for f in model.families]
+            z = np.where(can, z, -1e9)
             p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
             k = model.families[int(p.argmax())]
             if k != "unknown" and p.max() >= model.least:
-                sure_ones.append((k, p.max(), max(len(t & g) / min(len(t), max(1, len(g))) for t in shapes[k]) >= 0.6, j < len(units)))
+                alike = max(len(t & g) / min(len(t), max(1, len(g))) for t in shapes[k]) >= 0.6
+                sure_ones.append((k, p.max(), alike, j < len(units), bool(g & {*licenses.STRONG})))
         ok = [x for x in sure_ones if x[2]]
+        if any(x[0] != licenses.WEAK for x in ok):
+            ok = [x for x in ok if x[0] != licenses.WEAK or x[4]]
         best = max(((round(x[1], 6), -j, x[0]) for j, x in enumerate(ok)), default=(0.0, 0, "unknown"))
         want[i] = (len(lines), len(units), sorted({x[0] for x in ok}), best[2], sum(x[3] and not x[2] for x in sure_ones)), best[0]
     got = {r.doc_id: ((r.n_paragraphs, r.n_candidates, r.families, r.family, r.n_unconfirmed), r.score) for r in licenses.scan(df, model).collect()}
@@ -508,6 +513,63 @@ def test_licence_scores_equal_plain_ones(spark):
     assert [want[i][0][2:4] for i in (0, 1, None)] == [(["mit"], "mit")] * 3
 
 
+def _wrapped(text, width, head=""):
+    lines, line = [], head
+    for w in text.split():
+        if len(line) + len(w) >= width and line != head:
+            lines.append(line.rstrip())
+            line = head
+        line += w + " "
+    return "\n".join([*lines, line.rstrip()])
+
+
+#: Licence texts as they stand in files, none a template of the model's as it is, and what they declare.
+_GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version. This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. You should have received a copy of the GNU {}General Public License along with this {}."
+_MIT = 'MIT License Copyright (c) 2021 Someone Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+_BSD = "Copyright (c) 2019, Someone. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.'
+_FILES = {
+    "wrapped mit": (_wrapped(_MIT, 70), ["mit"]),
+    "mit behind slashes": (_wrapped(_MIT, 76, "// "), ["mit"]),
+    "apache behind hashes": (_wrapped(_APACHE, 66, "# "), ["apache-2.0"]),
+    "bsd-2": (_wrapped(_BSD.format(""), 72), ["bsd-2-clause"]),
+    "bsd-3": (_wrapped(_BSD.format(_THIRD), 72), ["bsd-3-clause"]),
+    "mpl": (_wrapped("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", 70, " * "), ["mpl-2.0"]),
+    "lgpl-2.1": (_wrapped(_GNU.format("library", ";", "Lesser ", ";", "2.1", "library", "Lesser ", "library"), 68), ["lgpl-2.1"]),
+    "lgpl-3": (_wrapped(_GNU.format("program", ":", "Lesser ", ",", "3", "program", "Lesser ", "program"), 68), ["lgpl-3.0"]),
+    "agpl": (_wrapped(_GNU.format("program", ":", "Affero ", ",", "3", "program", "Affero ", "program"), 75, "# "), ["agpl-3.0"]),
+    "gpl-2": (_wrapped(_GNU.format("program", ";", "", ";", "2", "program", "", "program"), 72), ["gpl-2.0"]),
+    "gpl-3": (_wrapped(_GNU.format("program", ":", "", ",", "3", "program", "", "program"), 72), ["gpl-3.0"]),
+    "isc": (_wrapped("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 72), ["isc"]),
+    "cc0": (_wrapped("To the extent possible under law, Someone has waived all copyright and related or neighboring rights to this work. It is published under CC0 1.0 Universal.", 80), ["cc0-1.0"]),
+    "warranty alone": (_wrapped(_WARRANTY, 74), []),
+    "gnu without version": ("You should have received a copy of the GNU General Public License along with this program.", []),
+    "redistribution alone": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", []),
+    "a report": ("The general public may obtain a copy of the report, version 3 of which was published by the foundation.", []),
+    "a permit": ("Permission to fish was granted to any person with a license, without a fee, in the public part of the river.", []),
+}
+
+
+def test_licence_texts_of_files(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_FILES.values())], "doc_id long, text string")
+    model = licenses.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = {r.doc_id: r.families for r in licenses.scan(df, model).collect()}
+    assert {name: got[k] for k, name in enumerate(_FILES) if got[k] != _FILES[name][1]} == {}
+
+
+def test_candidates_lose_no_licence_text(spark, monkeypatch):
+    """Scoring every line instead of candidates finds nothing more, in texts that are no templates."""
+    df = spark.createDataFrame([(k, _wrapped(t, width)) for k, (t, width) in enumerate((t.replace("\n", " "), w) for t, _ in _FILES.values() for w in (24, 40, 66, 100, 1000))], "doc_id long, text string")
+    model = licenses.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    some = {r.doc_id: r.families for r in licenses.scan(df, model).collect()}
+    monkeypatch.setattr(licenses, "may_declare", lambda words: F.size(words) >= 0)
+    every = {r.doc_id: r.families for r in licenses.scan(df, model).collect()}
+    assert sum(map(len, every.values())) > 40
+    assert {k for k in every if set(every[k]) - set(some[k])} == set()
+
+
 def test_licence_candidates_do_not_depend_on_other_lines(spark):
     plain = ["all of the boats came home before dark that night", "we saw all rivers and any hill from there", "it can be seen with or without a glass by the water"]
     texts = ["All rights reserved.", "first line\nsecond line\nthird line\nAll rights reserved.", "rights reserved", *plain]

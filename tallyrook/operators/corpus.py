@@ -21,9 +21,6 @@ SECRETS = (
 TAGS = r"(?i)`(?:verified-from-github|needs-your-confirmation)`"
 #: What a metadata comment begins with.
 MARKERS = ("doc:meta", "doc-meta:")
-VOCABULARY = ("delve", "tapestry", "leverage", "robust", "seamless", "pivotal", "underscore", "landscape", "foster", "showcase")
-CONTRAST = r"(?i)\bnot (?:just|only|merely)\b[^.\n]{0,80}\bbut\b"
-CHAT = ("as an ai", "i hope this helps", "great question", "certainly!")
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -88,22 +85,6 @@ def remove_tags(documents: DataFrame, markers: tuple[str, ...] = MARKERS) -> Dat
     return rows.withColumn("leaked", F.col("clean").rlike(f"(?i)verified-from-github|needs-your-confirmation|{named}"))
 
 
-def style(documents: DataFrame) -> DataFrame:
-    """Counts of each rule of prose style, the spread of sentence lengths, and pass: whether no count is over its limit."""
-    text = F.coalesce("text", F.lit(""))
-    sizes = F.transform(F.filter(F.split(text, r"[.!?]+\s+"), lambda s: F.trim(s) != ""), lambda s: F.size(F.split(F.trim(s), " +")).cast("double"))
-    rows = documents.select(
-        "doc_id", F.regexp_count(text, F.lit("—|--")).alias("dashes"), F.regexp_count(text, F.lit(CONTRAST)).alias("contrasts"),
-        F.regexp_count(text, F.lit(pattern(VOCABULARY))).alias("vocabulary"), F.regexp_count(text, F.lit("(?i)" + "|".join(CHAT))).alias("chat"), sizes.alias("s"),
-    )
-    total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
-    n = F.size("s")
-    mean = total(lambda x: x) / n
-    rows = rows.withColumn("spread", F.when(n > 1, X.round2(F.sqrt(F.greatest(F.lit(0.0), total(lambda x: x * x) / n - mean * mean)))))
-    uniform = F.coalesce((n >= 5) & (F.col("spread") < 2.0), F.lit(False))
-    return rows.select("doc_id", "dashes", "contrasts", "vocabulary", "chat", "spread", ((F.col("dashes") <= 2) & (F.col("contrasts") == 0) & (F.col("vocabulary") <= 1) & (F.col("chat") == 0) & ~uniform).alias("pass"))
-
-
 def letter_limits(documents: DataFrame, max_paragraphs: int = 3, max_words: int = 650) -> DataFrame:
     paragraphs = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda p: F.trim(p) != "")
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n]+"), lambda w: w != ""))

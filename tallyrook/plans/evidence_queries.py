@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyrook.functions.rules import THEMES
 from tallyrook.operators import corpus as K
 from tallyrook.operators import evidence as V
+from tallyrook.operators import prose as P
 from tallyrook.plans.derived import table
 from tallyrook.session import spread
 
@@ -153,15 +154,39 @@ add("k03_evidence_tags", lambda s, d: K.remove_tags(_planted(s, d, _TAGGED)).sel
 c as (select *, trim(regexp_replace(regexp_replace(text, '(?i){_meta}', '', 'g'), '(?i) ?{_tag} ?', ' ', 'g')) as clean from d)
 select doc_id, md5(clean) as clean, len(regexp_extract_all(text, '(?i){_tag}')) as n_tags, len(regexp_extract_all(text, '(?i){_meta}')) as n_meta,
  regexp_matches(clean, '(?i)verified-from-github|needs-your-confirmation|doc:meta|doc-meta:') as leaked from c""")
-_vocab = "|".join(K.VOCABULARY)
-add("k05_style_counts", lambda s, d: K.style(_docs(s, d)).select("doc_id", "dashes", "vocabulary", "chat"),
-    f"select doc_id, len(regexp_extract_all(text, '—|--')) as dashes, len(regexp_extract_all(text, '(?i)\\b(?:{_vocab})\\b')) as vocabulary, len(regexp_extract_all(text, '(?i){'|'.join(K.CHAT)}')) as chat from documents")
-add("k05_style_audit", lambda s, d: K.style(_docs(s, d)), f"""with t as (select doc_id, coalesce(text, '') as text from documents),
-s as (select *, list_transform(list_filter(regexp_split_to_array(text, '[.!?]+\\s+'), lambda x: trim(x) <> ''), lambda x: len(regexp_split_to_array(trim(x), ' +'))::double) as s from t),
-c as (select doc_id, len(regexp_extract_all(text, '—|--')) as dashes, len(regexp_extract_all(text, '(?i)\\bnot (?:just|only|merely)\\b[^.\\n]{{0,80}}\\bbut\\b')) as contrasts,
- len(regexp_extract_all(text, '(?i)\\b(?:{_vocab})\\b')) as vocabulary, len(regexp_extract_all(text, '(?i){'|'.join(K.CHAT)}')) as chat, len(s) as n,
- case when len(s) > 1 then floor(sqrt(greatest(0.0::double, list_sum(list_transform(s, lambda x: x * x)) / len(s) - (list_sum(s) / len(s)) * (list_sum(s) / len(s)))) * 100 + 0.5) / 100 end as spread from s)
-select doc_id, dashes, contrasts, vocabulary, chat, spread, dashes <= 2 and contrasts = 0 and vocabulary <= 1 and chat = 0 and not coalesce(n >= 5 and spread < 2.0, false) as pass from c""")
+_TOLD = (
+    "I delve into robust systems -- it is not a bug; it is a feature.", "It's not the price. It's not the speed. In today's landscape, it's worth noting the game-changer.",
+    "The headline isn't the speed. The real story is not only the tapestry, not a phase.", "Great question! Certainly, let me know if you need anything else.",
+    "This serves as a testament to showcasing, leveraging and harnesses. We could potentially ship red, green, and blue.", "I ran it. He saw it. She had it. We got it. They won it.", "",
+)
+
+
+def _told_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each with some prose of the kind behind it."""
+    said = F.element_at(F.array(*map(F.lit, _TOLD)), (F.col("doc_id") % len(_TOLD)).cast("int") + 1)
+    return _docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), said).alias("text"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# words stand between two spaces each, so phrases are counted by what taking them out leaves
+_PHRASE_SQL = ", ".join(
+    f"list_sum(list_transform([{', '.join(_quoted(' ' + '  '.join(p.split()) + ' ') for p in phrases)}], lambda p: (length(w) - length(replace(w, p, ''))) // length(p)))::int as {check}"
+    for check, phrases in P.rules().items()
+)
+_STYLE_SQL = f"""with t as (select doc_id, coalesce(text, '') || chr(10) || chr(10) || [{', '.join(map(_quoted, _TOLD))}][(doc_id % {len(_TOLD)})::int + 1] as text from documents),
+w as (select *, ' ' || replace(array_to_string(regexp_extract_all(lower(text), {_quoted(P.WORD)}), '  '), '’', chr(39)) || ' ' as w,
+ list_transform(list_filter(regexp_split_to_array(text, '[.!?]+\\s+'), lambda x: trim(x) <> ''), lambda x: len(regexp_split_to_array(trim(x), '\\s+'))) as s,
+ list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x) <> '') as p from t),
+c as (select doc_id, len(regexp_extract_all(text, '—|--')) as dashes, {' + '.join(f"len(regexp_extract_all(text, {_quoted(f)}))" for f in P.FRAMES)} as contrasts, {_PHRASE_SQL},
+ len(list_filter(p, lambda x: regexp_matches(x, {_quoted(P.TRIAD)}))) as triads, len(p) as n,
+ len(list_filter(range(1, len(s) - 3), lambda i: list_max(s[i:i + 4]) - list_min(s[i:i + 4]) <= 2)) as uniform_runs from w)"""
+add("k05_style_counts", lambda s, d: P.audit(_told_docs(s, d)).drop("no_dashes", "no_contrasts", "vocabulary_clean", "rhythm_varied", "pass", "polished"), f"{_STYLE_SQL} select * exclude (n) from c")
+add("k05_style_audit", lambda s, d: P.audit(_told_docs(s, d)).select("doc_id", "no_dashes", "no_contrasts", "vocabulary_clean", "rhythm_varied", "pass", "polished"), f"""{_STYLE_SQL}
+select doc_id, dashes = 0 as no_dashes, contrasts = 0 as no_contrasts, vocabulary = 0 as vocabulary_clean, uniform_runs = 0 as rhythm_varied, dashes = 0 and contrasts = 0 and vocabulary = 0 and uniform_runs = 0 and chat = 0 as pass,
+ {' and '.join(f"{c} = 0" for c in P.rules())} and not (n > 1 and triads = n) as polished from c""")
 add("k06_letter_limits", lambda s, d: K.letter_limits(_docs(s, d)).select("doc_id", "paragraphs", "words"),
     "select doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: trim(p) <> '')) as paragraphs, len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda w: w <> '')) as words from documents")
 add("k07_secrets", lambda s, d: K.secrets(_docs(s, d)), """select doc_id, label from (select doc_id, unnest([case when regexp_matches(text, 'ghp_[A-Za-z0-9]{20,}') then 'code host token' end,

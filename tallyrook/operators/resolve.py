@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyrook.functions import text as X
 from tallyrook.functions.urls import url_quality
 from tallyrook.operators.components import connected_components
-from tallyrook.operators.listings import legacy_key, legacy_url_key, level, provider_key, remote_scope, url_key
+from tallyrook.operators.listings import legacy_key, level, provider_key, remote_scope, url_key
 
 
 def link_signals(listings: DataFrame) -> DataFrame:
@@ -55,21 +55,22 @@ def stable_key() -> Column:
 
 
 def merged(listings: DataFrame, members: DataFrame) -> DataFrame:
-    """One row an entity: survivors of each field, provenance, and scope, level and identity made again from them."""
+    """One row an entity: survivors of each field, and scope, level and identity made again from them.
+
+    Of the records that it comes from only the first one is kept here; all of them, and all aliases, are keyed tables
+    (operators.provenance), so an entity's row doesn't grow with its listings.
+    """
     rows = listings.join(members, "posting_id")
     best = F.min(F.when(F.col("url") != "", url_quality(F.col("url"))))
     record = F.struct("source_id", "adapter", F.coalesce("source_job_id", F.lit("")).alias("source_job_id"), "url")
-    keys = F.array_compact(F.array("provider_key", "url_key", "legacy_url_key"))
     out = rows.groupBy("entity_id").agg(
         F.count("*").alias("members"), *map(_richest, ("company", "title", "location", "description")), best["url"].alias("url"),
-        F.min("posted_at").alias("posted_at"), F.array_sort(F.collect_set(record)).alias("provenance"),
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"), F.flatten(F.collect_set(keys)).alias("keys"),
+        F.min("posted_at").alias("posted_at"), F.min(record).alias("first"), F.array_sort(F.collect_set("source_id")).alias("source_ids"),
     )
-    first = F.col("provenance")[0]
+    first = F.col("first")
     out = out.withColumns({"remote_scope": remote_scope(), "level": level(), "adapter": first["adapter"], "source_job_id": F.nullif(first["source_job_id"], F.lit(""))})
-    own = F.array_compact(F.array(url_key(F.col("url")), provider_key(F.col("adapter"), F.col("source_job_id")), legacy_key(), legacy_url_key(F.col("url"))))
     dedupe = F.coalesce(url_key(F.col("url")), provider_key(F.col("adapter"), F.col("source_job_id")), legacy_key())
-    return out.withColumns({"dedupe_key": dedupe, "legacy_key": legacy_key(), "aliases": F.array_sort(F.array_distinct(F.concat(own, "keys")))}).drop("keys")
+    return out.withColumns({"dedupe_key": dedupe, "legacy_key": legacy_key()}).drop("first")
 
 
 def dedupe_summary(members: DataFrame) -> DataFrame:

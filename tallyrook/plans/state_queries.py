@@ -178,7 +178,5 @@ add("h01_union_sources", lambda s, d: listings(s, d).where("source_id = 'src1'")
     f"{SCORE_SQL} select source_id, count(*) as n from listing group by 1")
 add("h04_key_difference", lambda s, d: seen_state(b := keyed_listings(s, d)).select("key").join(lifecycle_state(b).select("key"), "key", "left_anti").distinct(),
     f"{SEEN_SQL} select distinct key from seen where key not in (select key from life)")
-add("h03_provenance_union", lambda s, d: entity_rows(s, d).select("entity_id", F.size("provenance").alias("n")),
-    f"{MERGED_SQL} select entity_id, count(distinct (source_id, adapter, coalesce(source_job_id, ''), url)) as n from ranked_url group by 1")
 add("e05_stable_order", lambda s, d: listings(s, d).select("posting_id", F.row_number().over(Window.partitionBy("dedupe_key").orderBy(E.stable_key(), "posting_id")).alias("nth")),
     f"""{SCORE_SQL} select posting_id, row_number() over (partition by dedupe_key order by concat_ws('|', coalesce(url_key, url), source_id, adapter, coalesce(source_job_id, ''), url, trim(company), trim(title), trim(description)), posting_id) as nth from listing""")

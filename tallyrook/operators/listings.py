@@ -246,4 +246,4 @@ def ranked(scores: DataFrame) -> DataFrame:
     before = Window.partitionBy("geo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     places = keys.join(counts, ["geo", "part"]).select(F.col("posting_id").alias("__id"), (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("tier_rank"))
-    return rows.join(places, F.col("posting_id") == F.col("__id")).drop("__id")
+    return rows.join(places.hint("merge"), F.col("posting_id") == F.col("__id")).drop("__id")

@@ -8,28 +8,34 @@ from pyspark.sql import functions as F
 DISPOSITIONS = ("applied", "dismissed", "expired")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows for a join that deals both sides by key. Rows and states both grow, and a compressed file of a few MB holds a
+    million keys: taken for small and broadcast, they would stand in the driver's memory as a whole."""
+    return rows.hint("merge")
+
+
 def alias_lookup(rows: DataFrame, state: DataFrame, id_column: str = "posting_id") -> DataFrame:
     """rows (id, aliases), state (key, ...) -> (id, pos, hit): of the aliases that the state has, the first one's row.
 
     Explodes to (id, key) and joins by key; the hit is a minimum by position, so it combines before the shuffle.
     """
     keys = rows.select(id_column, F.posexplode("aliases").alias("pos", "key"))
-    found = keys.join(state, "key").withColumn("hit", F.struct(*state.columns))
+    found = keys.join(dealt(state), "key").withColumn("hit", F.struct(*state.columns))
     return found.groupBy(id_column).agg(F.min("pos").alias("pos"), F.min_by("hit", "pos").alias("hit"))
 
 
 def split_seen(rows: DataFrame, seen: DataFrame, profile: str) -> DataFrame:
     """Adds status: `seen` if any alias is in the profile's seen state, else `new`; and first_seen_at."""
     hits = alias_lookup(rows, seen.where(F.col("profile") == profile).select("key", "first_seen_at"))
-    out = rows.join(hits, "posting_id", "left")
+    out = rows.join(dealt(hits), "posting_id", "left")
     return out.withColumn("status", F.when(F.col("hit").isNull(), "new").otherwise("seen")).withColumn("first_seen_at", F.col("hit.first_seen_at")).drop("pos", "hit")
 
 
 def disposition_of(rows: DataFrame, lifecycle: DataFrame) -> DataFrame:
     """Adds disposition: applied before dismissed before expired, whichever alias has it; null if none has."""
     rank = F.array_position(F.array(*map(F.lit, DISPOSITIONS)), F.col("disposition"))
-    hits = rows.select("posting_id", F.explode("aliases").alias("key")).join(lifecycle, "key").groupBy("posting_id").agg(F.min(rank).cast("int").alias("rank"))
-    return rows.join(hits, "posting_id", "left").withColumn("disposition", F.try_element_at(F.array(*map(F.lit, DISPOSITIONS)), F.col("rank"))).drop("rank")
+    hits = rows.select("posting_id", F.explode("aliases").alias("key")).join(dealt(lifecycle), "key").groupBy("posting_id").agg(F.min(rank).cast("int").alias("rank"))
+    return rows.join(dealt(hits), "posting_id", "left").withColumn("disposition", F.try_element_at(F.array(*map(F.lit, DISPOSITIONS)), F.col("rank"))).drop("rank")
 
 
 def upsert_seen(state: DataFrame, rows: DataFrame, profile: str, observed: Column) -> DataFrame:
@@ -37,12 +43,12 @@ def upsert_seen(state: DataFrame, rows: DataFrame, profile: str, observed: Colum
     profiles stay as they are. rows: dedupe_key, legacy_key, aliases, company, title, url."""
     own, rest = state.where(F.col("profile") == profile), state.where(F.col("profile") != profile)
     hits = alias_lookup(rows, own.select("key", "first_seen_at"))
-    fresh = rows.join(hits, "posting_id", "left").groupBy(F.col("dedupe_key").alias("key")).agg(
+    fresh = rows.join(dealt(hits), "posting_id", "left").groupBy(F.col("dedupe_key").alias("key")).agg(
         F.max_by("company", "posting_id").alias("company"), F.max_by("title", "posting_id").alias("title"), F.max_by("url", "posting_id").alias("url"),
         F.min("hit.first_seen_at").alias("known"), F.collect_set(F.when(F.col("legacy_key") != F.col("dedupe_key"), F.col("legacy_key"))).alias("old"),
     )
     gone = fresh.select(F.explode("old").alias("key")).distinct()
-    kept = own.join(fresh.select("key"), "key", "left_anti").join(gone, "key", "left_anti")
+    kept = own.join(dealt(fresh.select("key")), "key", "left_anti").join(dealt(gone), "key", "left_anti")
     new = fresh.select(F.lit(profile).alias("profile"), "key", "company", "title", "url", F.coalesce("known", observed).alias("first_seen_at"), observed.alias("last_seen_at"))
     return rest.unionByName(kept).unionByName(new)
 
@@ -55,13 +61,13 @@ def transition(state: DataFrame, entries: DataFrame) -> DataFrame:
     """
     names = entries.select("disposition", F.col("key").alias("own"), F.explode(F.array_distinct(F.array_compact(F.array("key", "legacy_key", "legacy_url_key")))).alias("key"))
     moved = names.select("key", F.col("disposition").alias("to")).groupBy("key").agg(F.collect_set("to").alias("to"))
-    prior = state.join(names.groupBy("disposition", "key").agg(F.min("own").alias("own")), ["disposition", "key"])
+    prior = state.join(dealt(names.groupBy("disposition", "key").agg(F.min("own").alias("own"))), ["disposition", "key"])
     known = prior.groupBy("disposition", "own").agg(F.min("at").alias("known_at"), F.min_by("key", F.struct("at", "key")).alias("known_key"))
-    stay = state.join(moved, "key", "left").where("to is null").drop("to")
+    stay = state.join(dealt(moved), "key", "left").where("to is null").drop("to")
     last = entries.groupBy("disposition", F.col("key").alias("own")).agg(
         *[F.max_by(c, F.struct("at", c)).alias(c) for c in ("company", "title", "url", "source_report")], F.min("at").alias("at")
     )
-    new = last.join(known, ["disposition", "own"], "left").select(
+    new = last.join(dealt(known), ["disposition", "own"], "left").select(
         "disposition", F.coalesce("known_key", "own").alias("key"), "company", "title", "url", F.coalesce("known_at", "at").alias("at"), "source_report"
     )
     return stay.select(*new.columns).unionByName(new)

@@ -6,6 +6,7 @@ syntax. Every table can be replaced: operators take tables as parameters, these
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -86,9 +87,28 @@ THEMES = (
 )
 
 
+def _first(phrases: Iterable[str]) -> set[str] | None:
+    """The characters that phrases can begin with; None if they aren't plain letters, digits or groups of such."""
+    out: set[str] = set()
+    for p in phrases:
+        if group := re.match(r"\(\?:([^()]*)\)(?![?*{])", p):
+            some = _first(group[1].split("|"))
+            if some is None:
+                return None
+            out |= some
+        elif re.match(r"[A-Za-z0-9](?![?*{])", p) and "|" not in re.sub(r"\([^()]*\)", "", p):
+            out.add(p[0].lower())
+        else:
+            return None
+    return out
+
+
 def pattern(phrases: Iterable[str]) -> str:
-    """One alternation for a whole table."""
-    return f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(phrases)})(?![A-Za-z0-9_])"
+    """One alternation for a whole table. Where all phrases begin with plain characters, places without one of them are passed first."""
+    phrases = tuple(phrases)
+    first = _first(phrases)
+    ahead = f"(?=[{''.join(sorted(first))}])" if first else ""
+    return f"(?i){ahead}(?<![A-Za-z0-9_])(?:{'|'.join(phrases)})(?![A-Za-z0-9_])"
 
 
 def says(text: Column | str, phrases: Iterable[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space of a browser's regular expressions: ASCII, and the Unicode spaces that Java leaves out.
 WS = r"[\s\u000B   -     　﻿]"
+_BLANKS = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # WS, one by one
 NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
 URL = r"(?i)https?://[^\s\"'`<>|]+"
 WINDOWS_PATH = r"(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s\"'`<>|]*"
@@ -21,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def _numeric(text: Column, shape: str, code) -> Column:
@@ -42,29 +43,40 @@ def decode_entities(text: Column) -> Column:
     hexed, decimal = "(?i)&#x[0-9a-f]+;", "&#[0-9]+;"
     of_hex = lambda e: F.conv(F.substring(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 1, 8), 16, 10).cast("long")
     of_decimal = lambda e: F.substring(F.regexp_extract(e, "([0-9]+)", 1), 1, 9).cast("long")
-    out = let(text, lambda t: F.when(t.contains("&#"), let(_numeric(t, hexed, of_hex), lambda h: _numeric(h, decimal, of_decimal))).otherwise(t))
-    for name, char in NAMED:
-        out = F.regexp_replace(out, f"(?i)&{name};", char)
-    return out
+
+    def decoded(t: Column) -> Column:
+        out = F.when(t.contains("&#"), let(_numeric(t, hexed, of_hex), lambda h: _numeric(h, decimal, of_decimal))).otherwise(t)
+        for name, char in NAMED:
+            out = F.regexp_replace(out, f"(?i)&{name};", char)
+        return out
+
+    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def strip_html(text: Column) -> Column:
     """Line breaks for <br>, </p> and </li>, a space for any other tag, runs of blanks collapsed, then entities."""
-    out = F.regexp_replace(text, rf"(?i)<br{WS}*/?>", "\n")
-    out = F.regexp_replace(out, "(?i)</p>|</li>", "\n")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
-    out = F.regexp_replace(out, f"{WS}+\n", "\n")
-    return decode_entities(trimmed(F.regexp_replace(out, "[ \t]+", " ")))
+
+    def plain(t: Column) -> Column:
+        out = F.regexp_replace(t, rf"(?i)<br{WS}*/?>", "\n")
+        out = F.regexp_replace(out, "(?i)</p>|</li>", "\n")
+        return F.when(t.contains("<"), F.regexp_replace(out, "<[^>]+>", " ")).otherwise(t)
+
+    def collapsed(t: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(t, f"{WS}+\n", "\n"), "[ \t]+", " ")
+        return F.when(t.contains("\n") | t.contains("\t") | t.contains("  "), out).otherwise(t)
+
+    return decode_entities(trimmed(let(let(text, plain), collapsed)))
 
 
 def clean_text(text: Column) -> Column:
     """Entities decoded, white space collapsed."""
-    return trimmed(F.regexp_replace(decode_entities(text), f"{WS}+", " "))
+    return trimmed(F.regexp_replace(decode_entities(text), f"(?: (?={WS})|(?! ){WS}){WS}*", " "))  # a blank alone stays
 
 
 def normalize_text(text: Column) -> Column:
     """Lower case; what isn't an ASCII letter, digit or one of _ / + . - becomes a blank; blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_/+.-]+", " "), " +", " "))
+    other = "[^A-Za-z0-9_/+.-]"
+    return F.trim(F.regexp_replace(F.lower(text), f"(?: (?={other})|(?! ){other}){other}*", " "))  # a blank alone stays
 
 
 def year_month(date: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrook.session import spread
+from tallyrook.session import materialize, spread
 
 TITLES = (
     "Senior React Engineer", "Frontend Engineer", "Backend Engineer", "Software Engineer", "Node.js Developer", "Staff Platform Engineer",
@@ -59,7 +59,8 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 4, F.concat(F.lit("Not a URL "), (k % 100).cast("string")))
         .otherwise(F.concat(F.lit("https://10.0.0.5/role/"), k.cast("string")))
     )
-    o = spread(o.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    # written once dealt: else filters on what is derived go below the exchange, into the few tasks of the files' row groups
+    o, _ = materialize(spread(o.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey", narrow=True), "orders")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         k.alias("posting_id"),
         F.concat(F.lit("src"), (k % 7).cast("string")).alias("source_id"),

@@ -50,13 +50,15 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, narrow: bool = False) -> DataFrame:
     """df over as many partitions as there are cores, if a small or one-block file gives fewer; dealt by hash of the keys.
 
-    What is narrow behind it would else run in one task. An input of as many partitions as cores stays as it is.
+    What is narrow behind it would else run in one task. An input of as many partitions as cores stays as it is, unless
+    its rows are narrow and cheap to deal: how many of its partitions have rows depends on the files' row groups, and one of
+    a million rows is one task, however many partitions its bytes give.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, n), *keys) if narrow or n < cores else df
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrook.functions import urls as U
-from tallyrook.functions.text import normalize_text
+from tallyrook.functions.text import let, normalize_text
 from tallyrook.operators.nested import field, kind, text_value, walk
 from tallyrook.operators.listings import Policy, blocked_apply_url, discovery_geo, remote_scope, title_role
 
@@ -63,12 +63,15 @@ def _is(record: Column, urns: tuple[str, ...], types: tuple[str, ...]) -> Column
 
 def _way(record: Column, own_host: str) -> Column:
     """How a record says to apply: a link beyond the network, else an on-site application; null if neither."""
-    method = field(record, "applyMethod")
+    return let(field(record, "applyMethod"), lambda method: F.when(kind(method).isin("OBJECT", "ARRAY"), _way_of(method, own_host)))
+
+
+def _way_of(method: Column, own_host: str) -> Column:
     offsite = F.when(kind(field(method, "offsiteApply")).isin("OBJECT", "ARRAY"), field(method, "offsiteApply")).when(kind(field(method, "companyApplyUrl")).isin("OBJECT", "ARRAY"), field(method, "companyApplyUrl"))
     url = F.coalesce(text_value(field(method, "companyApplyUrl")), _first_text(offsite, "companyApplyUrl", "url"))
     type_ = F.coalesce(F.try_variant_get(method, "$['$type']", "string"), F.try_variant_get(method, "$.type", "string"), F.lit(""))
-    url = F.when(~url.contains(own_host), url)
-    return F.when(kind(method).isin("OBJECT", "ARRAY") & (url.isNotNull() | type_.contains("OnsiteApply")), F.struct(url.alias("url"), url.isNull().alias("easy")))
+    beyond = let(url, lambda u: F.when(~u.contains(own_host), u))
+    return let(beyond, lambda u: F.when(u.isNotNull() | type_.contains("OnsiteApply"), F.struct(u.alias("url"), u.isNull().alias("easy"))))
 
 
 def details(payloads: DataFrame, own_host: str = OWN_HOST) -> DataFrame:
@@ -88,9 +91,10 @@ def details(payloads: DataFrame, own_host: str = OWN_HOST) -> DataFrame:
     firm = F.when(at == 0, F.coalesce("told", "name")).when(at > 1, F.coalesce(F.when(F.col("firm"), F.col("name")), F.when(F.col("posting"), F.coalesce("told", "name"))))
     rows = rows.select("job_id", "at", firm.alias("company"), *[F.when((at < 2) | F.col("posting"), F.col(c)).alias(n) for c, n in (("place", "location"), ("about", "description"))])
     whole = rows.groupBy("job_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("company", "location", "description")])
-    ways = walk(payloads, "job_id", "payload").select("job_id", "path", _way(F.try_parse_json("json"), own_host).alias("way")).where("way is not null")
-    first = ways.groupBy("job_id").agg(F.min_by("way", "path").alias("way"))
-    return whole.join(first, "job_id", "left").select("job_id", "company", "location", "description", F.col("way.url").alias("apply_url"), F.coalesce("way.easy", F.lit(False)).alias("easy_apply_only"))
+    way = let(F.try_parse_json("json"), lambda v: _way(v, own_host))  # not filtered by: a filter would write it into the plan twice
+    ways = walk(payloads, "job_id", "payload", "applyMethod").select("job_id", "path", way.alias("way"))
+    first = ways.groupBy("job_id").agg(F.min_by("way", F.when(F.col("way").isNotNull(), F.col("path"))).alias("way"))
+    return whole.join(first.hint("merge"), "job_id", "left").select("job_id", "company", "location", "description", F.col("way.url").alias("apply_url"), F.coalesce("way.easy", F.lit(False)).alias("easy_apply_only"))
 
 
 def enrich(hits: DataFrame, other: DataFrame, detail: DataFrame) -> DataFrame:

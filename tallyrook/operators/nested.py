@@ -37,13 +37,16 @@ def _children(json: Column) -> Column:
     return F.when(F.substring(trimmed(json), 1, 1) == "[", elements).otherwise(values)
 
 
-def walk(documents: DataFrame, key: str, json: str) -> DataFrame:
+def walk(documents: DataFrame, key: str, json: str, name: str | None = None) -> DataFrame:
     """(key, json text) -> key, path, json: the document itself and every object and array in it, of any depth.
 
     path is the place of each value on the way from the root, so its order is depth first, parents before children.
     A level of nesting is a pass over that level's values alone; what isn't JSON has its root only, a null document none.
+    With a name, values in which no field can have it are left out, and so is all below them: their text has neither the name
+    nor an escape by which it might be written.
     """
-    level = documents.select(F.col(key), F.array().cast("array<int>").alias("path"), F.col(json).alias("json")).where("json is not null")
+    holds = F.lit(True) if name is None else F.col("json").contains(name) | F.col("json").contains("\\u")
+    level = documents.select(F.col(key), F.array().cast("array<int>").alias("path"), F.col(json).alias("json")).where("json is not null").where(holds)
     levels = []
     while True:
         level, _ = materialize(level, "nested")
@@ -51,7 +54,7 @@ def walk(documents: DataFrame, key: str, json: str) -> DataFrame:
             break
         levels.append(level)
         below = level.select(key, "path", F.posexplode(_children(F.col("json"))).alias("at", "x")).where("x.kind in ('OBJECT', 'ARRAY')")
-        level = below.select(key, F.concat("path", F.array("at")).alias("path"), F.col("x.json").alias("json"))
+        level = below.select(key, F.concat("path", F.array("at")).alias("path"), F.col("x.json").alias("json")).where(holds)
     out = levels[0] if levels else level
     for x in levels[1:]:
         out = out.unionByName(x)

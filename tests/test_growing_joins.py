@@ -62,3 +62,13 @@ def test_texts_keep_their_normal_form(spark):
     assert new.collect() == old.collect()
     assert rows.select(X.strip_html(t).alias("s")).collect()[4].s == "a b\nc &lt; d"
     assert R.pattern(("react", "(?:us|u\\.s\\.) only")).startswith("(?i)(?=[ru])") and "(?=" not in R.pattern(("a?b", "c"))
+
+
+def test_walk_by_name_leaves_out_what_cant_have_it(spark):
+    from tallyrook.operators.discovery import details
+    from tallyrook.operators.nested import walk
+
+    payload = '{"a":{"b":{"noise":[1,{}]}},"c":{"d":[{"\\u0061pplyMethod":{"companyApplyUrl":"https://x.example/"}}]},"e":{"applyMethod":{"type":"OnsiteApply"}}}'
+    rows = spark.createDataFrame([("1", payload), ("2", "{}"), ("3", None)], "job_id string, payload string")
+    assert sorted((r.job_id, list(r.path)) for r in walk(rows, "job_id", "payload", "applyMethod").collect()) == [("1", []), ("1", [1]), ("1", [1, 0]), ("1", [1, 0, 0]), ("1", [2])]
+    assert {(r.job_id, r.apply_url, r.easy_apply_only) for r in details(rows).collect()} == {("1", "https://x.example/", False), ("2", None, False), ("3", None, False)}

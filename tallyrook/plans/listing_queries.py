@@ -242,7 +242,7 @@ view("g02_relevance_back", listings, lambda: _id | {"relevance": L.relevance("ba
 view("g03_geo_confidence", score_rows, lambda: _id | {"geo_confidence": "geo_confidence"}, f"{SCORE_SQL} select posting_id, geo_confidence from scored")
 view("g04_freshness", score_rows, lambda: _id | {"freshness": "freshness", "likely_expired": "likely_expired"}, f"{SCORE_SQL} select posting_id, freshness, likely_expired from scored")
 view("g05_total", score_rows, lambda: _id | {"total": "total"}, f"{SCORE_SQL} select posting_id, total from scored")
-view("g06_rank", lambda s, d: L.ranked(score_rows(s, d)), lambda: _id | {"geo": "geo", "tier_rank": "tier_rank"},
+view("g06_rank", lambda s, d: L.ranked(score_rows(s, d).select("posting_id", "geo", "total", "company", "dedupe_key")), lambda: _id | {"geo": "geo", "tier_rank": "tier_rank"},
      f"{SCORE_SQL} select posting_id, geo, row_number() over (partition by geo order by total desc, company, dedupe_key, posting_id) as tier_rank from scored")
 
 

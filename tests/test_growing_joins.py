@@ -72,3 +72,12 @@ def test_walk_by_name_leaves_out_what_cant_have_it(spark):
     rows = spark.createDataFrame([("1", payload), ("2", "{}"), ("3", None)], "job_id string, payload string")
     assert sorted((r.job_id, list(r.path)) for r in walk(rows, "job_id", "payload", "applyMethod").collect()) == [("1", []), ("1", [1]), ("1", [1, 0]), ("1", [1, 0, 0]), ("1", [2])]
     assert {(r.job_id, r.apply_url, r.easy_apply_only) for r in details(rows).collect()} == {("1", "https://x.example/", False), ("2", None, False), ("3", None, False)}
+
+
+def test_ranking_writes_only_what_orders(spark, monkeypatch):
+    from tallyrook.plans import catalog
+
+    written = []
+    monkeypatch.setattr(L, "materialize", lambda df, tag: (written.append(set(df.columns)), materialize(df, tag))[1])
+    assert catalog.QUERIES["g06_rank"](spark, "/root/testdata/sf0.001").count() == 1500
+    assert written[0] == {"posting_id", "geo", "total", "company", "dedupe_key"}

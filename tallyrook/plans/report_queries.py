@@ -84,7 +84,8 @@ select 'run-1' as run_id, 62500 as duration_ms, sha256('config') as config_sha25
 add("a23_b23_source_table", lambda s, d: R.source_table(_catalog(s, d), _stats(s, d)), f"""{_STATS_SQL}
 select ca.source_id, {_picked([R.BOARDS.get(x, x) for x in _ADAPTERS], 'ordinal')} || ' (' || ca.adapter || ')' as board, case when status is null then 'not run' when status = 'skipped' then 'skipped (' || coalesce(skip_reason, 'cadence') || ')' else status end as status,
  coalesce(attribution, 'Public job board listing') as attribution from ca left join st using (source_id)""")
-add("a23_b23_listing_table", lambda s, d: R.listing_table(L.ranked(score_rows(s, d)), score_rows(s, d).where("posting_id % 3 = 0").select("dedupe_key")), f"""{SCORE_SQL},
+_SHOWN = ("posting_id", "geo", "total", "company", "dedupe_key", "title", "level", "remote_scope", "freshness", "likely_expired", "geo_confidence")
+add("a23_b23_listing_table", lambda s, d: R.listing_table(L.ranked(score_rows(s, d).select(*_SHOWN)), score_rows(s, d).where("posting_id % 3 = 0").select("dedupe_key")), f"""{SCORE_SQL},
 r as (select *, row_number() over (partition by geo order by total desc, company, dedupe_key, posting_id) as tier_rank from scored)
 select posting_id, case geo when 'eligible' then 'Nigeria-eligible' when 'verify' then 'Verify geo' else 'Likely excluded' end as tier, tier_rank, case when dedupe_key in (select dedupe_key from scored where posting_id % 3 = 0) then 'Seen' else 'New' end as status,
  company, title, case level when 'junior' then 'Junior' when 'mid' then 'Mid' when 'senior' then 'Senior' when 'staff_lead' then 'Staff/Lead' else 'Unknown' end as level,

@@ -81,3 +81,5 @@ def test_ranking_writes_only_what_orders(spark, monkeypatch):
     monkeypatch.setattr(L, "materialize", lambda df, tag: (written.append(set(df.columns)), materialize(df, tag))[1])
     assert catalog.QUERIES["g06_rank"](spark, "/root/testdata/sf0.001").count() == 1500
     assert written[0] == {"posting_id", "geo", "total", "company", "dedupe_key"}
+    catalog.QUERIES["a23_b23_listing_table"](spark, "/root/testdata/sf0.001")
+    assert not {"description", "aliases", "reasons", "url"} & written[-2]

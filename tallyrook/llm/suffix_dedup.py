@@ -51,13 +51,11 @@ _BLOBS = "bucket int, a binary, b binary, c binary, d binary, e binary, f binary
 
 
 def window_anchors(c: ta.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """For each position where a window of a document starts: whether, and its anchor (the mixed least hash of its k-byte strings)."""
+    """For each position where a window of a document starts: whether, and its anchor (the least hash of its k-byte strings)."""
     n = len(c.data)
     if n < length:
         return np.zeros(n, bool), np.zeros(n, np.uint64)
-    at = np.arange(n - k + 1)
-    value = ta.rolling_hashes(c.data, at, at + k)
-    width, least, reach = length - k + 1, value, 1
+    width, least, reach = length - k + 1, ta.window_hashes(c.data, k), 1
     while reach * 2 <= width:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
@@ -65,8 +63,21 @@ def window_anchors(c: ta.Chunk, length: int = LENGTH, k: int = ANCHOR) -> tuple[
     if rest:
         least = np.minimum(least[: len(least) - rest], least[rest:])
     left = np.repeat(c.offsets[1:], np.diff(c.offsets)) - np.arange(n)
-    # least hashes are small numbers: mixed again, they fall evenly into buckets
-    return left >= length, np.concatenate([ta.mix(least), np.zeros(n - len(least), np.uint64)])
+    return left >= length, np.concatenate([least, np.zeros(n - len(least), np.uint64)])
+
+
+def _keys(least: np.ndarray, bits: int) -> np.ndarray:
+    """Anchors as they are dealt: least hashes are small numbers, mixed again, they fall evenly into buckets."""
+    return ta.mix(least) >> np.uint64(32 - bits) << np.uint64(32 - bits)
+
+
+def _same_text(c: ta.Chunk, order: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """For documents in an order by text hash: whether the text is that of the document before, byte for byte."""
+    same = np.append(False, th[order][1:] == th[order][:-1])
+    for i in np.flatnonzero(same):
+        a, b = (c.data[c.offsets[d] : c.offsets[d + 1]] for d in (order[i - 1], order[i]))
+        same[i] = np.array_equal(a, b)
+    return same
 
 
 def _runs(c: ta.Chunk, whole: np.ndarray, least: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,15 +124,14 @@ def _anchors(bits: int):
                 at, _ = _runs(c, whole, least, 2**40)
                 doc = np.searchsorted(c.offsets, at, "right") - 1
                 # of equal texts in the chunk, only the least doc_id's counts
-                name = ta.span_hashes(c.data, c.offsets[:-1], c.offsets[1:], False)
-                order = np.lexsort((own, name))
+                order = np.lexsort((own, th))
                 lead = np.zeros(len(c), np.int64)
-                lead[order] = own[order][np.maximum.accumulate(np.where(np.append(True, name[order][1:] != name[order][:-1]), np.arange(len(c)), 0))]
+                lead[order] = own[order][np.maximum.accumulate(np.where(_same_text(c, order, th), 0, np.arange(len(c))))]
                 keep = (lead == own)[doc]
                 place = np.empty(len(c), np.int64)  # documents by doc_id
                 place[np.lexsort((th, own))] = np.arange(len(c))
                 back = np.argsort(place)
-                who, key = place[doc[keep]], least[at[keep]] >> np.uint64(32 - bits) << np.uint64(32 - bits)
+                who, key = place[doc[keep]], _keys(least[at[keep]], bits)
                 order = np.lexsort((who, key))
                 who, key = who[order], key[order]
                 new = np.ones(len(key), bool)
@@ -213,7 +223,7 @@ def _segments(bits: int, hot: np.ndarray):
                 whole, least = window_anchors(c)
                 at, windows = _runs(c, whole, least, LENGTH - ANCHOR + 1)
                 doc = np.searchsorted(c.offsets, at, "right") - 1
-                key = least[at] >> np.uint64(32 - bits) << np.uint64(32 - bits)
+                key = _keys(least[at], bits)
                 cuts = np.searchsorted(doc, np.arange(len(c) + 1))
                 keep = np.zeros(len(at), bool)
                 for i, m in enumerate(marked):
@@ -268,12 +278,16 @@ def _segments(bits: int, hot: np.ndarray):
 
 def _between(prefix: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The least common prefix among rows before + 1 .. at."""
-    size = at - before
-    return np.minimum.reduceat(prefix[ta.segments(before + 1, size)], np.concatenate([[0], np.cumsum(size)[:-1]]))
+    ends = np.cumsum(at - before)
+    # the rows' numbers as a running sum: by one within a stretch, a leap to the next
+    step = np.ones(ends[-1], np.int64)
+    step[0] = before[0] + 1
+    step[ends[:-1]] = before[1:] + 1 - at[:-1]
+    return np.minimum.reduceat(prefix.take(np.cumsum(step, out=step), mode="clip"), np.concatenate([[0], ends[:-1]]))
 
 
 class _Files:
-    """Sequential files of a task: the columns of a collection, and the arrays of the transform, rewritten each round.
+    """Sequential files of a task: the columns of a collection, and the transform's rows, rewritten each round.
 
     Small arrays stay with the operating system's cache; they go when they are closed, and with a task that dies.
     """
@@ -288,15 +302,15 @@ class _Files:
     def column(self, n: int) -> np.ndarray:
         return np.frombuffer(self.columns.read(n), np.uint8)
 
-    def put(self, *arrays: np.ndarray) -> None:
+    def put(self, rows: np.ndarray) -> None:
         self.rounds.seek(0)
-        for x in arrays:
-            self.rounds.write(x.tobytes())
-        self.shape = [(len(x), x.dtype) for x in arrays]
+        self.rounds.write(memoryview(rows).cast("B"))
+        self.shape = len(rows), rows.dtype
 
-    def take(self) -> list[np.ndarray]:
+    def take(self) -> np.ndarray:
+        n, kind = self.shape
         self.rounds.seek(0)
-        return [np.frombuffer(bytearray(self.rounds.read(n * kind.itemsize)), kind) for n, kind in self.shape]
+        return np.frombuffer(self.rounds.read(n * kind.itemsize), kind)
 
     def close(self) -> None:
         self.columns.close()
@@ -315,40 +329,49 @@ def column_wise_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> t
     """
     m = len(start)
     files = _Files(data, start, size)
-    # the rows of the empty suffixes stay in front and have nothing in common
-    files.put(np.full(m, _END, np.uint8), np.arange(m, dtype=np.int32), np.zeros(m, np.uint8), np.zeros(m, np.uint8))
+    # a row of the transform is its symbol and, in the upper byte, its common prefix; those of the empty suffixes stay in front
+    # and have nothing in common
+    files.put(np.full(m, _END, np.uint16))
     row = np.arange(m)  # of each string's newest suffix
+    opened: list[tuple[np.ndarray, np.ndarray]] = []  # by each round: rows, of which strings
     for j in range(1, int(size.max(initial=0)) + 1):
-        symbol, string, length, prefix = files.take()
+        rows = files.take()
+        symbol, prefix = rows.astype(np.uint8), (rows >> np.uint16(8)).astype(np.uint8)
         live = np.flatnonzero(size >= j)
-        symbol[row[live]] = files.column(len(live))
-        opens = np.zeros(len(symbol), bool)
-        opens[row[live]] = True
+        new = row[live]
+        symbol[new] = files.column(len(live))
+        opens, whose = np.zeros(len(symbol), bool), np.empty(len(symbol), np.int32)
+        opens[new], whose[new] = True, live
         order = np.argsort(symbol, kind="stable")[: len(symbol) - np.count_nonzero(symbol == _END)]
-        fresh = opens[order]
+        fresh = opens.take(order, mode="clip")
         at = np.flatnonzero(fresh)
-        who = string[order[at]]
-        change = fresh.copy()
-        change[1:] |= fresh[:-1]
-        change = np.flatnonzero(change)
+        who = whose[order[at]]
+        fresh[1:] |= fresh[:-1].copy()
+        change = np.flatnonzero(fresh)
         inner = change[change > 0]
         inner = inner[symbol[order[inner]] == symbol[order[inner - 1]]]
         at += m
         old = np.ones(len(symbol) + len(at), bool)
         old[at] = False
-        grown = []
-        for x, new in ((symbol, _END), (string, who), (length, j), (prefix, 0)):
-            y = np.empty(len(old), x.dtype)
-            y[old] = x
-            y[at] = new
-            grown.append(y)
-        grown[3][m + change] = 0
+        grown = np.full(len(old), _END, np.uint16)
+        grown[old] = symbol | (rows & np.uint16(0xFF00))
+        grown[m + change] &= np.uint16(0xFF)
         if len(inner):
-            grown[3][m + inner] = _between(prefix, order[inner - 1], order[inner]) + np.uint8(1)
-        files.put(*grown)
+            grown[m + inner] |= (_between(prefix, order[inner - 1], order[inner]) + np.uint8(1)).astype(np.uint16) << np.uint16(8)
+        files.put(grown)
         row[who] = at
-    _, string, length, prefix = files.take()
+        opened.append((at, who))
+    prefix = (files.take() >> np.uint16(8)).astype(np.uint8)
     files.close()
+    # where the rows that a round opened have come to lie: rounds are taken back, the last one first
+    string, length, place = np.empty(len(prefix), np.int32), np.zeros(len(prefix), np.uint8), np.arange(len(prefix), dtype=np.int32)
+    for j in range(len(opened), 0, -1):
+        at, who = opened[j - 1]
+        final = place[at]
+        string[final], length[final] = who, j
+        stay = np.ones(len(place), bool)
+        stay[at] = False
+        place = place[stay]
     return string[m:], length[m:], prefix[m:]
 
 

@@ -39,9 +39,13 @@ def _start(n: int) -> np.uint64:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result hangs on every bit of x."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +183,21 @@ def rolling_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
 
 
+def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """rolling_hashes() of the k bytes at each place of data."""
+    n = len(data) - k + 1
+    up, down = powers(len(data) + 1)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    each = _BYTE_VALUE[data]
+    each *= up[: len(data)]
+    np.cumsum(each, out=total[1:])
+    out = total[k:] - total[:n]
+    out *= down[:n]
+    out += np.array([k], np.uint64) * _STEP
+    return mix(out)
+
+
 def modular_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a * b modulo PRIME, of numbers below it: by halves, as 2**61 is 1."""
     half, low = np.uint64(31), np.uint64(2**31 - 1)

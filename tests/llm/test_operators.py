@@ -675,3 +675,14 @@ def test_clashing_names_and_long_texts(spark):
     assert langid.identify(df).count() == 3
     turns = spark.createDataFrame([(1, 0, "user", "a", "z", "y", "x"), (1, 1, "user", "b", "z", "y", "x")], "conv_id long, turn long, role string, text string, t string, segments string, formatted string")
     assert [(r.conv_id, r.n_turns) for r in chat.format_digests(turns).collect()] == [(1, 2)]
+
+
+def test_equal_texts_of_a_chunk_are_compared_by_bytes():
+    """Texts whose hashes agree are one text only if their bytes are the same; windows' hashes are those of single ranges."""
+    texts = ["one text", "two text", "two text", "", None, "one text"]
+    c = next(iter(textarrays.chunks(pa.array(texts, pa.string()))))
+    same = suffix_dedup._same_text(c, np.array([0, 1, 2, 3, 4, 5]), np.array([7, 7, 7, 9, 9, 7]))
+    assert same.tolist() == [False, False, True, False, True, False]
+    data = np.frombuffer("Zwölf Boxkämpfer jagen Viktor".encode() * 9, np.uint8)
+    at = np.arange(len(data) - 24)
+    assert np.array_equal(textarrays.window_hashes(data, 25), textarrays.rolling_hashes(data, at, at + 25))

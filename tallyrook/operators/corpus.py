@@ -127,8 +127,13 @@ def inline_spans(documents: DataFrame) -> DataFrame:
 
 def evidence_search(terms: DataFrame, evidence: DataFrame, per_term: int = 5, enough: int = 3) -> tuple[DataFrame, DataFrame]:
     """terms (term, word: the term or a synonym), evidence (id, text, merged, at) -> the best finds of each term, and the
-    terms with fewer than `enough`. Both sides meet by word, so nothing is compared with everything."""
+    terms with fewer than `enough`. Both sides meet by word, so nothing is compared with everything.
+
+    Evidence is dealt once, by id, before a word stands for its terms: each row that has a word of any term moves once, however many
+    terms share the word.
+    """
     words = evidence.select("id", "merged", "at", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9.]+"))).alias("word"))
+    words = words.join(terms.select("word").distinct(), "word", "left_semi").repartition("id").groupBy("word", "id").agg(F.max("merged").alias("merged"), F.max("at").alias("at"))
     found = words.join(terms, "word").groupBy("term", "id").agg(F.max("merged").alias("merged"), F.max("at").alias("at"))
     order = Window.partitionBy("term").orderBy(F.desc("merged"), F.desc("at"), "id")
     best = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_term)

@@ -83,3 +83,20 @@ def test_ranking_writes_only_what_orders(spark, monkeypatch):
     assert written[0] == {"posting_id", "geo", "total", "company", "dedupe_key"}
     catalog.QUERIES["a23_b23_listing_table"](spark, "/root/testdata/sf0.001")
     assert not {"description", "aliases", "reasons", "url"} & written[-2]
+
+
+def test_evidence_moves_once_however_many_terms_share_its_word(spark):
+    """The deal by id comes before the terms; ids that repeat are one find, and terms of several words meet them in one."""
+    from tallyrook.operators.corpus import evidence_search
+
+    terms = spark.createDataFrame([("a", "fix"), ("b", "fix"), ("c", "fix"), ("c", "add"), ("d", "none")], "term string, word string")
+    evidence = spark.createDataFrame(
+        [("1", "Fix x", False, "2001"), ("1", "add y", True, "2000"), ("2", "FIX fix", True, "1999"), ("3", "add", False, "2002"), ("4", "other", True, "2003"), ("5", None, True, "2003")],
+        "id string, text string, merged boolean, at string",
+    )
+    best, few = evidence_search(terms.hint("broadcast"), evidence, 2)
+    assert sorted((r.term, r.id, r.nth) for r in best.collect()) == [("a", "1", 2), ("a", "2", 1), ("b", "1", 2), ("b", "2", 1), ("c", "1", 1), ("c", "2", 2)]
+    assert sorted(r.term for r in few.collect()) == ["a", "b", "d"]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "hashpartitioning(term#" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(term" in x and ", id#" in x]

@@ -96,9 +96,10 @@ _SEEN = "profile string, key string, company string, title string, url string, f
 _DECISIONS = "disposition string, key string, company string, title string, url string, at timestamp_ntz, source_report string"
 
 
-def _state_table(spark: SparkSession, name: str, columns: str, key: tuple[str, ...], rows: DataFrame, buckets: int = 16) -> StateTable:
+def _state_table(spark: SparkSession, name: str, columns: str, key: tuple[str, ...], rows: DataFrame, buckets: int = 16, keys: DataFrame | None = None) -> StateTable:
+    """A state that begins with rows; keys: what they come from, where its keys are cheaper to look up."""
     out = StateTable(spark, f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}", columns, key, buckets)
-    out.upsert(rows.select(*key), lambda _: rows)
+    out.upsert((rows if keys is None else keys).select(*key), lambda _: rows)
     return out
 
 
@@ -157,11 +158,13 @@ x_s0 as (select disposition, key, life.at as tm, 'prior' as report from life), {
 
 def _commit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of commits in buckets, and a fetch that repeats some, changes some and brings new ones."""
-    rows = commits(spark, sf_dir).dropDuplicates(["repo", "sha"])
-    prior = rows.where("`date` < '1999-01-01'").select("repo", "sha", "subject", "date")
+    rows = commits(spark, sf_dir)
+    # chosen before they are made distinct, and looked up as they come: only a landing's own rows are dealt, and each once
+    landed = rows.where("`date` < '1999-01-01'").select("repo", "sha", "subject", "date")
+    prior = landed.dropDuplicates(["repo", "sha"])
     subject = F.when(F.col("l_orderkey") % 10 == 0, F.concat("subject", F.lit("!"))).otherwise(F.col("subject"))
     fetched = rows.where("`date` >= '1998-06-01'").select("repo", "sha", subject.alias("subject"), "date")
-    state = _state_table(spark, "e08-state", "repo long, sha string, subject string, `date` string", ("repo", "sha"), prior)
+    state = _state_table(spark, "e08-state", "repo long, sha string, subject string, `date` string", ("repo", "sha"), prior, keys=landed)
     state.upsert(fetched.select("repo", "sha"), lambda old: V.upsert(old, fetched, ["repo", "sha"], ["subject", "date"]))
     return state.read().groupBy("repo").agg(F.count("*").alias("n"), F.count_if(F.col("subject").endswith("!")).alias("changed"), F.min("subject").alias("least"), F.max("date").alias("latest"))
 

@@ -100,3 +100,19 @@ def test_evidence_moves_once_however_many_terms_share_its_word(spark):
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and "hashpartitioning(term#" in plan
     assert not [x for x in plan.splitlines() if "hashpartitioning(term" in x and ", id#" in x]
+
+
+def test_commits_are_looked_up_as_they_come(spark, monkeypatch):
+    """What buckets a landing touches is asked of its commits before they are made distinct: no row is dealt for it."""
+    from tallyrook.operators.state_table import StateTable
+    from tallyrook.plans import catalog
+
+    plans, real = [], StateTable.touched
+
+    def touched(self, keys):
+        plans.append(keys._jdf.queryExecution().optimizedPlan().toString())
+        return real(self, keys)
+
+    monkeypatch.setattr(StateTable, "touched", touched)
+    assert catalog.QUERIES["e08_commit_table"](spark, "/root/testdata/sf0.001").count() == 50
+    assert len(plans) == 2 and not [p for p in plans if "Aggregate" in p]

@@ -108,7 +108,7 @@ def pattern(phrases: Iterable[str]) -> str:
     phrases = tuple(phrases)
     first = _first(phrases)
     ahead = f"(?=[{''.join(sorted(first))}])" if first else ""
-    return f"(?i){ahead}(?<![A-Za-z0-9_])(?:{'|'.join(phrases)})(?![A-Za-z0-9_])"
+    return f"(?i){ahead}(?<!\\w)(?:{'|'.join(phrases)})(?!\\w)"
 
 
 def says(text: Column | str, phrases: Iterable[str]) -> Column:

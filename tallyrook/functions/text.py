@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of a browser's regular expressions: ASCII, and the Unicode spaces that Java leaves out.
 WS = r"[\s\u000B   -     　﻿]"
 _BLANKS = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # WS, one by one
+#: What normalize_text() keeps, one by one: a class of single characters is looked up in a table, one of ranges is tried range by range.
+_KEPT = string.ascii_letters + string.digits + r"_/+.\-"
 NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
 URL = r"(?i)https?://[^\s\"'`<>|]+"
 WINDOWS_PATH = r"(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s\"'`<>|]*"
@@ -70,12 +74,12 @@ def strip_html(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Entities decoded, white space collapsed."""
-    return trimmed(F.regexp_replace(decode_entities(text), f"(?: (?={WS})|(?! ){WS}){WS}*", " "))  # a blank alone stays
+    return trimmed(F.regexp_replace(decode_entities(text), f"(?![!-~])(?: (?={WS})|(?! ){WS}){WS}*", " "))  # a blank alone stays
 
 
 def normalize_text(text: Column) -> Column:
     """Lower case; what isn't an ASCII letter, digit or one of _ / + . - becomes a blank; blanks collapsed."""
-    other = "[^A-Za-z0-9_/+.-]"
+    other = f"[^{_KEPT}]"
     return F.trim(F.regexp_replace(F.lower(text), f"(?: (?={other})|(?! ){other}){other}*", " "))  # a blank alone stays
 
 

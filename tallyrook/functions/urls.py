@@ -108,10 +108,10 @@ def url_quality(url: Column) -> Column:
     """A struct whose least value is the best URL: public https, public http, private ..., few tracking parameters, short."""
 
     def of(p: Column) -> Column:
-        public, https = is_public_host(p[2]), F.lower(p[0]) == "https"
-        rank = F.when(p[0] == "", 5).when(~_is_http(p), 4).when(public & https, 0).when(public, 1).when(https, 2).otherwise(3)
+        https = (F.lower(p[0]) == "https").cast("int")
+        rank = F.when(p[0] == "", 5).when(~_is_http(p), 4).otherwise(F.when(is_public_host(p[2]), 1).otherwise(3) - https)
         canonical = F.when(p[0] == "", p[6]).otherwise(canonical_of(p))
-        return F.struct(rank.alias("rank"), _tracking(p).alias("tracking"), F.length(canonical).alias("size"), canonical.alias("canonical"), p[6].alias("url"))
+        return let(canonical, lambda c: F.struct(rank.alias("rank"), _tracking(p).alias("tracking"), F.length(c).alias("size"), c.alias("canonical"), p[6].alias("url")))
 
     return let(parsed(url), of)
 

@@ -15,7 +15,7 @@ from tallyrook.plans.derived import REFERENCE_DATE
 from tallyrook.plans.listing_queries import POLICY
 from tallyrook.plans.state_queries import _STATE, SEEN_SQL, base_listings, lifecycle_state, seen_state
 from tallyrook.plans.keyed_queries import _SEEN
-from tallyrook.session import work_folder
+from tallyrook.session import materialize, work_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def published(spark: SparkSession, sf_dir: str) -> RunStore:
     """A run in which all sources fail, then one in which they don't."""
     base, path = base_listings(spark, sf_dir), f"{work_folder(spark)}/store-{uuid.uuid4().hex}"
     seen = StateTable(spark, f"{path}/seen", _SEEN, ("key",), 16)
-    before = seen_state(base)
+    before, _ = materialize(seen_state(base), "seen-before")  # asked for its buckets, then stored
     seen.upsert(before.select("key"), lambda _: before)
     polls = StateTable(spark, f"{path}/polls", _STATE, ("source_id",), 4)
     store = RunStore(spark, path, seen, polls, "front", REASONS)

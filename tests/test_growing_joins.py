@@ -116,3 +116,53 @@ def test_commits_are_looked_up_as_they_come(spark, monkeypatch):
     monkeypatch.setattr(StateTable, "touched", touched)
     assert catalog.QUERIES["e08_commit_table"](spark, "/root/testdata/sf0.001").count() == 50
     assert len(plans) == 2 and not [p for p in plans if "Aggregate" in p]
+
+
+def test_texts_of_any_character_keep_their_normal_form(spark):
+    """Every character of the first planes' start: tables of single characters give what classes of ranges gave."""
+    from tallyrook.functions import rules as R
+    from tallyrook.functions import text as X
+
+    t, ws, other = F.col("t"), X.WS, "[^A-Za-z0-9_/+.-]"
+    chars = spark.range(1, 0x3100).where("id <> 38").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    rows = chars.select(F.explode(F.array(F.concat(F.lit("Ab"), "c", F.lit("9z")), F.concat("c", F.lit(" "), "c", "c", F.lit("x ")), F.concat(F.lit("x "), "c"))).alias("t"))
+    blank = f"(?: (?={ws})|(?! ){ws}){ws}*"
+    new = rows.select(t, X.normalize_text(t).alias("n"), X.clean_text(t).alias("c"), R.says(t, ("ab", "x")).alias("s"))
+    odd = new.where(
+        (F.col("n") != F.trim(F.regexp_replace(F.lower(t), f"{other}+", " "))) | (F.col("c") != X.trimmed(F.regexp_replace(t, blank, " ")))
+        | (F.col("s") != t.rlike("(?i)(?<![A-Za-z0-9_])(?:ab|x)(?![A-Za-z0-9_])"))
+    )
+    assert new.where("n is null or c is null").isEmpty() and odd.collect() == []
+    assert "A-Z" not in X.normalize_text(t)._jc.toString()  # ranges are tried one after the other, ten times slower
+
+
+def test_url_quality_is_taken_once(spark):
+    from tallyrook.functions import urls as U
+
+    urls = ["https://x.com/?utm_a=1&b=2", "HTTP://x.com", "https://10.0.0.5/", "http://localhost", "ftp://x.com/A", "no url", ""]
+    got = [tuple(r.q) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(U.url_quality(F.col("u")).alias("q")).collect()]
+    assert got == [
+        (0, 1, 18, "https://x.com/?b=2", urls[0]), (1, 0, 13, "http://x.com/", urls[1]), (2, 0, 17, "https://10.0.0.5/", urls[2]), (3, 0, 17, "http://localhost/", urls[3]),
+        (4, 0, 13, "ftp //x.com/a", urls[4]), (5, 0, 6, "no url", urls[5]), (5, 0, 0, "", ""),
+    ]
+    assert U.url_quality(F.col("u"))._jc.toString().count("array_sort") == 1
+
+
+def test_a_runs_state_is_made_once(spark, monkeypatch):
+    """What is stored first is written before its buckets are asked for: it isn't made again, and its rows aren't dealt, for that."""
+    from tallyrook.operators.state_table import StateTable
+    from tallyrook.plans import publish_queries
+
+    class Done(Exception):
+        pass
+
+    def touched(self, keys):
+        assert "Aggregate" not in keys._jdf.queryExecution().optimizedPlan().toString()
+        raise Done
+
+    monkeypatch.setattr(StateTable, "touched", touched)
+    try:
+        publish_queries.published(spark, "/root/testdata/sf0.001")
+    except Done:
+        return
+    raise AssertionError("no state was stored")

@@ -9,6 +9,7 @@ from tallyrook.functions import text as X
 from tallyrook.functions.urls import url_quality
 from tallyrook.operators.components import connected_components
 from tallyrook.operators.listings import legacy_key, level, provider_key, remote_scope, url_key
+from tallyrook.operators.state import dealt
 
 
 def link_signals(listings: DataFrame) -> DataFrame:
@@ -54,21 +55,33 @@ def stable_key() -> Column:
     return F.concat_ws("|", F.coalesce("url_key", "url"), found, *[X.trimmed(F.col(c)) for c in ("company", "title", "description")])
 
 
-def merged(listings: DataFrame, members: DataFrame) -> DataFrame:
+TEXTS = ("company", "title", "location", "description")
+
+
+def merged(listings: DataFrame, members: DataFrame, texts: tuple[str, ...] = TEXTS) -> DataFrame:
     """One row an entity: survivors of each field, and scope, level and identity made again from them.
 
+    texts: which of TEXTS are wanted; identity needs company and title, scope and level come with all four.
     Of the records that it comes from only the first one is kept here; all of them, and all aliases, are keyed tables
-    (operators.provenance), so an entity's row doesn't grow with its listings.
+    (operators.provenance), so an entity's row doesn't grow with its listings. An entity of one listing has nothing to
+    choose from: its row is that listing's, and only listings that share an entity are dealt by it and compared.
     """
-    rows = listings.join(members, "posting_id")
-    best = F.min(F.when(F.col("url") != "", url_quality(F.col("url"))))
-    record = F.struct("source_id", "adapter", F.coalesce("source_job_id", F.lit("")).alias("source_job_id"), "url")
-    out = rows.groupBy("entity_id").agg(
-        F.count("*").alias("members"), *map(_richest, ("company", "title", "location", "description")), best["url"].alias("url"),
-        F.min("posted_at").alias("posted_at"), F.min(record).alias("first"), F.array_sort(F.collect_set("source_id")).alias("source_ids"),
+    shared = listings.select("posting_id").join(members, "posting_id").groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1").select("entity_id", F.lit(True).alias("shared"))
+    rows = listings.join(members.join(dealt(shared), "entity_id", "left"), "posting_id")
+    job = F.coalesce("source_job_id", F.lit("")).alias("source_job_id")
+    alone = rows.where("shared is null").select(
+        "entity_id", F.lit(1).cast("long").alias("members"), *[F.coalesce(X.trimmed(F.col(c)), F.lit("")).alias(c) for c in texts], F.when(F.col("url") != "", X.trimmed(F.col("url"))).alias("url"),
+        "posted_at", F.struct("source_id", "adapter", job, "url").alias("first"), F.array_compact(F.array("source_id")).alias("source_ids"),
     )
+    best = F.min(F.when(F.col("url") != "", url_quality(F.col("url"))))
+    out = rows.where("shared").groupBy("entity_id").agg(
+        F.count("*").alias("members"), *map(_richest, texts), best["url"].alias("url"),
+        F.min("posted_at").alias("posted_at"), F.min(F.struct("source_id", "adapter", job, "url")).alias("first"), F.array_sort(F.collect_set("source_id")).alias("source_ids"),
+    ).unionByName(alone)
     first = F.col("first")
-    out = out.withColumns({"remote_scope": remote_scope(), "level": level(), "adapter": first["adapter"], "source_job_id": F.nullif(first["source_job_id"], F.lit(""))})
+    if set(texts) == set(TEXTS):
+        out = out.withColumns({"remote_scope": remote_scope(), "level": level()})
+    out = out.withColumns({"adapter": first["adapter"], "source_job_id": F.nullif(first["source_job_id"], F.lit(""))})
     dedupe = F.coalesce(url_key(F.col("url")), provider_key(F.col("adapter"), F.col("source_job_id")), legacy_key())
     return out.withColumns({"dedupe_key": dedupe, "legacy_key": legacy_key()}).drop("first")
 

@@ -284,7 +284,7 @@ view("e04_cautious_names", lambda s, d: E.cautious_groups(listings(s, d)), lambd
 
 
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = materialize(listings(spark, sf_dir).drop("remote_scope", "level", "dedupe_key", "aliases"), "listings")
+    rows, _ = materialize(listings(spark, sf_dir).drop("remote_scope", "level", "dedupe_key", "aliases", "legacy_url_key"), "listings")
     return E.merged(rows, E.entities(rows))
 
 

@@ -166,3 +166,24 @@ def test_a_runs_state_is_made_once(spark, monkeypatch):
     except Done:
         return
     raise AssertionError("no state was stored")
+
+
+def test_only_shared_entities_are_merged(spark):
+    """An entity of one listing is a projection of it, equal to what merging it gives; repeated listings are several."""
+    from tallyrook.operators import resolve as E
+
+    raw = [
+        (1, "a", "b", "9", " Firm ", "Dev", "https://x.com/1", "Lagos", "long text", None), (2, "c", "b", "", "Firm Ltd", None, "http://x.com/1", "", "text", None),
+        (3, "c", "b", None, " Other", "Lead", "HTTPS://y.com/?utm_a=1", None, "", None), (4, "c", "b", "", "", "", "", "", "", None), (5, None, None, "7", "E", "E", " ", "E", "E", None), (6, "a", "b", "3", "F", "F", None, "F", "F", None),
+    ]
+    rows = spark.createDataFrame(raw + [raw[5]], "posting_id long, source_id string, adapter string, source_job_id string, company string, title string, url string, location string, description string, posted_at timestamp_ntz")
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6)], "posting_id long, entity_id long")
+    fields = ["entity_id", "members", "company", "title", "location", "description", "url", "source_ids", "remote_scope", "level", "adapter", "source_job_id", "dedupe_key", "legacy_key"]
+    got = {r.entity_id: tuple(r)[1:] for r in E.merged(rows, members).select(*fields).collect()}
+    assert got[1] == (2, "Firm Ltd", "Dev", "Lagos", "long text", "https://x.com/1", ["a", "c"], "regional", "unknown", "b", "9", "url::https://x.com/1", "firm ltd::dev")
+    assert got[3] == (1, "Other", "Lead", "", "", "HTTPS://y.com/?utm_a=1", ["c"], "regional", "staff_lead", "b", None, "url::https://y.com/", "other::lead")
+    assert got[4] == (1, "", "", "", "", None, ["c"], "regional", "unknown", "b", None, "::", "::")
+    assert got[5][5:7] == ("", []) and got[5][9:] == (None, "7", "e::e", "e::e")
+    assert got[6][0] == 2 and got[6][5] is None and len(got) == 5
+    plan = E.merged(rows, members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Union" not in E.merged(rows, members).where("members > 1")._jdf.queryExecution().optimizedPlan().toString()

@@ -20,14 +20,19 @@ def add(name: str, run, sql: str | None) -> None:
         ORACLES[name] = sql
 
 
-def fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Listings with the day they were fetched on and their source's attribution, written once; and their entities."""
+#: What entities and records need of a listing; other fields aren't worked out or written unless a query names them.
+_RECORD = ("posting_id", "source_id", "adapter", "source_job_id", "url", "fetched_at", "url_key", "provider_key", "legacy_key")
+
+
+def fetched(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Listings with the day they were fetched on and their source's attribution, written once, of them only _RECORD and more;
+    and their entities."""
     k = F.col("posting_id")
-    rows = listings(spark, sf_dir).drop("remote_scope", "level", "dedupe_key", "aliases").withColumns({
+    rows = listings(spark, sf_dir).withColumns({
         "fetched_at": F.lit("2001-09-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k % 4).cast("int")),
         "attribution": F.when(k % 4 != 0, F.concat(F.lit(" Board "), k % 3, F.lit(" "))).when(k % 8 == 0, "  "),
     })
-    rows, _ = materialize(rows, "fetched")
+    rows, _ = materialize(rows.select(*_RECORD, *more), "fetched")
     return rows, E.entities(rows)
 
 
@@ -39,12 +44,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.facts(*fetched(spark, sf_dir))
+    return P.facts(*fetched(spark, sf_dir, "attribution"))
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, members = fetched(spark, sf_dir)
-    return P.aliases(rows, members, E.merged(rows, members))
+    rows, members = fetched(spark, sf_dir, "legacy_url_key", "company", "title", "posted_at")
+    return P.aliases(rows, members, E.merged(rows, members, ("company", "title")))
 
 
 def _landings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,25 @@ def test_an_entity_of_many_listings_has_a_narrow_row(spark):
     dealt = next(line for line in plan.split("\n") if "Exchange hashpartitioning" in line)  # the outermost exchange: the distinct
     assert "source_job_id" in dealt, dealt  # by the record, not by the entity; the other fields are constants here
     assert P.facts(df, members).first().n_records == n and P.aliases(df, members, merged).count() == n + 2
+
+
+def test_queries_write_only_what_they_read(spark, monkeypatch):
+    from tallyrook.plans import provenance_queries as Q
+
+    class Done(Exception):
+        pass
+
+    written = []
+
+    def materialize(df, tag):
+        written.append(set(df.columns))
+        raise Done
+
+    monkeypatch.setattr(Q, "materialize", materialize)
+    for name in ("h03_provenance_union", "h03_new_records", "e07_aliases", "e06_provenance_facts"):
+        try:
+            Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+        except Done:
+            pass
+    record = {"posting_id", "source_id", "adapter", "source_job_id", "url", "fetched_at", "url_key", "provider_key", "legacy_key"}
+    assert written == [record, record, record | {"legacy_url_key", "company", "title", "posted_at"}, record | {"attribution"}]

@@ -51,10 +51,10 @@ def facts(listings: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def new_records(stored: DataFrame, landed: DataFrame) -> DataFrame:
-    """The records of a landing that the table doesn't have yet, by entity and all five fields."""
+    """The records of a landing that the table doesn't have yet, by entity and all five fields.
+
+    Both are counted together by these columns, so each moves once and equal ones combine before they do; nulls are equal.
+    """
     keys = ("entity_id", *FIELDS)
-    same = None
-    for k in keys:
-        one = F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}"))
-        same = one if same is None else same & one
-    return landed.distinct().alias("l").join(stored.alias("s"), same, "left_anti")
+    both = landed.select(*keys, F.lit(0).alias("there")).unionByName(stored.select(*keys, F.lit(1).alias("there")))
+    return both.groupBy(*keys).agg(F.max("there").alias("there")).where("there = 0").select(*keys)

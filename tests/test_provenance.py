@@ -92,3 +92,14 @@ def test_queries_write_only_what_they_read(spark, monkeypatch):
             pass
     record = {"posting_id", "source_id", "adapter", "source_job_id", "url", "fetched_at", "url_key", "provider_key", "legacy_key"}
     assert written == [record, record, record | {"legacy_url_key", "company", "title", "posted_at"}, record | {"attribution"}]
+
+
+def test_a_landing_moves_once(spark):
+    """Records are counted with the stored ones: no join that deals both sides again by twelve expressions."""
+    columns = "entity_id long, source_id string, adapter string, source_job_id string, original_url string, fetched_at timestamp_ntz"
+    a, b, c = (1, "a", "b", "", "u", DAY[1]), (1, None, "b", "", "u", None), (2, "a", "b", "", "u", DAY[1])
+    new = P.new_records(spark.createDataFrame([a, a, b], columns), spark.createDataFrame([c, c, b, a], columns))
+    assert [tuple(r) for r in new.collect()] == [c] and new.columns == ["entity_id", *P.FIELDS]
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    assert P.new_records(spark.createDataFrame([], columns), spark.createDataFrame([b, b], columns)).count() == 1

@@ -5,7 +5,8 @@ order and step, what a filter removes, what it would have removed (removed befor
 of all orders (Shapley).
 
 The matrix is built in two levels. A task encodes its words by a dictionary of its shard (about SHARD bytes of text, or
-one longer text) and writes the shard as one row: documents, row pointers, columns, counts and the shard's dictionary.
+one longer text) and writes the shard as a few rows, PIECE values of each array a row: documents, row pointers, columns,
+counts and the shard's dictionary. So what a task holds is one shard, however many its input has.
 Then the shards' dictionaries, a word a shard and no more, are dealt by a hash of the word into buckets; a word's global
 code is its rank in its bucket, interleaved over the buckets: unique, the same in any run, without a word counted by one
 task for all. The codes go back to their shards, whose columns are renamed by them. Row sums and nonzero counts of the
@@ -22,6 +23,7 @@ and an empty one are the part ''; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
@@ -37,11 +39,13 @@ FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 #: Bytes of text of a shard, and words of shards' dictionaries in a bucket.
 SHARD, BUCKET = 1 << 24, 250_000
+#: Values of each array in a row of a shard, bytes of a row group of such rows, and what a document counts at least.
+PIECE, ROW_GROUP, DOCUMENT = 1 << 16, 1 << 24, 64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(x) for x in "#$%&*|"]] = True
 
 _DOC = "doc_id array<long>, part array<string>, text_sha array<binary>, fails array<int>"
-_CSR = f"shard long, n_vocabulary long, {_DOC}, indptr array<long>, indices array<int>, data array<int>"
+_CSR = f"shard long, piece int, first int, n_vocabulary long, {_DOC}, indptr array<long>, indices array<int>, data array<int>"
 _MATRIX = f"shard long, {_DOC}, indptr array<long>, indices array<long>, data array<int>"
 _COUNTED = "doc_id long, part string, text_sha binary, fails int, n_words long, n_distinct long"
 
@@ -71,26 +75,38 @@ class _Shard:
         points = _per_document(c, (c.data & 0xC0) != 0x80)
         self.fails.append((100 * upper > UPPER_PERCENT * points) * 4 + (_per_document(c, _SYMBOL[c.data]) > 0) * 8)
         self.rows.append(rows)
-        self.bytes += len(c.data)
+        self.bytes += max(len(c.data), DOCUMENT * len(c))
 
-    def row(self, number: int) -> pa.RecordBatch:
-        """The shard as one row, its columns coded by its own dictionary, which comes last."""
-        coded = pa.chunked_array(self.words, pa.large_binary()).dictionary_encode()
+    def pieces(self, number: int, piece: int) -> Iterator[pa.RecordBatch]:
+        """The shard, its columns coded by its own dictionary, which comes last: rows of at most `piece` values of each array."""
+        words, self.words = pa.chunked_array(self.words, pa.large_binary()), []
+        coded = words.dictionary_encode()
+        del words
         vocabulary = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_binary())
-        codes = np.concatenate([np.asarray(x.indices) for x in coded.chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
+        codes = np.concatenate([np.asarray(x.indices) for x in coded.chunks] or [np.zeros(0, np.int32)])
+        del coded
         length = np.concatenate(self.lengths)
         # (document, code) in order; equal neighbours are one entry
-        key = np.sort(np.repeat(np.arange(len(length)), length) << 32 | codes)
+        key = np.repeat(np.arange(len(length)) << 32, length)
+        key |= codes
+        del codes
+        key.sort()
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(key))).astype(np.int32)
         entry = key[new]
+        del key, new
         indptr = np.searchsorted(entry, np.arange(len(length) + 1) << 32)
         rows = pa.Table.from_batches(self.rows)
         values = [
-            rows.column("doc_id"), rows.column("part"), rows.column("text_sha"), pa.array(np.concatenate(self.fails), pa.int32()),
-            pa.array(indptr, pa.int64()), pa.array((entry & 0xFFFFFFFF).astype(np.int32)), pa.array(np.diff(np.append(new, len(key))).astype(np.int32)), vocabulary.cast(pa.binary()),
+            *(rows.column(x).combine_chunks() for x in ("doc_id", "part", "text_sha")), pa.array(np.concatenate(self.fails), pa.int32()),
+            pa.array(indptr, pa.int64()), pa.array((entry & 0xFFFFFFFF).astype(np.int32)), pa.array(count), vocabulary,
         ]
         names = ["doc_id", "part", "text_sha", "fails", "indptr", "indices", "data", "vocabulary"]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(vocabulary)], pa.int64()), *map(_one_list, values)], ["shard", "n_vocabulary", *names])
+        for k, first in enumerate(range(0, max(map(len, values)), piece)):
+            some = [x.slice(first, piece) for x in values]
+            some[-1] = some[-1].cast(pa.binary())
+            head = [pa.array([number], pa.int64()), pa.array([k], pa.int32()), pa.array([first], pa.int32()), pa.array([len(some[-1])], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*head, *map(_one_list, some)], ["shard", "piece", "first", "n_vocabulary", *names])
 
 
 def _one_list(values) -> pa.ListArray:
@@ -99,7 +115,7 @@ def _one_list(values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _shards(size: int):
+def _shards(size: int, piece: int):
     def run(batches):
         shard, number = _Shard(), TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -107,45 +123,56 @@ def _shards(size: int):
             for c in ta.chunks(batch.column("text"), min(size, 1 << 22)):
                 shard.add(c, rows.slice(c.first, len(c)))
                 if shard.bytes >= size:
-                    yield shard.row(number)
+                    yield from shard.pieces(number, piece)
                     shard, number = _Shard(), number + 1
+                    ta.release()
         if shard.rows:
-            yield shard.row(number)
+            yield from shard.pieces(number, piece)
 
     return run
 
 
-def coded_shards(documents: DataFrame, size: int = SHARD) -> DataFrame:
-    """documents (doc_id, text, source, ...) -> the matrix in shards, a row each, written: columns are coded by `vocabulary`, the shard's own."""
+def coded_shards(documents: DataFrame, size: int = SHARD, piece: int = PIECE) -> DataFrame:
+    """documents (doc_id, text, source, ...) -> the matrix in shards, written: columns are coded by `vocabulary`, the shard's own.
+
+    A shard is as many rows as its longest array has pieces; each of its arrays is what its rows have of it, by piece.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_sha"), text.alias("text"))
-    return materialize(rows.mapInArrow(_shards(size), f"{_CSR}, vocabulary array<binary>"), "op11-shards")[0]
+    return materialize(rows.mapInArrow(_shards(size, piece), f"{_CSR}, vocabulary array<binary>"), "op11-shards", ROW_GROUP)[0]
 
 
 def dictionary(shards: DataFrame) -> DataFrame:
     """(shard, local, word, code): the global code of each word of each shard's dictionary."""
     total = shards.agg(F.sum("n_vocabulary")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
-    words = shards.select("shard", F.posexplode("vocabulary").alias("local", "word"))
+    words = shards.select("shard", "first", F.posexplode("vocabulary").alias("at", "word")).select("shard", (F.col("first") + F.col("at")).alias("local"), "word")
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
     return words.select("shard", "local", "word", ((rank - 1) * F.lit(buckets) + F.col("bucket")).cast("long").alias("code"))
 
 
+def _whole(shard: pa.Table, column: str) -> pa.Array:
+    """An array of a shard: what its rows have of it, by piece."""
+    rows, lists = np.argsort(shard.column("piece").to_numpy()), shard.column(column).combine_chunks()
+    return pa.concat_arrays([lists[int(k)].values for k in rows])
+
+
 def _encoded(shard: pa.Table, codes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row pointers, columns by global code, and counts of a shard."""
     name = np.full(len(codes), -1)
     name[codes.column("local").to_numpy()] = codes.column("code").to_numpy()
     if (name < 0).any():
         raise ValueError("a word without a code")
-    indptr, indices, data = (shard.column(x).combine_chunks().flatten().to_numpy() for x in ("indptr", "indices", "data"))
+    indptr, indices, data = (_whole(shard, x).to_numpy() for x in ("indptr", "indices", "data"))
     return indptr, name[indices], data
 
 
 def _matrix(shard: pa.Table, codes: pa.Table) -> pa.Table:
     indptr, indices, data = _encoded(shard, codes)
-    kept = ["shard", "doc_id", "part", "text_sha", "fails"]
-    return pa.table([*(shard.column(x) for x in kept), *map(_one_list, (pa.array(indptr), pa.array(indices), pa.array(data)))], [*kept, "indptr", "indices", "data"])
+    kept = ["doc_id", "part", "text_sha", "fails"]
+    values = [*(_whole(shard, x) for x in kept), pa.array(indptr), pa.array(indices), pa.array(data)]
+    return pa.table([shard.column("shard").slice(0, 1), *map(_one_list, values)], ["shard", *kept, "indptr", "indices", "data"])
 
 
 def _counted(shard: pa.Table, codes: pa.Table) -> pa.Table:
@@ -153,14 +180,14 @@ def _counted(shard: pa.Table, codes: pa.Table) -> pa.Table:
     total = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data, out=total[1:])
     sums, filled = total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr)
-    flat = [shard.column(x).combine_chunks().flatten() for x in ("doc_id", "part", "text_sha")]
-    fails = shard.column("fails").combine_chunks().flatten().to_numpy() + (sums < MIN_WORDS) + (100 * filled < DISTINCT_PERCENT * sums) * 2
+    flat = [_whole(shard, x) for x in ("doc_id", "part", "text_sha")]
+    fails = _whole(shard, "fails").to_numpy() + (sums < MIN_WORDS) + (100 * filled < DISTINCT_PERCENT * sums) * 2
     return pa.table([*flat, pa.array(fails.astype(np.int32)), pa.array(sums), pa.array(filled)], ["doc_id", "part", "text_sha", "fails", "n_words", "n_distinct"])
 
 
 def _with_codes(shards: DataFrame, run, schema: str) -> DataFrame:
     codes = dictionary(shards).select("shard", "local", "code")
-    return shards.drop("vocabulary", "n_vocabulary").groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(run, schema)
+    return shards.drop("vocabulary", "n_vocabulary", "first").groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(run, schema)
 
 
 def document_term_matrix(documents: DataFrame, size: int = SHARD) -> DataFrame:
@@ -226,7 +253,7 @@ def filter_audit(documents: DataFrame, labels: DataFrame, size: int = SHARD) ->
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of"))
     marks = marks.agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("bad"))
     rows = failures(documents, size)
-    rows = rows.join(marks, F.col("doc_id") == F.col("of"), "left")
+    rows = rows.join(marks.hint("merge"), F.col("doc_id") == F.col("of"), "left")  # small compressed files of many labels would be broadcast
     cell = F.col("fails") + 32 * F.coalesce("good", F.lit(0)) + 64 * F.coalesce("bad", F.lit(0))
     cells = rows.groupBy("part", cell.alias("cell")).agg(F.count("*").alias("n"))
     cells = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))

@@ -39,14 +39,17 @@ def work_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, tag: str, row_group: int | None = None) -> tuple[DataFrame, str]:
     """Write df as Parquet to the work folder and read it back; returns it with its path.
 
     Cuts the lineage with a table that every executor can read, so a lost executor costs a re-read, not a re-run.
+    row_group: about so many bytes in one, for rows of large arrays. A writer holds a row group, and looks at its size
+    every 100 rows else; a reader decodes up to 4096 rows of one at once.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    sized = {} if row_group is None else {"parquet.block.size": row_group, "parquet.page.size.row.check.min": 1}
+    df.write.options(compression="zstd", **sized).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -9,6 +9,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tallyrook.llm import filter_audit, prefix_trie, quality_rank, textarrays
@@ -88,6 +89,29 @@ def test_matrix_has_each_word_of_each_document_once(docs, rows):
     assert got == Counter((i, tuple(sorted((code[w], n) for w, n in Counter(WORD.findall(t or "")).items()))) for i, t, *_ in rows)
 
 
+def test_what_a_task_holds_is_a_shard(spark, docs):
+    """Arrays are cut into pieces, and the row groups of one task's many shards stay small; the dictionary joins the pieces again."""
+    shards = filter_audit.coded_shards(docs, 3000, 40)
+    arrays = [x for x, kind in shards.dtypes if kind.startswith("array")]
+    for r in shards.collect():
+        assert max(len(r[x]) for x in arrays) <= 40
+    whole = lambda x: sorted((r.n_words, r.n_distinct, *r.doc) for r in x)
+    counted = filter_audit._with_codes(shards, filter_audit._counted, filter_audit._COUNTED).selectExpr("n_words", "n_distinct", "array(coalesce(doc_id, -1), fails) as doc")
+    assert whole(counted.collect()) == whole(filter_audit._with_codes(filter_audit.coded_shards(docs), filter_audit._counted, filter_audit._COUNTED).selectExpr("n_words", "n_distinct", "array(coalesce(doc_id, -1), fails) as doc").collect())
+
+    text = "concat_ws(' ', transform(sequence(1, 900), x -> hex(xxhash64(id, x)))) as text"
+    many = filter_audit.coded_shards(spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", text, "'s' as source"))
+    files = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in many.inputFiles()]
+    groups = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) > 2 * filter_audit.ROW_GROUP and max(groups) < 2 * filter_audit.ROW_GROUP
+
+
+def test_empty_texts_end_a_shard_too():
+    shard = filter_audit._Shard()
+    shard.add(next(textarrays.chunks(pa.array([""] * 1000))), pa.RecordBatch.from_pydict({"doc_id": [1] * 1000}))
+    assert shard.bytes >= 32 * 1000  # what is kept of a document beside its text
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], _DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrook.functions import urls as U
-from tallyrook.functions.text import let, normalize_text
-from tallyrook.operators.nested import field, kind, text_value, walk
+from tallyrook.functions.text import _BLANKS, normalize_text
 from tallyrook.operators.listings import Policy, blocked_apply_url, discovery_geo, remote_scope, title_role
 
 _NOT_NAME = re.compile("[^a-z0-9_/+.-]+")
@@ -31,47 +33,130 @@ def search_hits(payloads: DataFrame) -> DataFrame:
 
 #: The network's own host: a link to it is no external application (fixed value).
 OWN_HOST = "linkedin.com"
+#: The field that says how to apply.
+_NAMED = "applyMethod"
 
 
-def _first_text(record: Column, *paths: str) -> Column:
-    texts = F.transform(F.array(*[field(record, p) for p in paths]), text_value)
-    return F.get(F.filter(texts, lambda x: x.isNotNull()), 0)
+#: (field, field of it or none) in the order in which they are looked at.
+_TOLD, _NAME = (("companyName", None), ("company", None)), (("name", None), ("companyName", None), ("universalName", None))
+_PLACE = (("formattedLocation", None), ("locationDescription", None), ("defaultLocalizedName", None), ("shortLocationName", None), ("secondaryDescription", None))
+_ABOUT = (("description", None), ("jobDescription", None), ("descriptionText", None), ("description", "rawText"), ("localizedDescription", "rawText"), ("localizedDescription", "text"))
 
 
-def _name(record: Column) -> Column:
-    return _first_text(record, "name", "companyName", "universalName")
-
-
-def _place(record: Column) -> Column:
-    return _first_text(record, "formattedLocation", "locationDescription", "defaultLocalizedName", "shortLocationName", "secondaryDescription")
-
-
-def _about(record: Column) -> Column:
-    return _first_text(record, "description", "jobDescription", "descriptionText", "description.rawText", "localizedDescription.rawText", "localizedDescription.text")
-
-
-def _is(record: Column, urns: tuple[str, ...], types: tuple[str, ...]) -> Column:
-    """Whether an entity's URN, or its type, holds one of some words."""
-    urn, type_ = F.coalesce(F.try_variant_get(record, "$.entityUrn", "string"), F.lit("")), F.coalesce(F.try_variant_get(record, "$['$type']", "string"), F.try_variant_get(record, "$.type", "string"), F.lit(""))
-    out = F.lit(False)
-    for w in urns:
-        out = out | urn.contains(w)
-    for w in types:
-        out = out | type_.contains(w)
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a name is repeated")
     return out
 
 
-def _way(record: Column, own_host: str) -> Column:
-    """How a record says to apply: a link beyond the network, else an on-site application; null if neither."""
-    return let(field(record, "applyMethod"), lambda method: F.when(kind(method).isin("OBJECT", "ARRAY"), _way_of(method, own_host)))
-
-
-def _way_of(method: Column, own_host: str) -> Column:
-    offsite = F.when(kind(field(method, "offsiteApply")).isin("OBJECT", "ARRAY"), field(method, "offsiteApply")).when(kind(field(method, "companyApplyUrl")).isin("OBJECT", "ARRAY"), field(method, "companyApplyUrl"))
-    url = F.coalesce(text_value(field(method, "companyApplyUrl")), _first_text(offsite, "companyApplyUrl", "url"))
-    type_ = F.coalesce(F.try_variant_get(method, "$['$type']", "string"), F.try_variant_get(method, "$.type", "string"), F.lit(""))
-    beyond = let(url, lambda u: F.when(~u.contains(own_host), u))
-    return let(beyond, lambda u: F.when(u.isNotNull() | type_.contains("OnsiteApply"), F.struct(u.alias("url"), u.isNull().alias("easy"))))
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+_NESTED = (dict, list)
+#: JSON as Spark's variant takes it: no NaN, each name of an object once, whatever follows.
+_JSON = json.JSONDecoder(object_pairs_hook=_once, parse_constant=_no_constant)
+
+
+def _first_text(record: object, paths: tuple[tuple[str, str | None], ...]) -> str | None:
+    """The first text among some fields, trimmed: a string, or the `text` of an object."""
+    if isinstance(record, dict):
+        for name, inner in paths:
+            x = record.get(name)
+            if inner is not None:
+                x = x.get(inner) if isinstance(x, dict) else None
+            if isinstance(x, dict):
+                x = x.get("text")
+            if isinstance(x, str) and (x := x.strip(_BLANKS)):
+                return x
+    return None
+
+
+def _said(record: dict, *names: str) -> str:
+    """The first of some fields that isn't null, as text."""
+    x = next((x for n in names if (x := record.get(n)) is not None), "")
+    return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+
+def _way(record: dict, own_host: str) -> tuple[str | None, bool] | None:
+    """How a record says to apply: by a link beyond the network, else on the site (no link, True); None if neither."""
+    method = record[_NAMED]
+    if not isinstance(method, dict):
+        return None
+    offsite = next((x for n in ("offsiteApply", "companyApplyUrl") if isinstance(x := method.get(n), _NESTED)), None)
+    url = _first_text(method, (("companyApplyUrl", None),)) or _first_text(offsite, (("companyApplyUrl", None), ("url", None)))
+    if url and own_host not in url:
+        return url, False
+    return (None, True) if "OnsiteApply" in _said(method, "$type", "type") else None
+
+
+def _first_way(value: dict | list, own_host: str) -> tuple[list[int], tuple[str | None, bool]] | None:
+    """The first way of a value or of what is in it, parents before children, behind its place at each level."""
+    if isinstance(value, dict):
+        if _NAMED in value and (found := _way(value, own_host)):
+            return [], found
+        value = value.values()
+    for k, x in enumerate(value):
+        if isinstance(x, _NESTED) and (below := _first_way(x, own_host)):
+            return [k, *below[0]], below[1]
+    return None
+
+
+def _detail(payload: str | None, own_host: str) -> list[tuple | None]:
+    """What a payload tells: (place in it, value) of company, location, description and way; None for what it doesn't."""
+    company = location = description = way = None
+    try:
+        root = _JSON.raw_decode(payload.lstrip(" \t\r\n"))[0] if payload else None
+    except (ValueError, RecursionError):
+        root = None
+    if isinstance(root, _NESTED):
+        way = _first_way(root, own_host)
+    if isinstance(root, dict):
+        data = root.get("data")
+        included = [y for x in (root, data) if isinstance(x, dict) and isinstance(x.get("included"), list) for y in x["included"]]
+        for at, x in enumerate((root, data, *included)):
+            if not isinstance(x, dict):
+                continue
+            firm = posting = False
+            if at > 1:
+                urn, type_ = _said(x, "entityUrn"), _said(x, "$type", "type")
+                posting = "jobPosting" in urn or "JobPosting" in type_
+                firm = "company" in urn or "organization" in urn or "Company" in type_ or "Organization" in type_
+            if company is None and at != 1:
+                text = (firm and _first_text(x, _NAME)) or ((posting or at == 0) and _first_text(x, _TOLD + _NAME))
+                company = (at, text) if text else None
+            if posting or at < 2:
+                if location is None and (text := _first_text(x, _PLACE)):
+                    location = at, text
+                if description is None and (text := _first_text(x, _ABOUT)):
+                    description = at, text
+    return [company, location, description, way]
+
+
+def _encodable(text: str | None) -> str | None:
+    """Half of a pair of surrogates becomes a question mark, as in Java."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+_TEXT = "struct<at: int, text: string>"
+_DETAILS = f"company {_TEXT}, location {_TEXT}, description {_TEXT}, way struct<at: array<int>, url: string, easy: boolean>"
+
+
+def _details_of(own_host: str):
+    def column(found: list[tuple | None], at: pa.DataType, **values) -> pa.Array:
+        arrays = [pa.array([x and x[0] for x in found], at), *(pa.array([None if x is None else f(x[1]) for x in found], kind) for f, kind in values.values())]
+        return pa.StructArray.from_arrays(arrays, ["at", *values], mask=pa.array([x is None for x in found]))
+
+    def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))  # Spark's parser takes 1000 levels
+        for batch in batches:
+            found = [_detail(x, own_host) for x in batch.column("payload").to_pylist()]
+            texts = [column([x[k] for x in found], pa.int32(), text=(_encodable, pa.string())) for k in range(3)]
+            ways = column([x[3] for x in found], pa.list_(pa.int32()), url=(lambda x: _encodable(x[0]), pa.string()), easy=(lambda x: x[1], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("job_id"), *texts, ways], ["job_id", "company", "location", "description", "way"])
+
+    return run
 
 
 def details(payloads: DataFrame, own_host: str = OWN_HOST) -> DataFrame:
@@ -79,22 +164,13 @@ def details(payloads: DataFrame, own_host: str = OWN_HOST) -> DataFrame:
 
     The first record with a way to apply decides, at any depth, parents before children, in the payload's own order. The
     company is the payload's, else the first included company's or posting's; place and text are the payload's, its data's,
-    or the first included posting's. A payload that is no JSON object has nothing.
+    or the first included posting's. A payload that is no JSON, or repeats a name in an object, has nothing. A payload is
+    parsed once, however deep it is.
     """
-    v = payloads.select("job_id", F.try_parse_json("payload").alias("v"))
-    lists = [F.coalesce(F.try_variant_get("v", p, "array<variant>"), F.array().cast("array<variant>")) for p in ("$.included", "$.data.included")]
-    # the payload, its data, the included entities; of each the texts it might give
-    rows = v.select("job_id", F.posexplode(F.concat(F.array("v", F.try_variant_get("v", "$.data", "variant")), *lists)).alias("at", "x"))
-    x, at = F.col("x"), F.col("at")
-    rows = rows.select("job_id", "at", _first_text(x, "companyName", "company").alias("told"), _name(x).alias("name"), _place(x).alias("place"), _about(x).alias("about"),
-        _is(x, ("company", "organization"), ("Company", "Organization")).alias("firm"), _is(x, ("jobPosting",), ("JobPosting",)).alias("posting"))
-    firm = F.when(at == 0, F.coalesce("told", "name")).when(at > 1, F.coalesce(F.when(F.col("firm"), F.col("name")), F.when(F.col("posting"), F.coalesce("told", "name"))))
-    rows = rows.select("job_id", "at", firm.alias("company"), *[F.when((at < 2) | F.col("posting"), F.col(c)).alias(n) for c, n in (("place", "location"), ("about", "description"))])
-    whole = rows.groupBy("job_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("company", "location", "description")])
-    way = let(F.try_parse_json("json"), lambda v: _way(v, own_host))  # not filtered by: a filter would write it into the plan twice
-    ways = walk(payloads, "job_id", "payload", "applyMethod").select("job_id", "path", way.alias("way"))
-    first = ways.groupBy("job_id").agg(F.min_by("way", F.when(F.col("way").isNotNull(), F.col("path"))).alias("way"))
-    return whole.join(first.hint("merge"), "job_id", "left").select("job_id", "company", "location", "description", F.col("way.url").alias("apply_url"), F.coalesce("way.easy", F.lit(False)).alias("easy_apply_only"))
+    rows = payloads.select("job_id", F.col("payload").cast("string").alias("payload"))
+    rows = rows.mapInArrow(_details_of(own_host), f"job_id {rows.schema['job_id'].dataType.simpleString()}, {_DETAILS}")
+    whole = rows.groupBy("job_id").agg(*[F.min(c).alias(c) for c in ("company", "location", "description", "way")])
+    return whole.select("job_id", *[F.col(f"{c}.text").alias(c) for c in ("company", "location", "description")], F.col("way.url").alias("apply_url"), F.coalesce("way.easy", F.lit(False)).alias("easy_apply_only"))
 
 
 def enrich(hits: DataFrame, other: DataFrame, detail: DataFrame) -> DataFrame:

@@ -74,6 +74,24 @@ def test_walk_by_name_leaves_out_what_cant_have_it(spark):
     assert {(r.job_id, r.apply_url, r.easy_apply_only) for r in details(rows).collect()} == {("1", "https://x.example/", False), ("2", None, False), ("3", None, False)}
 
 
+def test_details_take_one_pass_however_deep(spark, monkeypatch):
+    """No table a level; what Spark's parser doesn't take has nothing; payloads of one job are joined, half surrogates are written."""
+    from tallyrook.operators import discovery, nested
+
+    def no_level(*_):
+        raise AssertionError("a pass for a level")
+
+    monkeypatch.setattr(nested, "materialize", no_level)
+    way = '{"applyMethod":{"companyApplyUrl":"https://x.example/"}}'
+    deep = '{"name":"A\\ud800","a":[1,[' + '{"b":[' * 400 + '{"applyMethod":"none"},' + way + "]}" * 400 + "]]}"
+    rows = [(1, deep), (2, '{"n":NaN,"a":' + way + "}"), (3, '{"a":1,"a":' + way + "}"), (4, way + " and more"), (5, '{"z":{"z":' + way + '}}'), (5, '{"companyName":"Firm","z":{"applyMethod":{"type":"OnsiteApply"}}}'), (6, "")]
+    got = {r.job_id: (r.company, r.apply_url, r.easy_apply_only) for r in discovery.details(spark.createDataFrame(rows, "job_id long, payload string")).collect()}
+    none = (None, None, False)
+    assert got == {1: ("A?", "https://x.example/", False), 2: none, 3: none, 4: (None, "https://x.example/", False), 5: ("Firm", "https://x.example/", False), 6: none}
+    types = '{"included":[{"entityUrn":{"of":"organization"},"name":" "},{"type":["x.Company"],"universalName":{"text":" By name "}},{"$type":"JobPosting","type":"x","companyName":"Later","descriptionText":"About"}]}'
+    assert discovery.details(spark.createDataFrame([(1, types)], "job_id long, payload string")).collect() == [(1, "By name", None, "About", None, False)]
+
+
 def test_ranking_writes_only_what_orders(spark, monkeypatch):
     from tallyrook.plans import catalog
 

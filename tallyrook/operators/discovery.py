@@ -24,9 +24,13 @@ def search_hits(payloads: DataFrame) -> DataFrame:
     lists = F.array(*[F.struct(F.lit(k).alias("k"), F.try_variant_get("v", p, "array<variant>").alias("items")) for k, p in enumerate(_LISTS)])
     items = v.select("payload_id", F.explode(lists).alias("l")).select("payload_id", "l.k", F.posexplode("l.items").alias("pos", "x"))
     text = lambda p: F.try_variant_get("x", p, "string")
-    firms = items.select("payload_id", text("$.entityUrn").alias("urn"), text("$.name").alias("name")).where("name is not null").groupBy("payload_id", "urn").agg(F.min("name").alias("name"))
-    hits = items.select("payload_id", "k", "pos", U.id_from_urn(text("$.entityUrn")).alias("job_id"), text("$.title").alias("title"), F.coalesce(text("$.companyDetails.company"), text("$.companyUrn")).alias("urn"), text("$.companyName").alias("own")).where("title is not null and job_id is not null")
-    hits = hits.join(firms, ["payload_id", "urn"], "left")
+    told = items.select("payload_id", "k", "pos", text("$.entityUrn").alias("entity"), text("$.title").alias("title"), F.coalesce(text("$.companyDetails.company"), text("$.companyUrn")).alias("urn"), text("$.companyName").alias("own"), text("$.name").alias("name"))
+    # an item with a name is the firm of its URN, one with a title a hit of a firm: both meet by URN, from one reading of a payload
+    firm = F.when(F.col("name").isNotNull(), F.struct(F.col("entity").alias("urn"), "name", F.lit(None).cast("string").alias("job_id")))
+    hit = F.when(F.col("title").isNotNull(), F.struct("urn", F.lit(None).cast("string").alias("name"), U.id_from_urn(F.col("entity")).alias("job_id")))
+    roles = told.select("payload_id", "k", "pos", "title", "own", F.explode(F.array_compact(F.array(firm, hit))).alias("r")).select("payload_id", "k", "pos", "title", "own", "r.*").where("name is not null or job_id is not null")
+    named = F.min("name").over(Window.partitionBy("payload_id", "urn"))
+    hits = roles.withColumn("name", F.when(F.col("payload_id").isNotNull() & F.col("urn").isNotNull(), named)).where("job_id is not null")
     nth = F.row_number().over(Window.partitionBy("job_id").orderBy("payload_id", "k", "pos"))
     return hits.withColumn("nth", nth).where("nth = 1").select("job_id", "title", F.coalesce("name", "own", F.lit("Unknown")).alias("company"), F.col("payload_id").alias("page"))
 

@@ -92,6 +92,24 @@ def test_details_take_one_pass_however_deep(spark, monkeypatch):
     assert discovery.details(spark.createDataFrame([(1, types)], "job_id long, payload string")).collect() == [(1, "By name", None, "About", None, False)]
 
 
+def test_hits_read_a_payload_once(spark, monkeypatch):
+    """Firms and hits come from one reading; the funnel makes its listings and its hits once."""
+    from tallyrook.operators.discovery import search_hits
+    from tallyrook.plans import feed_queries
+
+    payload = '{"included":[{"entityUrn":"urn:j:1","title":"A","companyUrn":"c:1"},{"entityUrn":"c:1","name":"Z"},{"entityUrn":"c:1","name":"B"},{"entityUrn":"urn:j:2","title":"T","name":"N"},{"entityUrn":"urn:j:3","title":"U","companyUrn":"c:2","companyName":"Own"},{"title":"no job"},{"name":"no urn"},7],"data":{"elements":[{"entityUrn":"urn:j:1","title":"again"}]}}'
+    hits = search_hits(spark.createDataFrame([(1, payload), (2, '{"included":[{"entityUrn":"urn:j:4","title":"V","companyUrn":"c:1"}]}'), (3, "no")], "payload_id int, payload string"))
+    assert sorted(map(tuple, hits.collect())) == [("1", "A", "B", 1), ("2", "T", "Unknown", 1), ("3", "U", "Own", 1), ("4", "V", "Unknown", 2)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+    made, own = [], feed_queries.raw_postings
+    monkeypatch.setattr(feed_queries, "raw_postings", lambda *x: (made.append(x), own(*x))[1])
+    row = feed_queries.QUERIES["f19_discovery_funnel"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in row._jdf.queryExecution().optimizedPlan().toString() and len(made) == 1
+    assert row.first()["raw"] == 1500
+
+
 def test_ranking_writes_only_what_orders(spark, monkeypatch):
     from tallyrook.plans import catalog
 
